@@ -1,7 +1,7 @@
 """The registered queries again, as plain SQL for another engine to check."""
 
-from . import breach, monitoring, scorecard, trends
+from . import breach, context, insights, monitoring, scorecard, trends
 
 ALL_SQL: dict[str, str] = {}
-for _m in (monitoring, trends, breach, scorecard):
+for _m in (monitoring, trends, breach, scorecard, insights, context):
     ALL_SQL |= _m.SQL

@@ -112,3 +112,35 @@ QUERIES |= {
     "score_monthly": inc(sco.monthly),
     "group_stats": inc(sco.group_stats),
 }
+
+from tickframe.functions.numbers import ratio_pct  # noqa: E402
+from tickframe.operators import context as ctx  # noqa: E402
+from tickframe.operators import insights as ins  # noqa: E402
+
+
+def _bands(df: DataFrame) -> DataFrame:
+    return (df.groupBy(F.col("assignment_group").alias("group"))
+            .agg(ratio_pct(F.count_if("made_sla_bool"), F.count("*")).alias("sla"), F.count("*").alias("n"))
+            .withColumns({"sla_band": ins.severity_band(F.col("sla"), 60, 50, reverse=True),
+                          "load_band": ins.severity_band(F.col("n"), 110, 130)}))
+
+
+def _route(spark: SparkSession, sf: str) -> DataFrame:
+    questions = tt.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return (ctx.route(questions, ctx.facts(tt.incidents(spark, sf)))
+            .select("conv_id", "turn", F.concat_ws(",", "sections").alias("sections"), "context"))
+
+
+def raw(name: str, fn, **kw) -> Query:
+    return lambda spark, sf: fn(tt.table(spark, sf, name), **kw)
+
+
+QUERIES |= {
+    "insights_monitoring": inc(ins.monitoring),
+    "insights_trends": inc(ins.trends),
+    "severity_band": inc(_bands),
+    "context_facts": inc(ctx.facts),
+    "context_route": _route,
+    "history_window": raw("conversations", ctx.history_window),
+    "history_window_3": raw("conversations", ctx.history_window, n=3),
+}
