@@ -1,7 +1,9 @@
 """The registered queries again, as plain SQL for another engine to check."""
 
-from . import breach, context, insights, monitoring, scorecard, trends
+from . import breach, cleaning, context, ingest, insights, monitoring, scorecard, trends
 
 ALL_SQL: dict[str, str] = {}
-for _m in (monitoring, trends, breach, scorecard, insights, context):
+for _m in (monitoring, trends, breach, scorecard, insights, context, cleaning, ingest):
     ALL_SQL |= _m.SQL
+ALL_SQL["breach_group_join"] = ALL_SQL["breach_by_group"]
+ALL_SQL["mttr_overall_join"] = ALL_SQL["trend_mttr"]

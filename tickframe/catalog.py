@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickframe.operators import monitoring as mon
@@ -144,3 +144,340 @@ QUERIES |= {
     "history_window": raw("conversations", ctx.history_window),
     "history_window_3": raw("conversations", ctx.history_window, n=3),
 }
+
+from tickframe.functions import breach_columns as bc  # noqa: E402
+from tickframe.functions import buckets as bk  # noqa: E402
+from tickframe.functions import clean as cl  # noqa: E402
+from tickframe.functions import numbers as num  # noqa: E402
+from tickframe.operators import ingest as ing  # noqa: E402
+from tickframe.operators import quality as qua  # noqa: E402
+from tickframe.schema import CANONICAL_COLUMNS, LOADER_DEFAULTS, sla_contract  # noqa: E402
+from tickframe.session import work_dir  # noqa: E402
+from tickframe.sources import files, sinks  # noqa: E402
+
+
+def pick(source, *cols) -> Query:
+    return lambda spark, sf: source(spark, sf).select(*cols)
+
+
+def messy(*cols) -> Query:
+    return lambda spark, sf: (tt.raw_messy(spark, sf).withColumn("k", F.col("file_row").cast("long"))
+                              .select("k", *cols))
+
+
+def _normal(spark: SparkSession, sf: str) -> DataFrame:
+    return files.normalize_columns(tt.raw_export(spark, sf))
+
+
+def _date_texts(df: DataFrame) -> DataFrame:
+    k, t = F.col("seq") % 6, F.col("created")
+    text = (F.when(k == 0, F.date_format(t, "dd-MM-yyyy HH:mm"))
+            .when(k == 1, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+            .when(k == 2, F.date_format(t, "dd/MM/yyyy HH:mm"))
+            .when(k == 3, F.date_format(t, "dd-MM-yyyy")).when(k == 4, "junk").otherwise(""))
+    return df.select("number", text.alias("raw")).withColumn("parsed", cl.parse_date("raw"))
+
+
+def _parse_priority(spark: SparkSession, sf: str) -> DataFrame:
+    m = messy(F.col("priority").alias("raw"), cl.parse_priority("priority").alias("priority"))(spark, sf)
+    raw_order = tt.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), cl.parse_priority("o_orderpriority").alias("order_priority"))
+    return m.join(raw_order, "k")
+
+
+def _clamp(df: DataFrame) -> DataFrame:
+    text = F.col("c_acctbal").cast("string")
+    return df.select("c_custkey", cl.clamp_numeric(text).alias("floored"), cl.to_number(text).alias("kept"),
+                     cl.clamp_numeric("c_name").alias("from_text"))
+
+
+def _nan(df: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    v = (F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(float("inf")))
+         .otherwise(F.col("o_totalprice")))
+    return df.select("o_orderkey", num.clean_nan(v).alias("cleaned"), num.clean_nan_zero(v).alias("zeroed"))
+
+
+def filtered(**kw) -> Query:
+    return inc(lambda df: flt.apply_filters(df, kw).select("number", "created"))
+
+
+def _filter_org(spark: SparkSession, sf: str) -> DataFrame:
+    return flt.filter_org(tt.breach(spark, sf), tt.org_map(spark, sf), towers=["ASIA"], sdms=["SDM_3"],
+                          date_from="1996-01-01").select("task", "assignment_group")
+
+
+QUERIES |= {
+    "normalize_columns": _normal,
+    "fill_defaults": lambda spark, sf: files.fill_defaults(_normal(spark, sf)).select(
+        "number", *sorted(LOADER_DEFAULTS)),
+    "canonical_select": lambda spark, sf: files.canonical_select(_normal(spark, sf)),
+    "parse_date": inc(_date_texts),
+    "format_date": inc(lambda df: df.select("number", cl.format_date("resolved").alias("text"))),
+    "parse_priority": _parse_priority,
+    "parse_urgency": lambda spark, sf: messy(
+        F.col("urgency").alias("raw"), cl.parse_urgency("urgency").alias("urgency"))(spark, sf),
+    "priority_to_label": lambda spark, sf: messy(
+        F.col("priority").alias("raw"), cl.priority_to_label("priority").alias("label"))(spark, sf),
+    "parse_sla": lambda spark, sf: messy(
+        F.col("made_sla").alias("raw"), cl.parse_sla("made_sla").alias("met"))(spark, sf),
+    "normalize_state": lambda spark, sf: messy(
+        F.col("state").alias("raw"), cl.normalize_state("state").alias("state"))(spark, sf),
+    "clamp_numeric": raw("customer", _clamp),
+    "derive_time_parts": pick(tt.incidents, "number", "created", "month", "week", "date", "hour", "dow"),
+    "derive_mttr": pick(tt.incidents, "number", "mttr_hours"),
+    "derive_breach_flags": pick(tt.breach, "task", "already_breached", "on_hold", "has_bug_link"),
+    "derive_overdue_remaining": pick(tt.breach, "task", "overdue_biz_hours", "remaining_biz_hours"),
+    "derive_assignment_age": pick(tt.breach, "task", "assignment_age_h"),
+    "derive_urgency": pick(tt.breach, "task", "urgency"),
+    "derive_sla_severity": pick(tt.breach, "task", "sla_severity"),
+    "agent_name": inc(lambda df: df.groupBy(cl.agent_name("assigned_to").alias("agent"))
+                      .agg(F.count("*").alias("tickets"))),
+    "bucketize": raw("events", lambda df: df.select(
+        "event_id", "value", bk.bucketize("value", bk.ELAPSED_EDGES, bk.ELAPSED_LABELS).alias("bucket"))),
+    "null_to_none": raw("orders", _nan),
+    "audit_required_blank": over(tt.raw_messy, qua.required_blank),
+    "audit_value_fixes": over(tt.raw_messy, qua.value_fixes),
+    "drop_blank_key": over(tt.raw_messy, lambda df: ing.drop_blank_key(df).select("number", "state")),
+    "f1_date_from": filtered(date_from="1998-01-01"),
+    "f2_date_to": filtered(date_to="1998-06-30"),
+    "f3_towers": filtered(towers=["ASIA", "EUROPE"]),
+    "f4_sdms": filtered(sdms=["SDM_1", "SDM_5"]),
+    "f5_groups": filtered(groups=["NATION_3-BUILDING", "NATION_7-MACHINERY"]),
+    "f6_priorities": filtered(priorities=[1, 2]),
+    "f7_categories": filtered(categories=["Network", "General"]),
+    "f8_states": filtered(states=["Open", "On Hold"]),
+    "f9_sla": filtered(sla="breached"),
+    "filter_combined": filtered(date_from="1997-01-01", date_to="1999-12-31", towers=["ASIA"],
+                                priorities=[1, 3], states=["Resolved", "Closed"], sla="met"),
+    "filter_month_set": filtered(months=["1996-02", "1998-11", "2001-07"]),
+    "filter_org": _filter_org,
+    "filter_search": inc(lambda df: flt.filter_search(df, "^INC0000000[1-3]")
+                         .select("number", "short_description", "impact_user")),
+    "filter_options": inc(flt.filter_options),
+    "register_presets": inc(flt.register_presets),
+    "sla_lookup": lambda spark, sf: tt.incidents(spark, sf).select("number", "priority").join(
+        F.broadcast(sla_contract(spark)), "priority", "left"),
+    "doc_filtered_of_total": inc(flt.filtered_of_total, filters={"towers": ["ASIA"], "priorities": [1, 2]}),
+    "doc_quality_checks": inc(qua.quality_checks, max_hours=100),
+}
+
+
+# ---- sources and sinks: written below the shared work folder, then read back ----
+
+def _write_export(spark: SparkSession, sf: str) -> str:
+    path = work_dir(spark, "export")
+    tt.raw_export(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+CLEAN_COLUMNS = ["number", "created", "updated", "resolved", "impact_user", "assignment_group",
+                 "first_assignment_group", "tower", "sdm", "priority", "priority_label", "urgency",
+                 "urgency_label", "state", "made_sla", "made_sla_bool", "category", "subcategory",
+                 "service_offering", "short_description", "assigned_to", "month", "week", "date", "hour",
+                 "dow", "mttr_hours", "reopen_count", "reassignment_count", "resolution_notes",
+                 "business_duration"]
+
+
+def _src_incidents_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return files.read_incidents_csv(spark, _write_export(spark, sf)).select(*CLEAN_COLUMNS)
+
+
+def _yearly(spark: SparkSession, sf: str) -> list[str]:
+    """The export as one upload per year."""
+    path = work_dir(spark, "uploads")
+    year = F.substring("`Opened At`", 7, 4)
+    (tt.raw_export(spark, sf).withColumn("yr", year).hint("rebalance", "yr")
+     .write.partitionBy("yr").option("header", True).option("escape", '"').csv(path))
+    return [f"{path}/yr={y}" for y in range(1995, 2002)]
+
+
+def _src_multi_file(spark: SparkSession, sf: str) -> DataFrame:
+    rows = files.read_many(spark, _yearly(spark, sf))
+    return rows.select(F.col("_file").alias("file"), "number", cl.normalize_state("state").alias("state"))
+
+
+def _lines_register(spark: SparkSession, sf: str) -> DataFrame:
+    """A register holding the tickets that have order lines."""
+    return tt.ticket_updates(spark, sf).select("number").distinct()
+
+
+def _audit_file_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return qua.file_summary(files.read_many(spark, _yearly(spark, sf)), _lines_register(spark, sf))
+
+
+def _canonical_audit(spark: SparkSession, sf: str) -> DataFrame:
+    paths = _yearly(spark, sf)
+    rows = files.read_many(spark, paths).groupBy(F.col("_file").alias("file")).agg(
+        F.count("*").alias("rows_in_file"))
+    audit = files.file_column_audit(spark, paths)
+    lists = ["columns_kept", "columns_added", "columns_dropped"]
+    return rows.join(F.broadcast(audit), "file").select(
+        "file", "rows_in_file", *[F.concat_ws(",", c).alias(c) for c in lists])
+
+
+def _src_breach_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "snapshot")
+    raw_rows = tt.breach_raw(spark, sf)
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    cols = [F.date_format(c, stamp).alias(c) if t == "timestamp" else F.col(c).cast("string").alias(c)
+            for c, t in raw_rows.dtypes]
+    titled = raw_rows.select(*cols).toDF(*[c.replace("_", " ").title() for c in raw_rows.columns])
+    titled.write.option("header", True).csv(path)
+    return files.read_breach_csv(spark, path, tt.AS_OF).select(
+        "task", "priority", "priority_num", "state", "created", "breach_time", "stop_time",
+        "last_assignment_date", "business_elapsed_percentage", "already_breached", "on_hold",
+        "has_bug_link", "overdue_biz_hours", "remaining_biz_hours", "assignment_age_h", "breach_date",
+        "urgency", "sla_severity", "sla_resolution_hours", "reassignment_count", "reopen_count")
+
+
+def _src_org_map(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "org")
+    org = tt.org_map(spark, sf)
+    org.unionByName(org).write.option("header", True).csv(path)
+    return files.read_org_map(spark, path)
+
+
+def _src_json(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "json")
+    tt.table(spark, sf, "events").select(
+        F.col("event_id").alias("Event-ID"), F.col("user_id").alias("USER ID"), "event_type", "value",
+        F.col("props").alias("Raw.Props")).write.json(path)
+    return files.read_json(spark, path, "`Event-ID` long, `USER ID` long, event_type string, "
+                                        "value double, `Raw.Props` string")
+
+
+def _src_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "latin1")
+    (tt.table(spark, sf, "conversations").write.option("header", True).option("encoding", "ISO-8859-1")
+     .option("escape", '"').csv(path))
+    return files.read_csv(spark, path).select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+
+
+def _sink_clean(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "register")
+    sinks.write_clean(tt.incidents(spark, sf), path)
+    return sinks.read_clean(spark, path).select(
+        "number", "month", "state", "priority", "made_sla", "category", "created", "mttr_hours", "tower")
+
+
+def _sink_append_new(spark: SparkSession, sf: str) -> DataFrame:
+    """Older tickets first, then the whole register twice: each ticket is stored once."""
+    path = work_dir(spark, "register")
+    df = tt.incidents(spark, sf)
+    sinks.append_new(spark, df.where("created < '1999-01-01'"), path, mode="replace")
+    for _ in range(2):
+        sinks.append_new(spark, df, path)
+    return sinks.read_clean(spark, path).groupBy("month").agg(
+        F.count("*").alias("rows"), F.count_distinct("number").alias("tickets"))
+
+
+def _sink_export_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "view")
+    sinks.export_csv(tt.incidents(spark, sf), path)
+    back = files.read_csv(spark, path).drop("_pos")
+    filled = {c: F.coalesce(F.col(c), F.lit("")) for c in back.columns}
+    return back.withColumns(filled).withColumn("mttr_hours", F.nullif("mttr_hours", F.lit("")).cast("double"))
+
+
+QUERIES |= {
+    "src_incidents_csv": _src_incidents_csv,
+    "src_breach_csv": _src_breach_csv,
+    "src_org_map": _src_org_map,
+    "src_json": _src_json,
+    "src_multi_file": _src_multi_file,
+    "src_encoding": _src_encoding,
+    "audit_file_summary": _audit_file_summary,
+    "canonical_audit": _canonical_audit,
+    "sink_clean": _sink_clean,
+    "sink_append_new": _sink_append_new,
+    "sink_export_csv": _sink_export_csv,
+    "source_inventory": inc(lambda df: sinks.source_inventory(df.select(
+        F.concat(F.lit("export_"), F.substring("month", 1, 4), F.lit(".csv")).alias("source"),
+        F.lit("incidents").alias("type"), F.col("updated").alias("ingested_at")))),
+}
+
+
+# ---- dedup, merge, link, set operations, window kinds ----
+
+def _known(which: int) -> Query:
+    return lambda spark, sf: ing.split_known(
+        tt.incidents(spark, sf), _lines_register(spark, sf))[which].select("number", "state")
+
+
+def _union_files(spark: SparkSession, sf: str) -> DataFrame:
+    return ing.union_files(
+        tt.incidents(spark, sf).select("number", "state"),
+        tt.breach(spark, sf).select(F.col("task").alias("number"), "state", "business_elapsed_percentage"),
+        tt.surveys(spark, sf).select(F.col("incident_number").alias("number"), "csat_score"))
+
+
+def _urgent(spark: SparkSession, sf: str) -> DataFrame:
+    return tt.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(
+        F.col("o_custkey").alias("c_custkey"))
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return tt.table(spark, sf, "customer").select("c_custkey", "c_name")
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.concat(F.lit("INC"), F.lpad((F.col("l_orderkey") * 3).cast("string"), 9, "0"))
+    return tt.table(spark, sf, "lineitem").select(number.alias("incident_ref"), "l_quantity")
+
+
+def _ranking(df: DataFrame) -> DataFrame:
+    counts = df.groupBy(F.col("assignment_group").alias("group")).agg(F.count("*").alias("count"))
+    return counts.withColumn("rank", F.row_number().over(
+        Window.partitionBy().orderBy(F.desc("count"), "group")))
+
+
+def _running(df: DataFrame) -> DataFrame:
+    w = Window.partitionBy().orderBy(F.desc("count"), "category").rowsBetween(Window.unboundedPreceding, 0)
+    counts = df.groupBy("category").agg(F.count("*").alias("count"))
+    return counts.withColumn("running", F.sum("count").over(w))
+
+
+def _grouping_sets(df: DataFrame) -> DataFrame:
+    return (df.rollup("tower", "category").agg(F.count("*").alias("count"))
+            .withColumns({c: F.coalesce(F.col(c), F.lit("ALL")) for c in ("tower", "category")}))
+
+
+QUERIES |= {
+    "dedup_keep_last": over(tt.ticket_updates, ing.dedup_keep_last, order=tt.UPDATE_ORDER),
+    "dedup_removed": over(tt.ticket_updates, ing.dedup_removed),
+    "dedup_cross_file": over(tt.ticket_updates, ing.dedup_keep_last, order=["file_rank", *tt.UPDATE_ORDER]),
+    "dedup_vs_existing": _known(0),
+    "dedup_existing_list": _known(1),
+    "merge_incidents": lambda spark, sf: ing.merge_incidents(
+        tt.incidents(spark, sf).select("number"), _lines_register(spark, sf)),
+    "union_existing": lambda spark, sf: ing.union_existing(
+        _lines_register(spark, sf), tt.incidents(spark, sf).select("number", "state")),
+    "union_files": _union_files,
+    "except_by_key": lambda spark, sf: ing.except_by_key(_customers(spark, sf), _urgent(spark, sf), "c_custkey"),
+    "intersect_by_key": lambda spark, sf: ing.intersect_by_key(
+        _customers(spark, sf), _urgent(spark, sf), "c_custkey"),
+    "link_surveys": lambda spark, sf: ing.link_counts(tt.surveys(spark, sf), tt.incidents(spark, sf)),
+    "link_sla_breach": lambda spark, sf: ing.link_counts(
+        tt.breach(spark, sf).withColumnRenamed("task", "number"), tt.incidents(spark, sf)),
+    "link_metrics": lambda spark, sf: ing.link_counts(
+        _metrics(spark, sf), tt.incidents(spark, sf), count_skipped=False),
+    "link_scores": lambda spark, sf: ing.link_scores(
+        tt.incidents(spark, sf), tt.surveys(spark, sf), "csat_score").select(
+        "number", "priority", F.col("score_count").cast("double").alias("score_count"), "score_max", "score_min"),
+    "breach_group_join": QUERIES["breach_by_group"],
+    "mttr_overall_join": QUERIES["trend_mttr"],
+    "top_k": inc(lambda df: df.where(mon.active()).select("number", "priority", "created")
+                 .orderBy("priority", "created", "number").limit(5)),
+    "cumulative_sum": inc(_running),
+    "share_of_total": inc(lambda df: shape.with_share(
+        df.groupBy("tower").agg(F.count("*").alias("count")))),
+    "lag_last_vs_previous": inc(lambda df: tr.monthly_counts(df).withColumn(
+        "previous", F.lag("count").over(Window.partitionBy().orderBy("period")).cast("double"))),
+    "ranking": inc(_ranking),
+    "grouping_sets": inc(_grouping_sets),
+    "distinct_count": inc(lambda df: df.groupBy("month").agg(
+        F.count_distinct("assignment_group").alias("groups"))),
+    "sample": inc(lambda df: df.select("number").orderBy(F.md5("number"), "number").limit(500)),
+}

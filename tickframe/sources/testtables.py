@@ -188,3 +188,40 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("x").alias("Unknown Column"),
         k.cast("string").alias("File Row"),
     )
+
+
+def raw_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export with normal headers and planted faults, for the quality reports."""
+    from tickframe.sources.files import normalize_columns
+
+    df = normalize_columns(raw_export(spark, sf_dir))
+    k = F.col("file_row").cast("long")
+
+    def fault(column: str, every: int, at: int, value: str) -> Column:
+        return F.when(k % every == at, value).otherwise(F.col(column))
+
+    return df.withColumns({
+        "number": fault("number", 101, 0, " "), "created": fault("created", 53, 7, "junk"),
+        "priority": fault("priority", 7, 3, "unknown"), "urgency": fault("urgency", 11, 4, "none"),
+        "state": fault("state", 9, 2, " "), "made_sla": fault("made_sla", 10, 1, "maybe"),
+    })
+
+
+def ticket_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as repeated rows of the same ticket; three files by return flag."""
+    number = F.concat(F.lit("INC"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"))
+    rank = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
+    return table(spark, sf_dir, "lineitem").select(
+        number.alias("number"), rank.alias("file_rank"),
+        F.col("l_shipdate").cast("timestamp").alias("updated"), "l_linenumber", "l_partkey",
+        "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+UPDATE_ORDER = ["updated", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores per ticket from the events; half of the numbers are unknown."""
+    number = F.concat(F.lit("INC"), F.lpad((F.col("event_id") * 2).cast("string"), 9, "0"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", number.alias("incident_number"), F.col("value").alias("csat_score"))
