@@ -481,3 +481,68 @@ QUERIES |= {
         F.count_distinct("assignment_group").alias("groups"))),
     "sample": inc(lambda df: df.select("number").orderBy(F.md5("number"), "number").limit(500)),
 }
+
+from tickframe.functions import rules  # noqa: E402
+from tickframe.operators import audit as aud  # noqa: E402
+from tickframe.operators import text as txt  # noqa: E402
+
+
+def _documents_as_tickets(df: DataFrame) -> DataFrame:
+    return df.select(F.concat(F.lit("DOC"), F.col("doc_id").cast("string")).alias("number"),
+                     F.col("text").alias("short_description"), F.col("source").alias("service_offering"),
+                     (F.col("doc_id") % 2 + 1).cast("int").alias("priority"))
+
+
+def _subcategory(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "text", rules.classify_category("text").alias("category")).select(
+        "doc_id", "category", rules.classify_subcategory("category", "text").alias("subcategory"))
+
+
+def with_text(df: DataFrame) -> DataFrame:
+    """Incidents with the text that classifiers and features read."""
+    return df.withColumn("text", rules.incident_text("short_description", "service_offering", "category"))
+
+
+def _similar(spark: SparkSession, sf: str) -> DataFrame:
+    return txt.similar(tt.table(spark, sf, "benchmark"), tt.table(spark, sf, "documents"),
+                       "item_id", "doc_id")
+
+
+def _kb(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest article for every user message."""
+    asked = tt.table(spark, sf, "conversations").where("role = 'user'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("ticket"), "text")
+    return txt.similar(asked, tt.table(spark, sf, "documents"), "ticket", "doc_id", k=1).select(
+        "ticket", F.col("doc_id").alias("article"), F.bround("score", 3).alias("similarity"))
+
+
+QUERIES |= {
+    "classify_category": raw("documents", lambda df: df.select(
+        "doc_id", rules.classify_category("text").alias("category"))),
+    "classify_category_import": raw("documents", lambda df: df.select(
+        "doc_id", rules.classify_category("text", rules.CATEGORY_KEYWORDS_IMPORT).alias("category"))),
+    "classify_subcategory": raw("documents", _subcategory),
+    "audit_priority_rules": inc(aud.rule_audit),
+    "audit_document_rules": raw("documents", lambda df: aud.rule_audit(_documents_as_tickets(df)).drop(
+        "short_description", "service_offering")),
+    "audit_sample": inc(lambda df: aud.rule_audit(aud.sample(df))),
+    "union_sample": inc(lambda df: aud.sample(df).select("number", "priority")),
+    "audit_summary": inc(lambda df: aud.summary(aud.rule_audit(df))),
+    "audit_prompts": inc(aud.prompts),
+    "priority_definitions": lambda spark, sf: (
+        tt.incidents(spark, sf).groupBy("priority").agg(F.count("*").alias("tickets"))
+        .join(F.broadcast(aud.priority_definitions(spark)), "priority").select("priority", "label", "tickets")),
+    "text_features": inc(lambda df: txt.text_features(with_text(df), "number", "text").withColumn(
+        "weight", F.round("weight", 9))),
+    "text_features_documents": raw("documents", lambda df: txt.text_features(df, "doc_id", "text")
+                                   .groupBy("doc_id").agg(F.count("*").alias("terms"),
+                                                          F.round(F.sum("weight"), 6).alias("total"),
+                                                          F.max("term").alias("last_term"))),
+    "similar_incidents": lambda spark, sf: txt.similar_incidents(
+        tt.table(spark, sf, "benchmark"), tt.table(spark, sf, "documents"), "item_id", "doc_id",
+        show=("source", "lang")),
+    "similarity_join": lambda spark, sf: _similar(spark, sf).select(
+        F.col("item_id").alias("qid"), F.col("doc_id").alias("did"), "rank",
+        F.bround("score", 3).alias("similarity")),
+    "doc_kb_recommender": _kb,
+}

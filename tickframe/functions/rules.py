@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,14 +81,27 @@ AUDIT_P4_KEYWORDS = ["how do i", "how to", "inquiry", "question", "request", "ac
 # End of fixed values.
 
 
+def lowered(text, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of the lower-cased text, which is computed once per row.
+
+    Keyword lists are array literals walked by lambdas: written out, a hundred
+    ``contains`` calls outgrow the size limit of generated code and run slower.
+    """
+    low = F.lower(F.coalesce(as_col(text), F.lit("")))
+    return F.element_at(F.transform(F.array(low), fn), 1)
+
+
+def _words(keywords: list[str]) -> Column:
+    return F.array(*[F.lit(k) for k in keywords])
+
+
 def any_hit(text: Column, keywords: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keywords])
+    return F.exists(_words(keywords), lambda k: F.contains(text, k))
 
 
 def hit_count(text: Column, keywords: list[str]) -> Column:
     """How many of the keywords occur in the (already lower-cased) text."""
-    return reduce(lambda a, b: a + b,
-                  [F.contains(text, F.lit(k)).cast("int") for k in keywords])
+    return F.size(F.filter(_words(keywords), lambda k: F.contains(text, k)))
 
 
 def incident_text(*cols) -> Column:
@@ -99,22 +112,23 @@ def incident_text(*cols) -> Column:
 
 def classify_category(text, rules: dict[str, list[str]] = CATEGORY_KEYWORDS) -> Column:
     """Category with most keyword hits; the first listed wins ties; no hit -> General."""
-    low = F.lower(F.coalesce(as_col(text), F.lit("")))
-    ranked = [
-        F.struct(hit_count(low, words).alias("hits"), F.lit(-i).alias("order"),
-                 F.lit(name).alias("name"))
-        for i, (name, words) in enumerate(rules.items())
-    ]
-    best = F.array_max(F.array(*ranked))
-    return F.when(best["hits"] > 0, best["name"]).otherwise("General")
+
+    def best(low: Column) -> Column:
+        return F.array_max(F.array(*[
+            F.struct(hit_count(low, words).alias("hits"), F.lit(-i).alias("order"),
+                     F.lit(name).alias("name"))
+            for i, (name, words) in enumerate(rules.items())]))
+
+    return lowered(text, lambda low: F.element_at(F.transform(F.array(best(low)), lambda b: F.when(
+        b["hits"] > 0, b["name"]).otherwise("General")), 1))
 
 
 def classify_subcategory(category, text, rules=SUBCATEGORY_KEYWORDS) -> Column:
     """First rule of the row's category with any hit, else General."""
-    cat, low = as_col(category), F.lower(F.coalesce(as_col(text), F.lit("")))
-    out = None
-    for name, labelled in rules.items():
-        for label, words in labelled:
-            cond = (cat == name) & any_hit(low, words)
-            out = F.when(cond, label) if out is None else out.when(cond, label)
-    return out.otherwise("General")
+    table = F.array(*[
+        F.struct(F.lit(name).alias("category"), F.lit(label).alias("label"), _words(words).alias("words"))
+        for name, labelled in rules.items() for label, words in labelled])
+    hits = lowered(text, lambda low: F.filter(
+        F.filter(table, lambda r: r["category"] == as_col(category)),
+        lambda r: F.exists(r["words"], lambda k: F.contains(low, k))))
+    return F.coalesce(F.try_element_at(hits, F.lit(1))["label"], F.lit("General"))
