@@ -36,8 +36,14 @@ def tokens(text, accents: bool = True) -> Column:
 
 
 def unigrams_bigrams(words) -> Column:
-    """The words followed by all pairs of neighbours."""
-    w = as_col(words)
-    pairs = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))),
-                       lambda a, b: F.concat_ws(" ", a, F.when(b.isNotNull(), b)))
-    return F.concat(w, F.slice(pairs, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))))
+    """The words followed by all pairs of neighbours.
+
+    The words are bound to a lambda variable, so they are split only once per text.
+    """
+
+    def both(w: Column) -> Column:
+        following = F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))
+        pairs = F.zip_with(w, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(w, F.array_compact(pairs))
+
+    return F.element_at(F.transform(F.array(as_col(words)), both), 1)

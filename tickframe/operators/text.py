@@ -21,10 +21,12 @@ MIN_SIMILARITY = 0.05
 
 def term_counts(texts: DataFrame, key: str, text: str, accents: bool = True) -> DataFrame:
     """(key, term, tf) for unigrams and bigrams; partitioned by the key."""
-    words = texts.select(F.col(key), F.col(text)).repartition(F.col(key)).select(
-        key, unigrams_bigrams(tokens(text, accents)).alias("terms"))
-    return words.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(
-        F.count("*").alias("tf"))
+    terms = unigrams_bigrams(tokens(text, accents))
+    # The outer form spares the size test that explode adds below the shuffle, which
+    # would split every text a second time.
+    return (texts.select(key, text).repartition(F.col(key))
+            .select(key, F.explode_outer(terms).alias("term")).where("term IS NOT NULL")
+            .groupBy(key, "term").agg(F.count("*").alias("tf")))
 
 
 def vocabulary(counts: DataFrame, n_texts: DataFrame, max_terms: int, min_df: int) -> DataFrame:
@@ -69,7 +71,7 @@ def similar(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, text: s
     doc = weights(counts, vocab, ckey).select(ckey, "term", F.col("weight").alias("dw"))
     query = weights(term_counts(queries, qkey, text), vocab, qkey).select(
         F.col(qkey).alias("_q"), "term", F.col("weight").alias("qw"))
-    n = term_counts(queries, qkey, text).count()
+    n = queries.agg(F.sum(F.size(unigrams_bigrams(tokens(text))))).first()[0] or 0
     parts = max(1, -(-n // max_postings))
     passes = []
     for i in range(parts):
