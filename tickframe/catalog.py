@@ -546,3 +546,84 @@ QUERIES |= {
         F.bround("score", 3).alias("similarity")),
     "doc_kb_recommender": _kb,
 }
+
+from tickframe.operators import classify as cls  # noqa: E402
+from tickframe.operators import documented as doc  # noqa: E402
+
+QUERIES |= {
+    "doc_rolling_7d": inc(doc.rolling_7d),
+    "doc_growth": inc(doc.growth),
+    "doc_mttr_variance_slope": inc(doc.mttr_variance_slope),
+    "doc_category_share": inc(doc.category_share),
+    "doc_reassign_rate_impact": inc(doc.reassign_rate_impact),
+    "doc_first_assignment_right": inc(doc.first_assignment_right),
+    "doc_tower_sdm_compare": inc(doc.tower_sdm_compare),
+    "doc_composite_score": inc(doc.composite_score),
+    "doc_pareto_80": inc(doc.pareto_80),
+    "doc_ownership_bands": snap(doc.ownership_bands),
+    "doc_aging_bands": inc(doc.aging_bands, **AT),
+    "doc_class_metrics": inc(cls.class_metrics, actual="priority", predicted="urgency"),
+    "doc_confusion": inc(lambda df: cls.confusion(aud.rule_audit(df), "current_priority", "suggested_priority")),
+    "doc_burndown": inc(doc.burndown),
+    "doc_affinity": inc(doc.affinity),
+    "doc_agent_ownership": snap(doc.agent_ownership),
+    "doc_queue_alerts": snap(doc.queue_alerts),
+    "doc_sla_variance": inc(doc.sla_variance),
+    "doc_cost": inc(doc.cost, rates={1: 120, 2: 90, 3: 60, 4: 45}),
+    "doc_reassign_causes": inc(doc.reassign_causes, text="short_description",
+                               causes={"parts": ["ring", "bolt"], "colour": ["red"]}),
+    "doc_tower_card": inc(doc.tower_card),
+    "doc_mttr_band": inc(doc.mttr_band),
+    "doc_mttr_quantiles": inc(doc.mttr_quantiles),
+}
+
+# ---- classifiers: one fit per session, data and label ----
+
+_MODELS: dict[tuple[str, str, str], cls.TextModel | None] = {}
+
+
+def _model(spark: SparkSession, sf: str, label: str) -> cls.TextModel | None:
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in _MODELS:
+        where = F.col("category") != "General" if label == "category" else None
+        _MODELS[key] = cls.train(with_text(tt.incidents(spark, sf)), label, where=where)
+    return _MODELS[key]
+
+
+def _request_text(spark: SparkSession, sf: str) -> DataFrame:
+    """What a caller sends: description and service, without the category."""
+    return tt.incidents(spark, sf).withColumn(
+        "text", rules.incident_text("short_description", "service_offering"))
+
+
+def _train(label: str) -> Query:
+    return lambda spark, sf: cls.training_report(tt.incidents(spark, sf), _model(spark, sf, label), label)
+
+
+def _predict_priority(spark: SparkSession, sf: str) -> DataFrame:
+    hinted = _request_text(spark, sf).withColumn("hint", F.when(F.col("seq") % 10 == 0, F.lit(1)))
+    return cls.predict_priority(_model(spark, sf, "priority"), hinted, hint="hint")
+
+
+def _model_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    df = tt.incidents(spark, sf)
+    predicted = cls.predict_category(_model(spark, sf, "category"), _request_text(spark, sf))
+    pairs = df.select("number", F.col("category").alias("actual")).join(predicted, "number")
+    return cls.class_metrics(pairs, "actual", "category")
+
+
+QUERIES |= {
+    "train_category": _train("category"),
+    "train_priority": _train("priority"),
+    "train_group": _train("assignment_group"),
+    "predict_category": lambda spark, sf: cls.predict_category(
+        _model(spark, sf, "category"), _request_text(spark, sf)),
+    "predict_priority": _predict_priority,
+    "predict_group_topk": lambda spark, sf: cls.predict_group_topk(
+        _model(spark, sf, "assignment_group"), with_text(tt.incidents(spark, sf)),
+        sco.group_stats(tt.incidents(spark, sf))),
+    "model_metrics": _model_metrics,
+    "doc_priority_mismatch": lambda spark, sf: cls.priority_mismatch(
+        cls.predict_priority(_model(spark, sf, "priority"), _request_text(spark, sf)),
+        tt.incidents(spark, sf), min_confidence=0.3),
+}

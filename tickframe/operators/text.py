@@ -38,15 +38,15 @@ def vocabulary(counts: DataFrame, n_texts: DataFrame, max_terms: int, min_df: in
     return top.select("term", idf.alias("idf"))
 
 
-def weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+def weights(counts: DataFrame, vocab: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, term, weight): sublinear tf times idf, unit length per text.
 
     The vocabulary holds at most ``max_terms`` rows: broadcasting it is bounded.
     """
     raw = counts.join(F.broadcast(vocab), "term").select(
-        key, "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("v"))
+        key, "term", *keep, ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("v") / norm).alias("weight"))
+    return raw.select(key, "term", *keep, (F.col("v") / norm).alias("weight"))
 
 
 def text_features(texts: DataFrame, key: str, text: str, max_terms: int = FEATURE_TERMS,
