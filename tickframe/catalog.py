@@ -627,3 +627,52 @@ QUERIES |= {
         cls.predict_priority(_model(spark, sf, "priority"), _request_text(spark, sf)),
         tt.incidents(spark, sf), min_confidence=0.3),
 }
+
+from tickframe.streaming import jobs  # noqa: E402
+
+
+def streamed(build: Callable[[SparkSession, str], DataFrame], name: str, mode: str = "update",
+             keys: list[str] | None = None) -> Query:
+    """Run a stream over what is available and read its changelog back."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        base = work_dir(spark, name)
+        query = jobs.to_changelog(build(spark, sf), f"{base}/out", f"{base}/checkpoint", mode)
+        query.awaitTermination()
+        return jobs.read_changelog(spark, f"{base}/out", keys)
+
+    return run
+
+
+def _stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The export arrives in files, two per batch; each ticket is stored once."""
+    base = work_dir(spark, "stream_ingest")
+    export = files.normalize_columns(tt.raw_export(spark, sf))
+    export.repartition(6, "number").write.parquet(f"{base}/in")
+    raw_stream = jobs.read_files(spark, f"{base}/in", export.schema, files_per_batch=2)
+    jobs.ingest(raw_stream, files.clean_incidents, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return sinks.read_clean(spark, f"{base}/table").select(
+        "number", "month", "state", "priority", "made_sla", "category", "created", "mttr_hours", "tower")
+
+
+def _twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event delivered twice."""
+    both = tt.event_stream(spark, sf).union(tt.event_stream(spark, sf))
+    return jobs.dedup(both, ["event_id"], "ts").select("event_id", "user_id", "event_type", "value")
+
+
+QUERIES |= {
+    "stream_ingest": _stream_ingest,
+    "stream_dedup": streamed(_twice, "stream_dedup", "append"),
+    "stream_kpis_tumbling": streamed(lambda spark, sf: jobs.tumbling_kpis(tt.event_stream(spark, sf)),
+                                     "stream_kpis", keys=["start", "event_type"]),
+    "stream_volume_sliding": streamed(lambda spark, sf: jobs.sliding_volume(tt.event_stream(spark, sf)),
+                                      "stream_sliding", keys=["start"]),
+    "stream_sessions": streamed(lambda spark, sf: jobs.sessions(tt.event_stream(spark, sf)),
+                                "stream_sessions", "append"),
+    "stream_aging_alerts": streamed(lambda spark, sf: jobs.aging_alerts(tt.order_stream(spark, sf), tt.AS_OF),
+                                    "stream_aging", "append"),
+    "stream_latest_state": streamed(
+        lambda spark, sf: jobs.latest_state(tt.update_stream(spark, sf), "number", "state", tt.UPDATE_ORDER + ["state"]),
+        "stream_latest", keys=["number"]),
+}

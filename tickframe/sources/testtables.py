@@ -225,3 +225,33 @@ def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat(F.lit("INC"), F.lpad((F.col("event_id") * 2).cast("string"), 9, "0"))
     return table(spark, sf_dir, "events").select(
         "event_id", number.alias("incident_number"), F.col("value").alias("csat_score"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from tickframe.streaming.jobs import read_files
+
+    return read_files(spark, sf_dir, table(spark, sf_dir, name).schema, glob=f"{name}.parquet")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets as they arrive: number, created, priority and state."""
+    k, digit, status = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
+    return _stream(spark, sf_dir, "orders").select(
+        F.concat(F.lit("INC"), F.lpad(k.cast("string"), 9, "0")).alias("number"),
+        F.timestamp_add("MINUTE", ((k % 24) * 60 + k % 60).cast("int"),
+                        F.col("o_orderdate").cast("timestamp")).alias("created"),
+        F.when(digit.isin("1", "2", "3", "4"), digit.cast("int")).otherwise(3).alias("priority"),
+        F.when(status == "F", F.when(k % 5 == 0, "Closed").otherwise("Resolved")).when(status == "P", "In Progress")
+        .otherwise(F.when(k % 3 == 0, "On Hold").otherwise("Open")).alias("state"))
+
+
+def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as ticket updates with a state."""
+    return _stream(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("INC"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("number"),
+        F.concat("l_linestatus", "l_returnflag").alias("state"), F.col("l_shipdate").cast("timestamp").alias("updated"),
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
