@@ -17,9 +17,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def over(source, fn, **kw) -> Query:
-    """The operator applied to one adapted table."""
-    return lambda spark, sf: fn(source(spark, sf), **kw)
+class Over:
+    """An operator applied to one adapted table."""
+
+    def __init__(self, source: Query, fn: Callable[..., DataFrame], kw: dict):
+        self.source, self.fn, self.kw = source, fn, kw
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.on(self.source(spark, sf_dir))
+
+    def on(self, df: DataFrame) -> DataFrame:
+        return self.fn(df, **self.kw)
+
+
+def over(source: Query, fn: Callable[..., DataFrame], **kw) -> Query:
+    return Over(source, fn, kw)
 
 
 def inc(fn, **kw) -> Query:

@@ -47,3 +47,23 @@ def unigrams_bigrams(words) -> Column:
         return F.concat(w, F.array_compact(pairs))
 
     return F.element_at(F.transform(F.array(as_col(words)), both), 1)
+
+
+def term_frequencies(terms) -> Column:
+    """array<struct<term, tf>> of an array of terms.
+
+    Counted inside the row by sorting: runs of equal neighbours. No text has to be
+    exploded, hashed by (text, term) and put together again just to count its words.
+    """
+
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.filter(F.sequence(F.lit(1), n),
+                          lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+        return F.element_at(F.transform(F.array(starts), lambda s: F.zip_with(
+            s, F.concat(F.slice(s, F.lit(2), n), F.array(n + 1)),
+            lambda a, b: F.struct(F.get(t, a - 1).alias("term"), (b - a).alias("tf")))), 1)
+
+    some = F.element_at(F.transform(F.array(F.sort_array(as_col(terms))),
+                                    lambda t: F.when(F.size(t) > 0, runs(t))), 1)
+    return some

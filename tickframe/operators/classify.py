@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tickframe.functions.clean import priority_short_label
 from tickframe.functions.rules import classify_subcategory
-from tickframe.operators.text import FEATURE_TERMS, term_counts, vocabulary, weights
+from tickframe.operators.text import FEATURE_TERMS, by_key, term_counts, vocabulary, weights
 from tickframe.session import work_dir
 
 # Training limits and answers without a model.
@@ -55,7 +55,7 @@ def _vectors(texts: DataFrame, key: str, text: str, terms: DataFrame, n_terms: i
         cells = sorted((c["idx"], c["weight"]) for c in cells or [])
         return SparseVector(n_terms, [i for i, _ in cells], [v for _, v in cells])
 
-    counts = term_counts(texts, key, text, accents=False)
+    counts = term_counts(by_key(texts, key, text), key, text, accents=False)
     cells = (weights(counts, terms, key, keep=("idx",)).groupBy(key)
              .agg(F.collect_list(F.struct("idx", "weight")).alias("cells")))
     return texts.select(key).join(cells, key, "left").select(key, sparse("cells").alias("features"))

@@ -1,8 +1,9 @@
 """TF-IDF weights and nearest texts.
 
-The texts are shuffled once by their key; everything per text (term counts, weights,
-norm, scores) then stays in that partitioning. Term statistics are aggregated map-side,
-and the vocabulary that comes back is bounded by ``max_terms``, so it is broadcast.
+Words are counted inside each row. The texts themselves are shuffled once by their key;
+weights, norm and scores of a text then add up in that partitioning. Term statistics are
+aggregated map-side from the same shuffled texts (Spark reuses the exchange), and the
+vocabulary that comes back is bounded by ``max_terms``, so it is broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.functions.text import tokens, unigrams_bigrams
+from tickframe.functions.text import term_frequencies, tokens, unigrams_bigrams
 
 FEATURE_TERMS = 8_000
 INDEX_TERMS = 12_000
@@ -20,13 +21,21 @@ MIN_SIMILARITY = 0.05
 
 
 def term_counts(texts: DataFrame, key: str, text: str, accents: bool = True) -> DataFrame:
-    """(key, term, tf) for unigrams and bigrams; partitioned by the key."""
-    terms = unigrams_bigrams(tokens(text, accents))
-    # The outer form spares the size test that explode adds below the shuffle, which
-    # would split every text a second time.
-    return (texts.select(key, text).repartition(F.col(key))
-            .select(key, F.explode_outer(terms).alias("term")).where("term IS NOT NULL")
-            .groupBy(key, "term").agg(F.count("*").alias("tf")))
+    """(key, term, tf) for unigrams and bigrams; ``key`` is unique, one row is one text."""
+    found = term_frequencies(unigrams_bigrams(tokens(text, accents)))
+    # The outer form spares the size test that inline adds, which would split every
+    # text a second time.
+    return (texts.select(key, text).select(key, F.inline_outer(found)).where("term IS NOT NULL"))
+
+
+def by_key(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts hashed by key, so that what is added up per text needs no shuffle of terms.
+
+    The number of partitions is given, so AQE does not merge them by the size of the
+    texts: each text multiplies into its terms right after this shuffle.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select(key, text).repartition(n, F.col(key))
 
 
 def vocabulary(counts: DataFrame, n_texts: DataFrame, max_terms: int, min_df: int) -> DataFrame:
@@ -52,7 +61,7 @@ def weights(counts: DataFrame, vocab: DataFrame, key: str, keep: tuple[str, ...]
 def text_features(texts: DataFrame, key: str, text: str, max_terms: int = FEATURE_TERMS,
                   min_df: int = 2, accents: bool = False) -> DataFrame:
     """TF-IDF features in long form; accents are stripped unless ``accents``."""
-    counts = term_counts(texts, key, text, accents)
+    counts = term_counts(by_key(texts, key, text), key, text, accents)
     return weights(counts, vocabulary(counts, texts, max_terms, min_df), key)
 
 
@@ -66,10 +75,10 @@ def similar(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, text: s
     corpus side stays partitioned by text, so a frequent term is no hot key, scores
     add up inside one task, and only k rows per query and task are shuffled.
     """
-    counts = term_counts(corpus, ckey, text)
+    counts = term_counts(by_key(corpus, ckey, text), ckey, text)
     vocab = vocabulary(counts, corpus, max_terms, 1)
     doc = weights(counts, vocab, ckey).select(ckey, "term", F.col("weight").alias("dw"))
-    query = weights(term_counts(queries, qkey, text), vocab, qkey).select(
+    query = weights(term_counts(by_key(queries, qkey, text), qkey, text), vocab, qkey).select(
         F.col(qkey).alias("_q"), "term", F.col("weight").alias("qw"))
     n = queries.agg(F.sum(F.size(unigrams_bigrams(tokens(text))))).first()[0] or 0
     parts = max(1, -(-n // max_postings))

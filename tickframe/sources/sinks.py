@@ -14,13 +14,13 @@ TABLE_EXTRAS = ["tower", "sdm", "priority_label", "urgency_label", "made_sla_boo
                 "hour", "dow", "mttr_hours"]
 
 
-def write_clean(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_clean(df: DataFrame, path: str, mode: str = "overwrite", extra: tuple[str, ...] = ()) -> None:
     """Cleaned incidents as Parquet by month.
 
     The rebalance hint lets AQE split a month that holds most rows over several
     files and merge small months' leftovers, instead of one file per task and month.
     """
-    extras = [c for c in TABLE_EXTRAS if c in df.columns]
+    extras = [c for c in (*TABLE_EXTRAS, *extra) if c in df.columns]
     (df.select(*CANONICAL_COLUMNS, *extras, "month").hint("rebalance", "month")
      .write.mode(mode).partitionBy("month").parquet(path))
 

@@ -1,11 +1,14 @@
 """Incidents and SLA snapshots derived from the order tables used for checking.
 
 One order is one ticket; its lines give duration, reassignments and reopenings.
-All rules are integer arithmetic on keys, so another engine can repeat them.
+All rules are integer arithmetic on keys, so another engine can repeat them. The
+functions remember the plans they built (not the data) per session and folder.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from tickframe.functions.clean import (
 AS_OF = "2001-08-02 14:00:00"
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +30,7 @@ def _plus(ts: Column, unit: str, n: Column) -> Column:
     return F.timestamp_add(unit, n.cast("int"), ts)
 
 
+@lru_cache(maxsize=64)
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned incidents, one row per order."""
     line = (
@@ -112,6 +117,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("o_custkey", "q", "p_type")
 
 
+@lru_cache(maxsize=64)
 def breach_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed snapshot of the open tickets, before the derived columns."""
     k, p = F.col("seq"), F.col("priority")
@@ -131,6 +137,7 @@ def breach_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def breach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_breach(breach_raw(spark, sf_dir), AS_OF)
 
