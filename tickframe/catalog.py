@@ -143,8 +143,13 @@ def _route(spark: SparkSession, sf: str) -> DataFrame:
             .select("conv_id", "turn", F.concat_ws(",", "sections").alias("sections"), "context"))
 
 
+RAW: dict[str, Query] = {
+    name: (lambda spark, sf, name=name: tt.table(spark, sf, name))
+    for name in ("documents", "conversations", "orders", "events", "customer")}
+
+
 def raw(name: str, fn, **kw) -> Query:
-    return lambda spark, sf: fn(tt.table(spark, sf, name), **kw)
+    return over(RAW[name], fn, **kw)
 
 
 QUERIES |= {

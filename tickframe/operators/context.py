@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.clean import ACTIVE_STATES, DONE_STATES, priority_short_label
-from tickframe.functions.numbers import hours_avg
-from tickframe.functions.rules import any_hit
+from tickframe.functions.numbers import HOURS, fixed_sum, mean_of
+from tickframe.functions.rules import any_hit, lowered
 
 # Section order, question keywords, headings, size of a context.
 SECTION_KEYWORDS: dict[str, list[str]] = {
@@ -52,90 +50,102 @@ def _line(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _fact(section: str, rank, label, value, line) -> Column:
-    return F.struct(F.lit(section).alias("section"), rank.cast("int").alias("rank"),
+def _fact(section: str, order: list, label, value, line) -> Column:
+    """One line of a section; ``order`` is a number to sort by, then a text."""
+    number, text = order
+    return F.struct(F.lit(section).alias("section"), number.cast("double").alias("o1"), text.alias("o2"),
                     label.cast("string").alias("label"), value.cast("double").alias("value"),
                     line.alias("line"))
 
 
-def _rank(*order) -> Column:
-    return F.row_number().over(Window.partitionBy().orderBy(*order))
+# How many lines a section shows.
+SECTION_LIMITS = {"group_workload": 8, "categories": 10, "monthly_trend": 6}
+# End of fixed values.
 
 
 def facts(df: DataFrame) -> DataFrame:
     """All nine sections as (section, rank, label, value, line).
 
-    Five aggregations over the tickets (total, priority, group, category, month)
-    and one top-5; ranks are windows over the aggregated rows.
+    Tickets are aggregated once to (priority, group, category, month) cells, the cells
+    to totals per priority, group, category, month and overall; a second, narrow scan
+    finds the five oldest tickets of highest priority.
     """
     live = F.col("state").isin(ACTIVE_STATES)
-    n, met = F.count("*"), F.count_if("made_sla_bool")
-    whole = df.agg(
-        n.alias("n"), F.count_if(live).alias("live"),
-        F.count_if(F.col("state").isin(DONE_STATES)).alias("done"), met.alias("met"),
-        hours_avg().alias("mttr"), F.min("created").alias("first"), F.max("created").alias("last"),
-        (F.sum("reassignment_count") / F.count("reassignment_count")).alias("moves"),
-        F.count_if(F.col("reassignment_count") >= 3).alias("many")).where("n > 0")
-    sla = 100.0 * F.col("met") / F.col("n")
-    day = lambda c: F.date_format(c, "dd MMM yyyy")
-    one = lambda i: F.lit(i)
-    overview = whole.select(F.inline(F.array(
-        _fact("overview", one(1), F.lit("total"), F.col("n"),
-              _line("**Platform Overview** (", _commas("n"), " total incidents)")),
-        _fact("overview", one(2), F.lit("active"), F.col("live"),
-              _line(BULLET, "Active: ", _commas("live"), "  |  Resolved/Closed: ", _commas("done"))),
-        _fact("overview", one(3), F.lit("sla_pct"), F.bround(sla, 1),
-              _line(BULLET, "Overall SLA compliance: ", _one(sla), "%")),
-        _fact("overview", one(4), F.lit("avg_mttr"), F.bround("mttr", 1),
-              _line(BULLET, "Overall avg MTTR: ", _one(F.col("mttr")), " hours")),
-        _fact("overview", one(5), F.lit("date_range"), F.lit(None),
-              _line(BULLET, "Data range: ", day("first"), " → ", day("last"))),
-        _fact("reassignment", one(1), F.lit("avg_reassignments"), F.bround("moves", 2),
-              _line(BULLET, "Avg reassignments per incident: ", _one(F.col("moves"), 2))),
-        _fact("reassignment", one(2), F.lit("high_reassignments"), F.col("many"),
-              _line(BULLET, "Incidents with 3+ reassignments: ", _commas("many"))),
-    ))).where("line IS NOT NULL")
-
-    pri = df.where("priority IS NOT NULL").groupBy("priority").agg(n.alias("n"), F.count_if(live).alias("live"))
-    label = F.coalesce(priority_short_label("priority"), F.concat(F.lit("P"), F.col("priority").cast("string")))
-    priority = pri.select(_fact(
-        "priority_breakdown", _rank("priority"), label, F.col("n"),
-        _line(BULLET, label, ": ", _commas("n"), " total, ", _commas("live"), " active")).alias("f"))
-
-    by_group = (df.where("assignment_group IS NOT NULL").groupBy(F.col("assignment_group").alias("g"))
-                .agg(n.alias("n"), F.count_if(live).alias("live"), hours_avg().alias("mttr"),
-                     (100.0 * met / n).alias("sla")))
-    workload = by_group.where("live > 0").orderBy(F.desc("live"), "g").limit(8).select(_fact(
-        "group_workload", _rank(F.desc("live"), "g"), F.col("g"), F.col("live"),
-        _line(BULLET, F.col("g"), ": ", _commas("live"), " active")).alias("f"))
-    mttr = by_group.where("mttr IS NOT NULL").select(_fact(
-        "mttr_by_group", _rank("mttr", "g"), F.col("g"), F.bround("mttr", 1),
-        _line(BULLET, F.col("g"), ": ", _one(F.col("mttr")), "h")).alias("f"))
-    compliance = by_group.select(_fact(
-        "sla_compliance", _rank(F.desc("sla"), "g"), F.col("g"), F.bround("sla", 1),
-        _line(BULLET, F.col("g"), ": ", _one(F.col("sla")), "%")).alias("f"))
-
-    cats = (df.groupBy("category").agg(n.alias("n"))
-            .withColumn("all", F.sum("n").over(Window.partitionBy()))
-            .where("category IS NOT NULL").orderBy(F.desc("n"), "category").limit(10))
-    share = 100.0 * F.col("n") / F.col("all")
-    categories = cats.select(_fact(
-        "categories", _rank(F.desc("n"), "category"), F.col("category"), F.col("n"),
-        _line(BULLET, F.col("category"), ": ", _commas("n"), " (", _one(share, 0), "%)")).alias("f"))
-
-    months = (df.where("month IS NOT NULL").groupBy("month").agg(n.alias("n"))
-              .orderBy(F.desc("month")).limit(6))
-    monthly = months.select(_fact("monthly_trend", _rank("month"), F.col("month"), F.col("n"),
-                                  _line(BULLET, F.col("month"), ": ", _commas("n"))).alias("f"))
-
+    keys = ["priority", "assignment_group", "category", "month"]
+    sums = ["n", "live", "done", "met", "s", "sn", "moves", "moved", "many"]
+    cells = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(live).alias("live"),
+        F.count_if(F.col("state").isin(DONE_STATES)).alias("done"), F.count_if("made_sla_bool").alias("met"),
+        fixed_sum("mttr_hours", HOURS).alias("s"), F.count("mttr_hours").alias("sn"),
+        F.sum("reassignment_count").alias("moves"), F.count("reassignment_count").alias("moved"),
+        F.count_if(F.col("reassignment_count") >= 3).alias("many"),
+        F.min("created").alias("first"), F.max("created").alias("last"))
+    sets = cells.groupingSets([[], *[[k] for k in keys]], *keys).agg(
+        F.grouping_id().alias("level"), *[F.sum(c).alias(c) for c in sums],
+        F.min("first").alias("first"), F.max("last").alias("last"))
+    n, sla = F.col("n"), F.try_divide(100.0 * F.col("met"), F.col("n"))
+    mttr = mean_of(F.col("s"), F.col("sn"), HOURS)
+    moves = F.try_divide(F.col("moves").cast("double"), F.col("moved"))
+    everything = F.max(F.when(F.col("level") == 15, n)).over(Window.partitionBy())
+    sets = sets.withColumn("all", everything).where("n > 0")
+    none, blank = F.lit(0), F.lit("")
+
+    def day(c):
+        return F.date_format(c, "dd MMM yyyy")
+
+    pri = F.coalesce(priority_short_label("priority"), F.concat(F.lit("P"), F.col("priority").cast("string")))
+    g, cat, month = F.col("assignment_group"), F.col("category"), F.col("month")
+    by_level = {
+        15: [
+            _fact("overview", [F.lit(1), blank], F.lit("total"), n,
+                  _line("**Platform Overview** (", _commas("n"), " total incidents)")),
+            _fact("overview", [F.lit(2), blank], F.lit("active"), F.col("live"),
+                  _line(BULLET, "Active: ", _commas("live"), "  |  Resolved/Closed: ", _commas("done"))),
+            _fact("overview", [F.lit(3), blank], F.lit("sla_pct"), F.bround(sla, 1),
+                  _line(BULLET, "Overall SLA compliance: ", _one(sla), "%")),
+            _fact("overview", [F.lit(4), blank], F.lit("avg_mttr"), F.bround(mttr, 1),
+                  _line(BULLET, "Overall avg MTTR: ", _one(mttr), " hours")),
+            _fact("overview", [F.lit(5), blank], F.lit("date_range"), F.lit(None),
+                  _line(BULLET, "Data range: ", day("first"), " → ", day("last"))),
+            _fact("reassignment", [F.lit(1), blank], F.lit("avg_reassignments"), F.bround(moves, 2),
+                  _line(BULLET, "Avg reassignments per incident: ", _one(moves, 2))),
+            _fact("reassignment", [F.lit(2), blank], F.lit("high_reassignments"), F.col("many"),
+                  _line(BULLET, "Incidents with 3+ reassignments: ", _commas("many"))),
+        ],
+        7: [_fact("priority_breakdown", [F.col("priority"), blank], pri, n,
+                  _line(BULLET, pri, ": ", _commas("n"), " total, ", _commas("live"), " active"))],
+        11: [
+            _fact("group_workload", [-F.nullif(F.col("live"), F.lit(0)), g], g, F.col("live"),
+                  _line(BULLET, g, ": ", _commas(F.nullif(F.col("live"), F.lit(0))), " active")),
+            _fact("mttr_by_group", [mttr, g], g, F.bround(mttr, 1), _line(BULLET, g, ": ", _one(mttr), "h")),
+            _fact("sla_compliance", [-sla, g], g, F.bround(sla, 1), _line(BULLET, g, ": ", _one(sla), "%")),
+        ],
+        13: [_fact("categories", [-n, cat], cat, n, _line(
+            BULLET, cat, ": ", _commas("n"), " (", _one(100.0 * n / F.col("all"), 0), "%)"))],
+        14: [_fact("monthly_trend", [none, month], month, n, _line(BULLET, month, ": ", _commas("n")))],
+    }
+    lines = F.lit(None)
+    for level, structs in by_level.items():
+        lines = F.when(F.col("level") == level, F.array(*structs)).otherwise(lines)
+    # A line is null where its key or its mean is.
+    rows = sets.select(F.inline(lines)).where("line IS NOT NULL")
     top = (df.where(live).select("priority", "created", "number", "short_description")
-           .orderBy("priority", "created", "number").limit(5))
-    listed = top.select(_fact(
-        "top_active_incidents", _rank("priority", "created", "number"), F.col("number"), F.col("priority"),
+           .orderBy("priority", "created", "number").limit(5)
+           .withColumn("pos", F.row_number().over(Window.partitionBy().orderBy("priority", "created", "number"))))
+    listed = top.select(F.inline(F.array(_fact(
+        "top_active_incidents", [F.col("pos"), blank], F.col("number"), F.col("priority"),
         _line(BULLET, "[", priority_short_label("priority"), "] ", F.col("number"), " — ",
-              F.substring("short_description", 1, 80))).alias("f"))
-    sections = [priority, workload, categories, mttr, compliance, monthly, listed]
-    return reduce(DataFrame.unionByName, [s.select("f.*") for s in sections], overview)
+              F.substring("short_description", 1, 80))))))
+    w = Window.partitionBy("section")
+    limits = F.create_map(*[F.lit(x) for kv in SECTION_LIMITS.items() for x in kv])
+    limit = F.try_element_at(limits, F.col("section"))
+    months = F.col("section") == "monthly_trend"
+    from_end = F.row_number().over(w.orderBy(F.desc("o1"), F.desc("o2")))
+    ranked = (rows.unionByName(listed).withColumn("end", from_end)
+              .where(~months | (F.col("end") <= SECTION_LIMITS["monthly_trend"]))
+              .withColumn("rank", F.row_number().over(w.orderBy("o1", "o2")))
+              .where(limit.isNull() | (F.col("rank") <= limit)))
+    return ranked.select("section", "rank", "label", "value", "line")
 
 
 def route(questions: DataFrame, facts_rows: DataFrame, text: str = "text") -> DataFrame:
@@ -150,9 +160,8 @@ def route(questions: DataFrame, facts_rows: DataFrame, text: str = "text") -> Da
     headings = F.create_map(*[F.lit(x) for kv in SECTION_HEADINGS.items() for x in kv])
     body = F.concat_ws("\n", F.try_element_at(headings, F.col("section")), F.col("lines"))
     book = lines.agg(F.map_from_entries(F.collect_list(F.struct("section", body))).alias("book"))
-    asked = F.array_compact(F.array(*[
-        F.when(any_hit(F.lower(F.col(text)), words), F.lit(name))
-        for name, words in SECTION_KEYWORDS.items()]))
+    asked = lowered(text, lambda low: F.array_compact(F.array(*[
+        F.when(any_hit(low, words), F.lit(name)) for name, words in SECTION_KEYWORDS.items()])))
     full = F.concat_ws("\n", F.transform(
         F.concat(F.array(F.lit("overview")), F.col("sections")),
         lambda s: F.try_element_at(F.col("_book"), s)))

@@ -21,12 +21,14 @@ def _per_month() -> Window:
 def rolling_7d(df: DataFrame, days: int = 7) -> DataFrame:
     """Daily volume and its moving average; days without tickets count as 0."""
     daily = df.where("created IS NOT NULL").groupBy(F.to_date("created").alias("day")).agg(F.count("*").alias("count"))
-    span = daily.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a IS NOT NULL")
-    calendar = span.select(F.explode(F.sequence("a", "b")).alias("day"))
-    # One row per day from here on.
-    w = Window.partitionBy().orderBy("day").rowsBetween(-(days - 1), 0)
-    return (calendar.join(daily, "day", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-            .withColumn("moving_avg", F.bround(F.sum("count").over(w) / F.count("*").over(w), 2))
+    # One row per day from here on; each day also stands for the empty days after it.
+    w = Window.partitionBy().orderBy("day")
+    gap = F.sequence("day", F.coalesce(F.date_sub(F.lead("day").over(w), 1), F.col("day")))
+    filled = daily.withColumn("gap", gap).select(F.explode("gap").alias("d"), "day", "count")
+    filled = filled.select(F.col("d").alias("day"),
+                           F.when(F.col("d") == F.col("day"), F.col("count")).otherwise(0).alias("count"))
+    back = w.rowsBetween(-(days - 1), 0)
+    return (filled.withColumn("moving_avg", F.bround(F.sum("count").over(back) / F.count("*").over(back), 2))
             .select(F.date_format("day", "yyyy-MM-dd").alias("date"), "count", "moving_avg"))
 
 

@@ -22,31 +22,34 @@ def dedup_removed(df: DataFrame, key: str = "number") -> DataFrame:
     return (df.groupBy(key).agg((F.count("*") - 1).alias("removed")).where("removed > 0"))
 
 
-def split_known(new: DataFrame, existing: DataFrame, key: str = "number") -> tuple[DataFrame, DataFrame]:
-    """(rows with an unseen key, rows whose key exists), keys compared trimmed.
+def known_keys(new: DataFrame, existing: DataFrame, key: str = "number") -> DataFrame:
+    """Trimmed keys (``_k``) of the upload that the register holds.
 
-    The register is far larger than an upload, so it is first reduced to the keys
-    that occur in the upload: a semi join whose small side Spark broadcasts when
-    its measured size allows. Only that result meets the upload again.
+    The register is far larger than an upload, so it is reduced to the keys that
+    occur in the upload: a semi join whose small side Spark broadcasts when its
+    measured size allows.
     """
-    k = F.trim(F.col(key))
-    wanted = new.select(k.alias("_k")).where("_k IS NOT NULL").distinct()
-    known = existing.select(k.alias("_k")).join(wanted, "_k", "left_semi").distinct()
-    keyed = new.withColumn("_k", k)
+    k = F.trim(F.col(key)).alias("_k")
+    wanted = new.select(k).where("_k IS NOT NULL").distinct()
+    return existing.select(k).join(wanted, "_k", "left_semi").distinct()
+
+
+def split_known(new: DataFrame, existing: DataFrame, key: str = "number") -> tuple[DataFrame, DataFrame]:
+    """(rows with an unseen key, rows whose key exists), keys compared trimmed."""
+    known = known_keys(new, existing, key)
+    keyed = new.withColumn("_k", F.trim(F.col(key)))
     return (keyed.join(known, "_k", "left_anti").drop("_k"),
             keyed.join(known, "_k", "left_semi").drop("_k"))
 
 
 def merge_incidents(new: DataFrame, existing: DataFrame, key: str = "number") -> DataFrame:
     """Counts of a merge: imported, skipped as known, total afterwards."""
-    fresh, known = split_known(new, existing, key)
-    counts = (
-        fresh.select(F.lit("fresh").alias("kind")).unionByName(known.select(F.lit("known").alias("kind")))
-        .unionByName(existing.select(F.lit("existing").alias("kind")))
-        .agg(F.count_if(F.col("kind") == "fresh").alias("records_imported"),
-             F.count_if(F.col("kind") == "known").alias("duplicates_skipped"),
-             F.count_if(F.col("kind") != "known").alias("total_in_system")))
-    return counts
+    known = known_keys(new, existing, key).withColumn("_hit", F.lit(True))
+    rows = new.select(F.trim(F.col(key)).alias("_k")).join(known, "_k", "left")
+    counts = rows.agg(F.count_if(F.col("_hit").isNull()).alias("records_imported"),
+                      F.count("_hit").alias("duplicates_skipped"))
+    n = existing.agg(F.count("*").alias("n")).scalar()
+    return counts.withColumn("total_in_system", F.col("records_imported") + n)
 
 
 def union_existing(existing: DataFrame, new: DataFrame, key: str = "number") -> DataFrame:

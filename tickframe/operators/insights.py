@@ -39,30 +39,34 @@ def _emit(one_row: DataFrame, rows: list[tuple[Column, Column]]) -> DataFrame:
     return one_row.select(F.inline(F.filter(cells, lambda c: c.isNotNull())))
 
 
-def _top(counts: DataFrame, name: str, measure: str) -> Column:
-    """Name with the largest measure, first name on ties, over aggregated rows."""
-    return F.min_by(F.col(name), F.struct(-F.col(measure), F.col(name)))
+def _first_largest(name: str, measure: Column) -> Column:
+    """Name with the largest measure, first name on ties; rows without a measure are out."""
+    return F.min_by(F.when(measure.isNotNull(), F.col(name)),
+                    F.when(measure.isNotNull(), F.struct(-measure, F.col(name))))
 
 
 def monitoring(df: DataFrame) -> DataFrame:
-    """Six insights. Tickets are aggregated once by (group, category), then once more."""
+    """Six insights from one pass: tickets to (group, category) cells, cells to totals per
+    group, per category and overall, and those few rows to one."""
     live = F.col("state").isin(ACTIVE_STATES)
+    sums = ["n", "met", "live", "crit", "moves", "moved", "many", "held"]
     cells = df.groupBy("assignment_group", "category").agg(
         F.count("*").alias("n"), F.count_if("made_sla_bool").alias("met"),
         F.count_if(live).alias("live"), F.count_if(live & F.col("priority").isin(1, 2)).alias("crit"),
         F.sum("reassignment_count").alias("moves"), F.count("reassignment_count").alias("moved"),
         F.count_if(F.col("reassignment_count") >= 3).alias("many"),
         F.count_if(F.col("state") == "On Hold").alias("held"))
-    sums = ["n", "met", "live", "crit", "moves", "moved", "many", "held"]
-    groups = (cells.groupBy("assignment_group")
-              .agg(F.sum("live").alias("live")).where("live > 0 AND assignment_group IS NOT NULL")
-              .agg(_top(None, "assignment_group", "live").alias("top_group"),
-                   F.max("live").alias("top_count"), F.count("*").alias("n_groups")))
-    cats = (cells.where("category IS NOT NULL").groupBy("category").agg(F.sum("n").alias("n"))
-            .agg(_top(None, "category", "n").alias("top_cat"), F.max("n").alias("top_n")))
-    # Three one-row results, side by side.
-    one = (cells.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).withColumn("k", F.lit(1))
-           .join(groups.withColumn("k", F.lit(1)), "k").join(cats.withColumn("k", F.lit(1)), "k"))
+    level = F.grouping_id()  # 3: overall, 1: per group, 2: per category
+    sets = cells.groupingSets([[], ["assignment_group"], ["category"]], "assignment_group", "category").agg(
+        level.alias("level"), *[F.sum(c).alias(c) for c in sums])
+    group_load = F.when((F.col("level") == 1) & F.col("assignment_group").isNotNull() & (F.col("live") > 0),
+                        F.col("live"))
+    cat_rows = F.when((F.col("level") == 2) & F.col("category").isNotNull(), F.col("n"))
+    one = sets.agg(
+        *[F.coalesce(F.max(F.when(F.col("level") == 3, F.col(c))), F.lit(0)).alias(c) for c in sums],
+        _first_largest("assignment_group", group_load).alias("top_group"),
+        F.max(group_load).alias("top_count"), F.count(group_load).alias("n_groups"),
+        _first_largest("category", cat_rows).alias("top_cat"), F.max(cat_rows).alias("top_n"))
     n = F.col("n")
     sla = F.coalesce(F.try_divide(100.0 * F.col("met"), n), F.lit(0.0))
     load = F.try_divide(F.col("top_count").cast("double"), F.try_divide(F.col("live"), F.col("n_groups")))
@@ -108,35 +112,35 @@ def monitoring(df: DataFrame) -> DataFrame:
 
 
 def trends(df: DataFrame) -> DataFrame:
-    """Five insights from the last two months, the categories and the linear slope."""
+    """Five insights from the last two months, the categories and the linear slope.
+
+    One pass: tickets to (month, category) cells, cells to totals per month and per
+    category; the windows run over one row per month.
+    """
+    sums = ["n", "met", "s", "sn"]
     cells = df.groupBy("month", "category").agg(
         F.count("*").alias("n"), F.count_if("made_sla_bool").alias("met"),
         fixed_sum("mttr_hours", HOURS).alias("s"), F.count("mttr_hours").alias("sn"))
-    months = (cells.where("month IS NOT NULL").groupBy("month")
-              .agg(*[F.sum(c).alias(c) for c in ("n", "met", "s", "sn")]))
-    # One row per month from here on.
-    by_month = Window.partitionBy().orderBy("month")
-    timed = months.where("sn > 0").select(
-        "month", mean_of(F.col("s"), F.col("sn"), HOURS).alias("mttr")) \
-        .withColumn("prev", F.lag("mttr").over(by_month))
-    last_mttr = timed.agg(F.max_by("mttr", "month").alias("mttr"), F.max_by("prev", "month").alias("mttr_prev"))
-    counted = months.withColumns({
+    rows = cells.groupingSets([["month"], ["category"]], "month", "category").agg(
+        F.grouping_id().alias("level"), *[F.sum(c).alias(c) for c in sums])
+    rows = rows.where(F.when(F.col("level") == 1, F.col("month")).otherwise(F.col("category")).isNotNull()) \
+        .withColumns({"mean": F.when(F.col("sn") > 0, mean_of(F.col("s"), F.col("sn"), HOURS)),
+                      "sla": 100.0 * F.col("met") / F.col("n")})
+    by_month = Window.partitionBy("level").orderBy("month")
+    before = by_month.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
         "x": (F.row_number().over(by_month) - 1).cast("double"),
-        "n_prev": F.lag("n").over(by_month),
-        "sla": 100.0 * F.col("met") / F.col("n"),
-    }).withColumn("sla_prev", F.lag("sla").over(by_month))
-    last = counted.agg(
-        F.count("*").alias("months"), F.max_by("n", "month").alias("n"),
-        F.max_by("n_prev", "month").alias("n_prev"), F.max_by("sla", "month").alias("sla"),
-        F.max_by("sla_prev", "month").alias("sla_prev"),
-        F.regr_slope("n", "x").alias("slope"))
-    cats = (cells.where("category IS NOT NULL").groupBy("category")
-            .agg(F.sum("s").alias("s"), F.sum("sn").alias("sn")).where("sn > 0")
-            .withColumn("mean", mean_of(F.col("s"), F.col("sn"), HOURS))
-            .agg(F.min_by("category", F.struct(-F.col("mean"), F.col("category"))).alias("worst"),
-                 F.max("mean").alias("worst_mttr")))
-    one = (last.withColumn("k", F.lit(1)).join(last_mttr.withColumn("k", F.lit(1)), "k")
-           .join(cats.withColumn("k", F.lit(1)), "k"))
+        "n_prev": F.lag("n").over(by_month), "sla_prev": F.lag("sla").over(by_month),
+        "mean_prev": F.last("mean", ignorenulls=True).over(before)})
+    monthly = F.col("level") == 1
+    month, timed = F.when(monthly, F.col("month")), F.when(monthly & F.col("mean").isNotNull(), F.col("month"))
+    slow = F.when(~monthly, F.col("mean"))
+    one = rows.agg(
+        F.count(month).alias("months"), F.max_by("n", month).alias("n"), F.max_by("n_prev", month).alias("n_prev"),
+        F.max_by("sla", month).alias("sla"), F.max_by("sla_prev", month).alias("sla_prev"),
+        F.max_by("mean", timed).alias("mttr"), F.max_by("mean_prev", timed).alias("mttr_prev"),
+        F.regr_slope(F.when(monthly, F.col("n")), F.col("x")).alias("slope"),
+        _first_largest("category", slow).alias("worst"), F.max(slow).alias("worst_mttr"))
     delta = (F.col("n") - F.col("n_prev")) / F.greatest(F.col("n_prev"), F.lit(1)) * 100.0
     shift = F.col("mttr") - F.col("mttr_prev")
     slope = F.col("slope")

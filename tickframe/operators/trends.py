@@ -118,50 +118,43 @@ def monthly_counts(df: DataFrame) -> DataFrame:
 def forecast(df: DataFrame, periods: int = 6) -> DataFrame:
     """Observed months, then a weighted linear trend times a month-of-year factor.
 
-    Weights run evenly from 0.5 to 1 and enter the least-squares fit squared.
-    The windows below run over one row per month, not over tickets.
+    Weights run evenly from 0.5 to 1 and enter the least-squares fit squared. Tickets
+    are read once; everything after the monthly count is a window over one row per
+    month, and the last month's row unfolds into the months to come.
     """
-    whole = Window.partitionBy()
+    whole, in_order = Window.partitionBy(), Window.partitionBy().orderBy("period")
     months = monthly_counts(df).select(
-        "period", "count",
-        (F.row_number().over(Window.partitionBy().orderBy("period")) - 1).cast("double").alias("x"),
-        F.count("*").over(whole).alias("m"),
-        F.col("count").cast("double").alias("y"))
+        "period", "count", (F.row_number().over(in_order) - 1).cast("double").alias("x"),
+        F.count("*").over(whole).alias("m"), F.col("count").cast("double").alias("y"),
+        F.substring("period", 6, 2).cast("int").alias("mon"))
     weight = F.lit(0.5) + F.col("x") * F.try_divide(F.lit(0.5), F.col("m") - 1)
-    months = months.withColumn("w", weight * weight)
+    months = months.withColumns({"w": weight * weight, "mean": F.avg("y").over(whole),
+                                 "season": F.avg("y").over(Window.partitionBy("mon"))})
     sw = F.sum("w").over(whole)
-    months = months.withColumns({"xm": F.sum(F.col("w") * F.col("x")).over(whole) / sw,
-                                 "ym": F.sum(F.col("w") * F.col("y")).over(whole) / sw})
+    months = months.withColumns({
+        "xm": F.sum(F.col("w") * F.col("x")).over(whole) / sw, "ym": F.sum(F.col("w") * F.col("y")).over(whole) / sw,
+        # At most twelve entries: the mean of each month of the year.
+        "seasons": F.map_from_entries(F.collect_set(F.struct("mon", "season")).over(whole))})
     dx = F.col("x") - F.col("xm")
-    fit = months.where("m >= 3").agg(
-        F.try_divide(F.sum(F.col("w") * dx * (F.col("y") - F.col("ym"))),
-                     F.sum(F.col("w") * dx * dx)).alias("slope"),
-        F.max("xm").alias("xm"), F.max("ym").alias("ym"), F.max("m").alias("m"),
-        F.max(F.to_date(F.concat("period", F.lit("-01")))).alias("last"),
-        F.avg("y").alias("mean"))
-    future = (
-        fit.where("slope IS NOT NULL")
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("i"))
-        .withColumn("month", F.add_months("last", F.col("i")))
-        .withColumn("trend", F.greatest(F.lit(0.0), F.col("ym") + F.col("slope") * (
-            F.col("m") + F.col("i") - 1 - F.col("xm"))))
-        .withColumn("mon", F.month("month"))
-    )
-    season = (months.groupBy(F.substring("period", 6, 2).cast("int").alias("mon"))
-              .agg(F.avg("y").alias("season_mean")))
-    pred = F.bround(F.col("trend") * F.coalesce(F.col("season_mean") / F.col("mean"), F.lit(1.0)), 0)
-    band = F.bround(F.col("pred") * 0.12, 0)
-    predicted = (
-        future.join(season, "mon", "left").withColumn("pred", pred)
-        .select(F.date_format("month", "yyyy-MM").alias("period"),
-                F.col("pred").cast("long").alias("count"),
-                F.greatest(F.lit(0.0), F.col("pred") - band).alias("ci_lower"),
-                (F.col("pred") + band).alias("ci_upper"),
-                F.lit("forecast").alias("type")))
-    nothing = F.lit(None).cast("double")
-    history = months.select("period", "count", nothing.alias("ci_lower"),
-                            nothing.alias("ci_upper"), F.lit("actual").alias("type"))
-    return history.unionByName(predicted).orderBy("period")
+    months = months.withColumn("slope", F.try_divide(
+        F.sum(F.col("w") * dx * (F.col("y") - F.col("ym"))).over(whole), F.sum(F.col("w") * dx * dx).over(whole)))
+
+    def row(period, count, lower, upper, kind):
+        return F.struct(period.alias("period"), count.cast("long").alias("count"), lower.cast("double").alias("ci_lower"),
+                        upper.cast("double").alias("ci_upper"), F.lit(kind).alias("type"))
+
+    def future(i: Column) -> Column:
+        month = F.add_months(F.to_date(F.concat("period", F.lit("-01"))), i)
+        trend = F.greatest(F.lit(0.0), F.col("ym") + F.col("slope") * (F.col("m") + i - 1 - F.col("xm")))
+        factor = F.coalesce(F.try_element_at("seasons", F.month(month)) / F.col("mean"), F.lit(1.0))
+        pred = F.bround(trend * factor, 0)
+        band = F.bround(pred * 0.12, 0)
+        return row(F.date_format(month, "yyyy-MM"), pred, F.greatest(F.lit(0.0), pred - band), pred + band, "forecast")
+
+    actual = F.array(row(F.col("period"), F.col("count"), F.lit(None), F.lit(None), "actual"))
+    last = (F.col("x") == F.col("m") - 1) & (F.col("m") >= 3) & F.col("slope").isNotNull()
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(periods)), future)
+    return months.select(F.inline(F.when(last, F.concat(actual, ahead)).otherwise(actual))).orderBy("period")
 
 
 def root_cause(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.clean import ACTIVE_STATES, DONE_STATES
@@ -131,7 +131,8 @@ def register_presets(df: DataFrame) -> DataFrame:
 def filter_options(df: DataFrame) -> DataFrame:
     """Sorted choices per filter and the date range, in long form.
 
-    One pass: the five columns are unpivoted and de-duplicated before the shuffle.
+    One pass: the columns are unpivoted and de-duplicated before the shuffle; of the
+    distinct days only the first and the last stay.
     """
     kinds = [("towers", "tower", True), ("sdms", "sdm", True),
              ("groups", "assignment_group", False), ("categories", "category", False),
@@ -139,13 +140,15 @@ def filter_options(df: DataFrame) -> DataFrame:
     pairs = [F.struct(F.lit(k).alias("option"),
                       F.when((F.trim(c) != "") if skip_blank else F.col(c).isNotNull(),
                              F.col(c)).alias("value")) for k, c, skip_blank in kinds]
-    dates = [F.struct(F.lit(k).alias("option"), fn.alias("value")) for k, fn in
-             [("date_min", F.date_format(F.min("created"), "yyyy-MM-dd")),
-              ("date_max", F.date_format(F.max("created"), "yyyy-MM-dd"))]]
-    values = (df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).distinct())
-    return values.unionByName(
-        df.agg(F.array(*dates).alias("d")).select(F.inline("d")).where("value IS NOT NULL")
-    ).orderBy("option", "value")
+    pairs.append(F.struct(F.lit("date").alias("option"), F.date_format("created", "yyyy-MM-dd").alias("value")))
+    values = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).distinct()
+    w = Window.partitionBy("option")
+    is_date = F.col("option") == "date"
+    names = (F.when(~is_date, F.array("option"))
+             .otherwise(F.array_compact(F.array(F.when(F.col("value") == F.col("lo"), "date_min"),
+                                                F.when(F.col("value") == F.col("hi"), "date_max")))))
+    return (values.withColumns({"lo": F.min("value").over(w), "hi": F.max("value").over(w)})
+            .select(F.explode(names).alias("option"), "value").orderBy("option", "value"))
 
 
 def filtered_of_total(df: DataFrame, filters: Filters | dict) -> DataFrame:

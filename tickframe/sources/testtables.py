@@ -120,12 +120,16 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=64)
 def breach_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed snapshot of the open tickets, before the derived columns."""
+    return breach_of(incidents(spark, sf_dir))
+
+
+def breach_of(tickets: DataFrame) -> DataFrame:
     k, p = F.col("seq"), F.col("priority")
     as_of = F.lit(AS_OF).cast("timestamp")
     pct = ((k * 7919) % 17600).cast("double") / 100.0
     sla = F.when(p == 1, 4).when(p == 2, 8).when(p == 3, 72).otherwise(120)
     label = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY_TEXT.items() for x in kv]), p)
-    return incidents(spark, sf_dir).where(~F.col("state").isin(DONE_STATES)).select(
+    return tickets.where(~F.col("state").isin(DONE_STATES)).select(
         F.col("number").alias("task"), "seq", "created", "assignment_group", "service_offering",
         "assigned_to", "reassignment_count", "reopen_count", label.alias("priority"),
         F.when(F.col("state") == "On Hold", "On Hold").otherwise("In Progress").alias("state"),
