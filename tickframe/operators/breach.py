@@ -12,7 +12,7 @@ from tickframe.functions.buckets import (
 )
 from tickframe.functions.clean import agent_name, hours_between
 from tickframe.functions.numbers import clean_nan_zero, fixed_avg, ratio_pct
-from tickframe.plans.shape import conditional_counts
+from tickframe.plans.shape import conditional_counts, top_with_total
 from tickframe.schema import SLA_CONTRACT
 
 ELAPSED = "business_elapsed_percentage"
@@ -102,18 +102,14 @@ def sla_compliance(df: DataFrame) -> DataFrame:
 
 def by_service(df: DataFrame, n: int = 12) -> DataFrame:
     """Pareto of services; shares are of all tickets, those without a service included."""
-    groups = (df.groupBy("service_offering")
-              .agg(F.count("*").alias("rows"), F.count("task").alias("count"),
-                   _late().alias("already_breached"), _mean(ELAPSED).alias("avg_elapsed_pct"),
-                   F.count_if("on_hold").alias("on_hold_count"),
-                   _mean0("overdue_biz_hours").alias("avg_overdue_hours"))
-              .withColumn("all", F.sum("rows").over(Window.partitionBy())))
-    top = groups.where("service_offering IS NOT NULL").orderBy(F.desc("count"), "service_offering").limit(n)
+    aggs = [F.count("*").alias("count"), _late().alias("already_breached"), _mean(ELAPSED).alias("avg_elapsed_pct"),
+            F.count_if("on_hold").alias("on_hold_count"), _mean0("overdue_biz_hours").alias("avg_overdue_hours")]
+    top = top_with_total(df, "service_offering", aggs, "count", n)
     running = F.sum("count").over(Window.partitionBy().orderBy(F.desc("count"), "service_offering")
                                   .rowsBetween(Window.unboundedPreceding, 0))
-    return (top.withColumn("pct_total", ratio_pct(F.col("count"), F.col("all")))
-            .withColumn("cumulative_pct", ratio_pct(running, F.col("all")))
-            .drop("rows", "all").orderBy(F.desc("count"), "service_offering"))
+    return (top.withColumn("pct_total", ratio_pct(F.col("count"), F.col("_total")))
+            .withColumn("cumulative_pct", ratio_pct(running, F.col("_total")))
+            .drop("_total").orderBy(F.desc("count"), "service_offering"))
 
 
 def by_group(df: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def link_counts(rows: DataFrame, incidents: DataFrame, count_skipped: bool = Tru
     """How many imported rows link to a known incident.
 
     Rows are pre-counted per key before the join, so a key that holds most of the
-    import meets the register once and not once per row.
+    import meets the register once and not once per row; the register is reduced to
+    the import's keys before anything of it is shuffled.
     """
     key = link_key(rows.columns)
     skipped = (F.col("records_imported") - F.col("records_merged")) if count_skipped else F.lit(0).cast("long")
@@ -76,7 +77,8 @@ def link_counts(rows: DataFrame, incidents: DataFrame, count_skipped: bool = Tru
                               "duplicates_skipped": F.lit(0).cast("long"),
                               "validation_warnings": F.lit(1)}))
     per_key = rows.groupBy(F.col(key).alias("number")).agg(F.count("*").alias("n"))
-    known = incidents.select("number").where("number IS NOT NULL").distinct().withColumn("hit", F.lit(True))
+    known = (incidents.select("number").join(per_key.select("number"), "number", "left_semi").distinct()
+             .withColumn("hit", F.lit(True)))
     return (per_key.join(known, "number", "left")
             .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records_imported"),
                  F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("records_merged"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickframe.functions.clean import ACTIVE_STATES, DONE_STATES
 from tickframe.functions.numbers import clean_nan, hours_avg, ratio_pct, ratio_pct_or_zero
-from tickframe.plans.shape import conditional_counts, top_n_others, with_share
+from tickframe.plans.shape import conditional_counts, top_n_others, top_with_total, with_share
 
 STATE_COLUMNS = {"Open": "open", "In Progress": "in_progress", "On Hold": "on_hold",
                  "Resolved": "resolved", "Closed": "closed"}
@@ -142,8 +142,10 @@ def incidents_page_total(df: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def _top_share(df: DataFrame, column: str, n: int) -> DataFrame:
-    counts = df.where(F.trim(column) != "").groupBy(column).agg(F.count("*").alias("count"))
-    return with_share(counts).orderBy(F.desc("count"), column).limit(n)
+    named = df.where(F.trim(column) != "")
+    return (top_with_total(named, column, [F.count("*").alias("count")], "count", n)
+            .withColumn("percentage", ratio_pct(F.col("count"), F.col("_total"))).drop("_total")
+            .orderBy(F.desc("count"), column))
 
 
 def top_services(df: DataFrame, n: int = 10) -> DataFrame:

@@ -67,7 +67,7 @@ def text_features(texts: DataFrame, key: str, text: str, max_terms: int = FEATUR
 
 def similar(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, text: str = "text",
             k: int = 5, min_score: float = MIN_SIMILARITY, max_terms: int = INDEX_TERMS,
-            max_postings: int = 2_000_000) -> DataFrame:
+            max_postings: int = 1_000_000) -> DataFrame:
     """The k most similar corpus texts per query by cosine: (qkey, ckey, score, rank).
 
     Exact. The query side (its postings) is broadcast, after counting them; a batch

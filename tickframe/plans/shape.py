@@ -19,6 +19,19 @@ def with_share(counts: DataFrame, measure: str = "count", name: str = "percentag
     return counts.withColumn(name, ratio_pct(F.col(measure), total))
 
 
+def top_with_total(df: DataFrame, name: str, aggs: list[Column], rank_by: str, n: int) -> DataFrame:
+    """The n largest groups, each with ``_total``: ``rank_by`` over all groups, blank ones included.
+
+    The rollup's grand total travels as one more row through the distributed top-k, so
+    however many groups there are, only n + 1 rows reach one task.
+    """
+    rows = df.rollup(name).agg(F.grouping_id().alias("_level"), *aggs)
+    top = (rows.where((F.col("_level") == 1) | F.col(name).isNotNull())
+           .orderBy(F.desc("_level"), F.desc(rank_by), name).limit(n + 1))
+    total = F.max(F.when(F.col("_level") == 1, F.col(rank_by))).over(Window.partitionBy())
+    return top.withColumn("_total", total).where("_level = 0").drop("_level")
+
+
 def top_n_others(rows: DataFrame, name: str, rank_by: str, measures: list[str], n: int,
                  label: str = "Others", tie: str | None = None) -> DataFrame:
     """The n largest rows plus one row summing all others; ``folded`` counts them."""

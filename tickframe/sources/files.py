@@ -71,7 +71,7 @@ def canonical_select(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 # ---- reading -----------------------------------------------------------------
 
-def _csv(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
+def _csv(spark: SparkSession, path: str | list[str], encoding: str, multi_line: bool) -> DataFrame:
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("multiLine", multi_line).option("escape", '"').option("encoding", encoding).csv(path))
     # Position inside the input: file, block, row within the block.
@@ -79,20 +79,27 @@ def _csv(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> Dat
                                    F.monotonically_increasing_id().alias("row")).alias("_pos"))
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All-text CSV with a ``_pos`` column; UTF-8, or Latin-1 where that does not decode.
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, encoding: str | None = None) -> DataFrame:
+    """All-text CSV with a ``_pos`` column.
 
-    Notes hold line breaks, so ``multiLine`` is on and one file is one task: export
-    to many files and keep the result as Parquet.
+    Without ``encoding`` the files are read as UTF-8 and those that do not decode as
+    Latin-1, which takes one more pass to find them: name the encoding where it is
+    known. Notes hold line breaks, so ``multiLine`` is on and one file is one task:
+    export to many files and keep the result as Parquet.
     """
-    df = _csv(spark, path, "UTF-8", multi_line)
-    texts = [c for c in df.columns if c != "_pos"]
+    df = _csv(spark, path, encoding or "UTF-8", multi_line)
+    if encoding:
+        return df
     broken = F.lit(False)
-    for c in texts:
-        broken = broken | F.coalesce(F.contains(F.col(f"`{c}`"), F.lit("�")), F.lit(False))
-    if df.where(broken).isEmpty():
+    for c in df.columns:
+        if c != "_pos":
+            broken = broken | F.coalesce(F.contains(F.col(f"`{c}`"), F.lit("\ufffd")), F.lit(False))
+    bad = [r[0] for r in df.where(broken).select("_pos.file_path").distinct().collect()]
+    if not bad:
         return df
-    return _csv(spark, path, "ISO-8859-1", multi_line)
+    again = _csv(spark, bad, "ISO-8859-1", multi_line)
+    good = df.where(~F.col("_pos.file_path").isin(bad))
+    return again if good.isEmpty() else good.unionByName(again)
 
 
 def read_many(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
