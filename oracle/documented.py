@@ -79,7 +79,7 @@ SQL = {
     "doc_sla_variance": inc(f"""SELECT period, priority, a AS actual_pct, CAST(90 AS DOUBLE) AS target_pct, round_even(a - 90, 1) AS variance FROM
         (SELECT month AS period, priority, {pct(MET, 'count(*)')} AS a FROM inc GROUP BY 1, 2)"""),
     "doc_cost": inc("""SELECT "group", priority, tickets, round_even(s / CAST(3600 AS DOUBLE), 1) AS hours, round_even(s / CAST(3600 AS DOUBLE) * rate, 0) AS cost,
-        round_even(s / (CAST(tickets AS DOUBLE) * CAST(3600 AS DOUBLE)) * rate, 2) AS cost_per_ticket FROM
+        s / (CAST(tickets AS DOUBLE) * CAST(3600 AS DOUBLE)) * rate AS cost_per_ticket FROM
         (SELECT assignment_group AS "group", priority, count(*) AS tickets, CAST(sum(CAST(round(mttr_hours * 3600) AS BIGINT)) AS DOUBLE) AS s,
                 CAST(CASE priority WHEN 1 THEN 120 WHEN 2 THEN 90 WHEN 3 THEN 60 ELSE 45 END AS DOUBLE) AS rate FROM inc WHERE mttr_hours IS NOT NULL GROUP BY 1, 2)"""),
     "doc_reassign_causes": inc("""SELECT assignment_group AS "group", count(*) AS tickets, CAST(sum(reassignment_count) AS BIGINT) AS reassignments,

@@ -217,7 +217,10 @@ def sla_variance(df: DataFrame, target: float = COMPLIANCE_TARGET) -> DataFrame:
 
 
 def cost(df: DataFrame, rates: dict[int, float]) -> DataFrame:
-    """Volume, hours and cost per group and priority at an hourly rate per priority."""
+    """Volume, hours and cost per group and priority at an hourly rate per priority.
+
+    The cost per ticket is left unrounded: at given rates many values fall on half cents.
+    """
     rate = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p, r in rates.items() for x in (p, float(r))]),
                                        F.col("priority")), F.lit(0.0))
     return (df.where("mttr_hours IS NOT NULL AND assignment_group IS NOT NULL")
@@ -225,7 +228,7 @@ def cost(df: DataFrame, rates: dict[int, float]) -> DataFrame:
             .agg(F.count("*").alias("tickets"), fixed_sum("mttr_hours", HOURS).alias("s"))
             .select("group", "priority", "tickets", F.bround(F.col("s") / 3600.0, 1).alias("hours"),
                     F.bround(F.col("s") / 3600.0 * rate, 0).alias("cost"),
-                    F.bround(mean_of(F.col("s"), F.col("tickets"), HOURS) * rate, 2).alias("cost_per_ticket")))
+                    (mean_of(F.col("s"), F.col("tickets"), HOURS) * rate).alias("cost_per_ticket")))
 
 
 # Words in notes that hint at why a ticket moved.
