@@ -73,6 +73,16 @@ def test_latin1_is_detected(spark, tmp_path):
         assert files.read_csv(spark, path).first()["Short description"] == "café"
 
 
+def test_mixed_encodings_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "mix"
+    folder.mkdir()
+    write(folder / "a.csv", "Number,Text\nINC1,café\n", "latin-1")
+    write(folder / "b.csv", "Number,Text\nINC2,naïve \ufffd\n", "utf-8")
+    write(folder / "c.csv", "Number,Text\nINC3,plain\n", "utf-8")
+    got = {r["Number"]: r["Text"] for r in files.read_csv(spark, str(folder)).collect()}
+    assert got == {"INC1": "café", "INC2": "naïve \ufffd", "INC3": "plain"}
+
+
 def test_missing_org_map_is_empty(spark, tmp_path):
     assert files.read_org_map(spark, str(tmp_path / "none.csv")).count() == 0
 

@@ -90,11 +90,15 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True, encoding:
     df = _csv(spark, path, encoding or "UTF-8", multi_line)
     if encoding:
         return df
-    broken = F.lit(False)
-    for c in df.columns:
-        if c != "_pos":
-            broken = broken | F.coalesce(F.contains(F.col(f"`{c}`"), F.lit("\ufffd")), F.lit(False))
-    bad = [r[0] for r in df.where(broken).select("_pos.file_path").distinct().collect()]
+    marks = _mark_counts(df, "\ufffd").where("marks > 0")
+    suspects = {r["file"]: r["marks"] for r in marks.collect()}
+    if not suspects:
+        return df
+    # A replacement character written as such is three known bytes; any other is a byte
+    # that is not UTF-8.
+    latin = _csv(spark, list(suspects), "ISO-8859-1", multi_line)
+    written = {r["file"]: r["marks"] for r in _mark_counts(latin, "ï¿½").collect()}
+    bad = [f for f, n in suspects.items() if written.get(f, 0) != n]
     if not bad:
         return df
     again = _csv(spark, bad, "ISO-8859-1", multi_line)
@@ -102,6 +106,16 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True, encoding:
     return again if good.isEmpty() else good.unionByName(again)
 
 
+def _mark_counts(df: DataFrame, mark: str) -> DataFrame:
+    """How often a text occurs in each input file; one row per file."""
+    found = F.lit(0)
+    for c in df.columns:
+        if c != "_pos":
+            text = F.coalesce(F.col(f"`{c}`"), F.lit(""))
+            found = found + (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / F.lit(len(mark))
+    return df.groupBy(F.col("_pos.file_path").alias("file")).agg(F.sum(found).cast("long").alias("marks"))
+
+
 def read_many(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
     """Up to ten uploads, each with its own header, as one canonical table.
 
