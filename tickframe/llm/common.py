@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], text: str, most: int = 8 <<
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
         start, size = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(lengths):
             if size and size + n > most:
                 yield b.slice(start, i - start)

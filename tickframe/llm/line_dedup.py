@@ -115,11 +115,16 @@ class LineRuns:
 
 
 def merged(runs: list[DataFrame]) -> DataFrame:
+    """One run out of several: sorted buckets are merged pair by pair, counts added up."""
     both = runs[0]
-    for r in runs[1:]:
-        both = both.unionByName(r)
-    return both.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"),
-                                  F.bool_or("fresh").alias("fresh"))
+    for run in runs[1:]:
+        a, b = both.alias("a"), run.hint("merge").alias("b")
+        both = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full").select(
+            *(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY),
+            (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"),
+            F.greatest("a.last_doc", "b.last_doc").alias("last_doc"),
+            (F.coalesce("a.fresh", F.lit(False)) | F.coalesce("b.fresh", F.lit(False))).alias("fresh"))
+    return both
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST,

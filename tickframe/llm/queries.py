@@ -7,11 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import table
+from tickframe.llm.common import crc_of_id, table
+from tickframe.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.simhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.token_store import read_documents, write_token_store
+
+    path = work_dir(spark, "token_store")
+    write_token_store(table(spark, sf_dir, "documents"), path)
+    return read_documents(spark, path)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickframe.llm.line_dedup import dedup_lines
 
@@ -19,6 +40,27 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.language import fit, language_column
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2)
+    model = fit(docs.filter("NOT held_out"))
+    return docs.select("doc_id", "held_out", language_column(model, F.col("text")).alias("found")).select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.accepted")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.decontaminate import contamination, digest
+
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickframe.llm.exact_dedup import exact_groups
 
@@ -26,6 +68,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
+    "op2_token_store": op2_token_store,
+    "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language": op5_language,
+    "op6_html_text": op6_html_text,
+    "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
 }

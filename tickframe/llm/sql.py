@@ -18,9 +18,29 @@ WITH l AS (
 k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
 c AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40
       GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT k.doc_id, k.pos, k.line, c.key IS NOT NULL AND c.last_doc <> k.doc_id AS dropped
-      FROM k LEFT JOIN c USING (key))
+m AS (SELECT k.doc_id, k.pos, k.line, coalesce(c.last_doc <> k.doc_id, false) AS dropped
+      FROM k LEFT JOIN c ON k.key = c.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+SQL["op8_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower_az(coalesce(text, '')), 'WORD') AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(lower_az(coalesce(text, '')), 'WORD') AS w FROM benchmark),
+     i AS (SELECT item_id, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+     v AS (SELECT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS win
+           FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS s FROM i)),
+     sizes AS (SELECT DISTINCT size FROM v),
+     p AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size),
+     h AS (SELECT p.doc_id, p.s, p.size, v.item_id FROM p JOIN v
+           ON v.size = p.size AND v.win = array_to_string(p.w[p.s:p.s + p.size - 1], ' ')),
+     hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (
+               SELECT doc_id, unnest(range(s, s + size)) AS pos FROM h) GROUP BY doc_id),
+     items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (
+                 SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(items.n_items, 0) AS n_items,
+       sha256(coalesce(items.listed, '')) AS items_sha256, hit.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+""".replace("lower_az(coalesce(text, ''))", _LOWER.format("coalesce(text, '')")).replace(
+    "WORD", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
