@@ -66,14 +66,20 @@ def texts_as_bytes(batch: pa.RecordBatch, text: str) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.large_binary()).to_pylist()]
 
 
-def one_row_per_id(docs: DataFrame, kept_ids: DataFrame, doc_id: str, same: list[Column] | None = None) -> DataFrame:
-    """Rows whose id is in ``kept_ids``; of rows that agree in the id and in ``same``, one.
+def id_key(doc_id: Column) -> Column:
+    """A text for each id, null too, so that rows can be joined and ranked by it in one shuffle."""
+    return F.when(doc_id.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), doc_id.cast("string")))
 
-    One shuffle by id serves the join and the ranking; a null id matches a null id.
+
+def one_row_per_key(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows whose ``keys`` are those of a row of ``kept``; of rows that agree in them, one.
+
+    ``keys`` gives for each column of ``kept`` the documents' expression; none may be null. One
+    shuffle serves the join and the ranking.
     """
-    key, rank = free_name(docs, "_key"), free_name(docs, "_rank")
-    ids = kept_ids.select(F.col(doc_id).alias("_kept")).distinct()
-    left = docs.withColumn(key, F.col(doc_id))
-    joined = left.join(ids, left[key].eqNullSafe(ids["_kept"]), "left_semi")
-    w = Window.partitionBy(key, *(same or [])).orderBy(F.lit(1))
-    return joined.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(key, rank)
+    own = {k: free_name(docs, f"_{k}") for k in keys}
+    rank = free_name(docs, "_rank")
+    wanted = kept.select(*(F.col(k).alias(n) for k, n in own.items())).distinct()
+    left = docs.withColumns({own[k]: c for k, c in keys.items()}).join(wanted, list(own.values()), "left_semi")
+    w = Window.partitionBy(*own.values()).orderBy(F.lit(1))
+    return left.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).select(*docs.columns)

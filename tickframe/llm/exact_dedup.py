@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import ascii_lower, stored
+from tickframe.llm.common import ascii_lower, id_key, one_row_per_key, stored
 
 LEAST, MOST = 1024, 8192
 
@@ -91,3 +91,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return r.join(g, same).select(
         "r.doc_id", "g.keep_id", "g.group_size", (F.col("r.row") == F.col("g.keep_row")).alias("kept"),
         "r.text_sha256")
+
+
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that stay, all columns: one row for each different text."""
+    kept = exact_groups(docs, doc_id, text, **options).filter("kept")
+    norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    return one_row_per_key(docs, kept.select(id_key(F.col("doc_id")).alias("id"), F.col("text_sha256").alias("sha")),
+                           {"id": id_key(F.col(doc_id)), "sha": F.sha2(norm, 256)})

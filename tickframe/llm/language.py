@@ -171,3 +171,8 @@ def language_column(model: LanguageModel, text: Column) -> Column:
             names=["lang", "score", "accepted"])
 
     return predict(text)
+
+
+def known_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The documents, all columns, that are near enough to one of the model's languages."""
+    return docs.filter(language_column(model, F.col(text))["accepted"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import crc_of_id, table
+from tickframe.llm.labels import labelled_sample
 from tickframe.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,17 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1
+    sample = labelled_sample(docs, labels.filter(~held_out), "quality", quality.SAMPLE)
+    model = quality.fit(sample, quality.unlabelled_sample(docs, labels, quality.SAMPLE))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score_column(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickframe.llm.decontaminate import contamination, digest
 
@@ -67,6 +79,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0
+    model = toxicity.fit(labelled_sample(docs, labels.filter(~held_out), "toxic", toxicity.SAMPLE))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score_column(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_store": op2_token_store,
@@ -74,6 +96,8 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_language": op5_language,
     "op6_html_text": op6_html_text,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }

@@ -20,6 +20,7 @@ component but does not name it unless all its ids are null. Other columns are no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.llm.common import one_row_per_id, small_batches, stored, texts_as_bytes
+from tickframe.llm.common import id_key, one_row_per_key, small_batches, stored, texts_as_bytes
 from tickframe.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -71,6 +72,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return whole.mapInArrow(hashed, schema)
 
 
+@lru_cache(maxsize=64)
 def masks(width: int, most: int) -> list[list[int]]:
     """All values with 0, 1, ... ``most`` of the lowest ``width`` bits set, by their number."""
     return [[sum(1 << i for i in c) for c in combinations(range(width), k)] for k in range(most + 1)]
@@ -194,5 +196,5 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Rows that repeat an id share its fate; of them one stays.
     """
     groups = near_groups(docs, doc_id, text, **options)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc_id))
-    return one_row_per_id(docs, kept, doc_id)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_row_per_key(docs, kept.select(id_key(F.col("doc_id")).alias("id")), {"id": id_key(F.col(doc_id))})
