@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import BLANKS, ascii_lower, free_name
+from tickframe.llm.common import BLANKS, ascii_lower, free_name, stored
 from tickframe.session import work_dir
 
 LEAST, COMMON, BATCHES, FAN_OUT = 40, 5, 4, 2
@@ -139,11 +139,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     runs = LineRuns(spark, fan_out)
     for n in range(batches):
         runs.add(lines.filter(F.col("batch") == n))
-    common_keys = runs.keys().filter(F.col("n_docs") >= common).select(*KEY, "last_doc")
+    # Stored without buckets, so that the join shuffles both sides and Spark can split a key
+    # that a large part of the documents hold.
+    common_keys = stored(runs.keys().filter(F.col("n_docs") >= common).select(*KEY, "last_doc"), "common_lines")
     drop = (
         lines.join(common_keys, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        .select("doc_id", "text_hash", "pos").distinct()
-        .groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("drop"))
+        .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
     )
     return _without(docs, drop, doc_id, text)
 
