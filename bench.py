@@ -16,7 +16,7 @@ import time
 os.chdir(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.getcwd())
 
-from tickframe.catalog import QUERIES, RAW, Over  # noqa: E402
+from tickframe.catalog import QUERIES, RAW, Over, register  # noqa: E402
 from tickframe.functions.breach_columns import derive_breach  # noqa: E402
 from tickframe.session import local_session, work_dir  # noqa: E402
 from tickframe.sources import sinks  # noqa: E402
@@ -30,7 +30,7 @@ trend_series_top_n breach_kpis breach_timeline breach_by_service breach_by_group
 breach_age_by_agent breach_kpi_scorecard score_summary score_by_agent score_by_agent_priority group_stats
 insights_monitoring insights_trends context_facts doc_burndown doc_tower_sdm_compare
 audit_priority_rules text_features classify_category similar_incidents dedup_keep_last link_surveys
-stream_kpis_tumbling
+src_incidents_csv sink_append_new stream_ingest stream_kpis_tumbling train_category predict_category
 """.split()
 RUNS = 2
 
@@ -61,6 +61,7 @@ def main() -> None:
 
     took["register"] = timed(build)
     stored = {tt.incidents: sinks.read_clean(spark, f"{base}/incidents"),
+              register: sinks.read_clean(spark, f"{base}/incidents"),
               tt.breach: spark.read.parquet(f"{base}/snapshot"),
               RAW["documents"]: spark.read.parquet(f"{base}/documents")}
 

@@ -13,7 +13,7 @@ def z(x: str) -> str:
 
 
 def bins(x, edges, labels):
-    whens = " ".join(f"WHEN {x} > {a} AND {x} <= {b} THEN '{label}'"
+    whens = " ".join(f"WHEN {x} > {a}" + (f" AND {x} <= {b}" if b is not None else "") + f" THEN '{label}'"
                      for a, b, label in zip(edges, edges[1:], labels))
     return f"CASE {whens} END"
 
@@ -26,9 +26,9 @@ def rank(x, labels):
 EL = ['0–25% Healthy', '25–50% Caution', '50–75% Elevated', '75–90% At Risk', '90–100% Critical', '>100% Breached']
 AL = ['<4h', '4–8h', '8–24h', '1–3 days', '3–7 days', '>7 days']
 HL = ['<1 day', '1–3 days', '3–7 days', '7–14 days', '14–30 days', '>30 days']
-ELB = bins("pct", [0, 25, 50, 75, 90, 100, 200], EL)
-ALB = bins("assignment_age_h", [0, 4, 8, 24, 72, 168, 99999], AL)
-HLB = bins("hd", [0, 1, 3, 7, 14, 30, 999], HL)
+ELB = bins("pct", [0, 25, 50, 75, 90, 100, None], EL)
+ALB = bins("assignment_age_h", [0, 4, 8, 24, 72, 168, None], AL)
+HLB = bins("hd", [0, 1, 3, 7, 14, 30, None], HL)
 CON = "(VALUES (1, 4, '4 hours'), (2, 8, '8 hours'), (3, 72, '72 business hours'), (4, 120, '120 business hours')) AS c(p, h, l)"
 
 SQL = {

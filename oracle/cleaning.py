@@ -54,9 +54,17 @@ SQL = {
     "canonical_select": raw("""SELECT number, created, impact_user, first_assignment_group, assignment_group, service_offering, priority, urgency, state,
         '' AS hold_reason, assigned_to, short_description, category, subcategory, '' AS tags, updated, updated_by, made_sla, '' AS sla_due, resolution_code,
         resolved, reopen_count, reassignment_count, '0' AS business_duration, '' AS last_assignment_date, resolution_notes FROM rawx"""),
-    "parse_date": inc(f"""SELECT number, CASE seq % 6 WHEN 0 THEN strftime(created, '%d-%m-%Y %H:%M') WHEN 1 THEN strftime(created, {TS})
-          WHEN 2 THEN strftime(created, '%d/%m/%Y %H:%M') WHEN 3 THEN strftime(created, '%d-%m-%Y') WHEN 4 THEN 'junk' ELSE '' END AS raw,
-        CASE WHEN seq % 6 < 3 THEN created WHEN seq % 6 = 3 THEN CAST(date_trunc('day', created) AS TIMESTAMP) END AS parsed FROM inc"""),
+    "parse_date": inc(f"""SELECT number, CASE seq % 17 WHEN 0 THEN strftime(created, '%d-%m-%Y %H:%M') WHEN 1 THEN strftime(created, {TS})
+          WHEN 2 THEN strftime(created, '%d/%m/%Y %H:%M') WHEN 3 THEN strftime(created, '%d-%m-%Y')
+          WHEN 4 THEN strftime(created, '%-d-%-m-%Y %-H:%M') WHEN 5 THEN strftime(created, '%-d/%-m/%Y')
+          WHEN 6 THEN strftime(created, '%d-%b-%Y %H:%M') WHEN 7 THEN strftime(created, '%d.%m.%Y')
+          WHEN 8 THEN strftime(created, '%Y/%m/%d %H:%M') WHEN 9 THEN strftime(created, '%Y%m%d')
+          WHEN 10 THEN strftime(created, '%b %-d, %Y') WHEN 11 THEN strftime(created, '%-d %B %Y %-I:%M %p')
+          WHEN 12 THEN strftime(created, '%d-%m-%Y %H:%M:%S') WHEN 13 THEN strftime(created, '%Y-%m-%dT%H:%M:%S')
+          WHEN 14 THEN 'junk' WHEN 15 THEN '  ' ELSE strftime(created, '%m/28/%Y') END AS raw,
+        CASE WHEN seq % 17 IN (0, 1, 2, 4, 6, 8, 11, 12, 13) THEN created
+          WHEN seq % 17 IN (3, 5, 7, 9, 10) THEN CAST(date_trunc('day', created) AS TIMESTAMP)
+          WHEN seq % 17 = 16 THEN CAST(date_trunc('month', created) AS TIMESTAMP) + INTERVAL 27 DAY END AS parsed FROM inc"""),
     "format_date": inc("SELECT number, coalesce(strftime(resolved, '%d-%m-%Y %H:%M'), '') AS text FROM inc"),
     "parse_priority": raw("""SELECT k, m.priority AS raw, CASE WHEN k % 7 = 3 THEN 3 ELSE i.priority END AS priority, i.priority AS order_priority
         FROM messy m JOIN inc i ON i.seq = k"""),
@@ -75,7 +83,7 @@ SQL = {
     "derive_sla_severity": br("SELECT task, sla_severity FROM brx"),
     "agent_name": inc("""SELECT CASE WHEN contains(assigned_to, '(') THEN rtrim(split_part(assigned_to, '(', 1)) ELSE assigned_to END AS agent,
         count(*) AS tickets FROM inc GROUP BY 1"""),
-    "bucketize": f"SELECT event_id, value, {bins('value', [0, 25, 50, 75, 90, 100, 200], EL)} AS bucket FROM events",
+    "bucketize": f"SELECT event_id, value, {bins('value', [0, 25, 50, 75, 90, 100, None], EL)} AS bucket FROM events",
     "null_to_none": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS cleaned,
         CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE round_even(o_totalprice, 1) END AS zeroed FROM orders""",
     "audit_required_blank": raw("""SELECT 'number' AS "column", count(*) FILTER (WHERE trim(number) = '') AS blanks FROM messy
@@ -135,7 +143,7 @@ SQL = {
         'hold_reason,tags,sla_due,business_duration,last_assignment_date' AS columns_added,
         'file_row,sdm,tower,unknown_column' AS columns_dropped FROM inc GROUP BY 1"""),
     "sink_clean": inc("SELECT number, month, state, priority, made_sla, category, created, mttr_hours, tower FROM inc"),
-    "sink_append_new": inc("SELECT month, count(*) AS rows, count(DISTINCT number) AS tickets FROM inc GROUP BY 1"),
+    "sink_append_new": inc("SELECT month, count(*) AS rows, count(DISTINCT number) AS tickets, CAST(0 AS BIGINT) AS old_rows FROM inc GROUP BY 1"),
     "sink_export_csv": inc("""SELECT number, strftime(created, '%d-%m-%Y %H:%M') AS created, CAST(priority AS VARCHAR) AS priority, state, first_assignment_group,
         assigned_to, category, short_description, made_sla, CAST(reassignment_count AS VARCHAR) AS reassignment_count,
         CAST(reopen_count AS VARCHAR) AS reopen_count, coalesce(strftime(resolved, '%d-%m-%Y %H:%M'), '') AS resolved, mttr_hours AS mttr_hours FROM inc"""),

@@ -61,9 +61,27 @@ def test_upload_audits(spark, uploads):
     assert audit["a.csv"]["columns_dropped"] == ["extra"] and "urgency" in audit["a.csv"]["columns_added"]
 
 
-def test_file_limit(spark):
-    with pytest.raises(ValueError):
-        files.read_many(spark, ["x"] * 11)
+def test_columns_are_matched_by_name(spark, tmp_path):
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    write(folder / "a.csv", "Number,State,Priority,Opened At\nINC1,Closed,P1,4-6-2026 9:05\n")
+    write(folder / "b.csv", "Opened At,Number,Priority,State\n04/06/2026,INC2,P2,Open\n")
+    write(folder / "c.csv", "number,Extra,state,priority\nINC3,x,On Hold,P4\n")
+    got = {r["number"]: (r["state"], r["priority"], r["created"]) for r in files.read_incidents_csv(spark, str(folder)).collect()}
+    assert got == {"INC1": ("Closed", 1, datetime(2026, 6, 4, 9, 5)), "INC2": ("Open", 2, datetime(2026, 6, 4)),
+                   "INC3": ("On Hold", 4, None)}
+    assert {r["Number"]: r["Priority"] for r in files.read_csv(spark, str(folder)).where("`Opened At` IS NOT NULL").select(
+        "Number", "Priority").collect()} == {"INC1": "P1", "INC2": "P2"}
+
+
+def test_many_uploads(spark, tmp_path):
+    paths = [write(tmp_path / f"u {i}+é.csv", f"Number,State\nINC{i},Open\n") for i in range(12)]
+    assert sorted(r["_seq"]["file"] for r in files.read_many(spark, paths).collect()) == list(range(12))
+
+
+def test_windows_1252_is_told_from_latin1(spark, tmp_path):
+    p = write(tmp_path / "w.csv", "Number,Text\nINC1,5 € “so”\n", "cp1252")
+    assert files.read_csv(spark, p).first()["Text"] == "5 € “so”"
 
 
 def test_latin1_is_detected(spark, tmp_path):
@@ -94,6 +112,14 @@ def test_append_new_is_idempotent(spark, incidents, tmp_path):
     n = incidents.count()
     assert sinks.append_new(spark, incidents, path) == n - part.count()
     assert sinks.append_new(spark, incidents, path) == 0
+    twice = incidents.limit(5).withColumn("number", F.concat(F.lit("NEW"), "number"))
+    twice = twice.withColumn("state", F.lit("newest")).unionByName(
+        twice.withColumns({"state": F.lit("older"), "updated": F.col("updated") - F.expr("INTERVAL 2 DAYS")}))
+    blank = incidents.limit(2).withColumn("number", F.lit(None).cast("string")).unionByName(incidents.limit(2).withColumn("number", F.lit(" ")))
+    assert sinks.append_new(spark, twice.unionByName(blank), path) == 5
+    assert sinks.read_clean(spark, path).where("number LIKE 'NEW%'").select("state").distinct().collect() == [("newest",)]
+    assert sinks.append_new(spark, twice.unionByName(blank), path) == 0
+    n += 5
     back = sinks.read_clean(spark, path)
     assert back.count() == n
     plan = back.where("month = '1998-03'")._jdf.queryExecution().executedPlan().toString()
@@ -152,6 +178,18 @@ def test_first_row_wins_in_stream_dedup(spark, tmp_path):
     assert sorted(r["value"] for r in jobs.read_changelog(spark, out).collect()) == [1.0, 3.0]
 
 
+def test_stream_ingest_keeps_the_last_row(spark, incidents, tmp_path):
+    two = incidents.limit(4)
+    raw = two.withColumn("state", F.lit("Open")).unionByName(
+        two.withColumns({"state": F.lit("Closed"), "updated": F.col("updated") + F.expr("INTERVAL 2 HOURS")}))
+    raw.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = jobs.read_files(spark, str(tmp_path / "in"), raw.schema)
+        jobs.ingest(stream, lambda df: df, str(tmp_path / "table"), str(tmp_path / f"check{_}"), ["updated"]).awaitTermination()
+    rows = sinks.read_clean(spark, str(tmp_path / "table")).select("number", "state").collect()
+    assert len(rows) == 4 and {r["state"] for r in rows} == {"Closed"}
+
+
 def test_latest_state_over_batches(spark, tmp_path):
     out = run_in_order(spark, tmp_path, BATCHES, lambda s: jobs.latest_state(s, "user_id", "event_type", ["ts"]), "update")
     got = {r["user_id"]: (r["state"], r["updates"]) for r in jobs.read_changelog(spark, out, ["user_id"]).collect()}

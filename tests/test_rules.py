@@ -30,10 +30,15 @@ def test_parse_urgency(spark):
 
 def test_parse_date(spark):
     raw = ["30-04-2026 23:01", "2026-04-05 10:00:00", "05/04/2026 10:00", "05-04-2026", "", "junk", None,
-           "2026-04-05T10:00:00", "31-02-2026 10:00"]
+           "2026-04-05T10:00:00", "31-02-2026 10:00", "4-6-2026 9:05", "4/6/2026", "04-Jun-2026 10:00", "04.06.2026",
+           "2026/06/04 10:00", "20260604", "06/30/2026", "Jun 4, 2026", "4 june 2026 1:05 PM", "04-06-2026 10:00:07", "  ",
+           "2026-06-04 10:00:00.5", "06/30/2026 12:30 am"]
     assert apply(spark, raw, cl.parse_date) == [
         datetime(2026, 4, 30, 23, 1), datetime(2026, 4, 5, 10), datetime(2026, 4, 5, 10), datetime(2026, 4, 5),
-        None, None, None, datetime(2026, 4, 5, 10), None]
+        None, None, None, datetime(2026, 4, 5, 10), None, datetime(2026, 6, 4, 9, 5), datetime(2026, 6, 4), datetime(2026, 6, 4, 10),
+        datetime(2026, 6, 4), datetime(2026, 6, 4, 10), datetime(2026, 6, 4), datetime(2026, 6, 30), datetime(2026, 6, 4),
+        datetime(2026, 6, 4, 13, 5), datetime(2026, 6, 4, 10, 0, 7), None, datetime(2026, 6, 4, 10, 0, 0, 500000),
+        datetime(2026, 6, 30, 0, 30)]
 
 
 def test_format_date(spark):
@@ -73,6 +78,13 @@ def test_category(spark):
         "Application Access", "Network", "General", "General", "Data & Reporting", "General"]
 
 
+def test_rules_from_a_table(spark):
+    own = spark.createDataFrame([("Parts", " Ring"), ("Network", "uplink"), ("Network", "vpn"), (None, "x")], "category string, keyword string")
+    rules = ru.rules_from_table(own)
+    assert rules["Parts"] == ["ring"] and rules["Network"].count("vpn") == 1 and list(rules)[-1] == "Parts"
+    assert apply(spark, ["the ring", "uplink"], lambda c: ru.classify_category(c, rules)) == ["Parts", "Network"]
+
+
 def test_subcategory(spark):
     rows = [("Application Access", "SSO and badge"), ("Application Error", "very slow page"),
             ("Network", "vpn"), ("Software & Tools", "please install")]
@@ -85,7 +97,7 @@ def test_bucketize(spark):
     values = [0.0, 25.0, 25.01, 95.0, 100.0, 100.5, 200.0, 201.0, None]
     got = apply(spark, values, lambda c: bk.bucketize(c, bk.ELAPSED_EDGES, bk.ELAPSED_LABELS), "double")
     labels = bk.ELAPSED_LABELS
-    assert got == [None, labels[0], labels[1], labels[4], labels[4], labels[5], labels[5], None, None]
+    assert got == [None, labels[0], labels[1], labels[4], labels[4], labels[5], labels[5], labels[5], None]
 
 
 def test_breach_derivation(spark):

@@ -67,12 +67,19 @@ QUERIES |= {
     "doc_heatmap_p1p2": inc(mon.heatmap_p1p2),
 }
 
+
+def _volume_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A column for each tower of the organisation dimension."""
+    towers = sorted(r[0] for r in tt.table(spark, sf, "region").select("r_name").collect())
+    counts = (tr._by_period(tt.incidents(spark, sf), "month", "tower").groupBy("period", "tower")
+              .agg(F.count("*").alias("count")))
+    return shape.long_to_wide(counts, "period", "tower", "count", towers)
+
+
 QUERIES |= {
     "trend_volume": inc(tr.volume),
     "trend_volume_weekly": inc(tr.volume, granularity="week"),
-    "trend_volume_wide": inc(lambda df: shape.long_to_wide(
-        tr._by_period(df, "month", "tower").groupBy("period", "tower").agg(F.count("*").alias("count")),
-        "period", "tower", "count", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])),
+    "trend_volume_wide": _volume_wide,
     "trend_mttr": inc(tr.mttr),
     "trend_category": inc(tr.category),
     "trend_sla": inc(tr.sla),
@@ -187,11 +194,13 @@ def _normal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _date_texts(df: DataFrame) -> DataFrame:
-    k, t = F.col("seq") % 6, F.col("created")
-    text = (F.when(k == 0, F.date_format(t, "dd-MM-yyyy HH:mm"))
-            .when(k == 1, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
-            .when(k == 2, F.date_format(t, "dd/MM/yyyy HH:mm"))
-            .when(k == 3, F.date_format(t, "dd-MM-yyyy")).when(k == 4, "junk").otherwise(""))
+    k, t = F.col("seq") % 17, F.col("created")
+    spellings = ["dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy", "d-M-yyyy H:mm", "d/M/yyyy",
+                 "dd-MMM-yyyy HH:mm", "dd.MM.yyyy", "yyyy/MM/dd HH:mm", "yyyyMMdd", "MMM d, yyyy", "d MMMM yyyy h:mm a",
+                 "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+    text = F.when(k == 14, "junk").when(k == 15, "  ").otherwise(F.date_format(t, "MM/28/yyyy"))
+    for i, spelling in enumerate(spellings):
+        text = F.when(k == i, F.date_format(t, spelling)).otherwise(text)
     return df.select("number", text.alias("raw")).withColumn("parsed", cl.parse_date("raw"))
 
 
@@ -215,8 +224,21 @@ def _nan(df: DataFrame) -> DataFrame:
     return df.select("o_orderkey", num.clean_nan(v).alias("cleaned"), num.clean_nan_zero(v).alias("zeroed"))
 
 
+_REGISTERS: dict[tuple[str, str], str] = {}
+
+
+def register(spark: SparkSession, sf: str) -> DataFrame:
+    """The incidents as the stored table that filters read in use: written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _REGISTERS:
+        path = work_dir(spark, "register")
+        sinks.write_clean(tt.incidents(spark, sf), path)
+        _REGISTERS[key] = path
+    return sinks.read_clean(spark, _REGISTERS[key])
+
+
 def filtered(**kw) -> Query:
-    return inc(lambda df: flt.apply_filters(df, kw).select("number", "created"))
+    return over(register, lambda df: flt.apply_filters(df, kw).select("number", "created"))
 
 
 def _filter_org(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,7 +328,8 @@ def _yearly(spark: SparkSession, sf: str) -> list[str]:
     year = F.substring("`Opened At`", 7, 4)
     (tt.raw_export(spark, sf).withColumn("yr", year).hint("rebalance", "yr")
      .write.partitionBy("yr").option("header", True).option("escape", '"').csv(path))
-    return [f"{path}/yr={y}" for y in range(1995, 2002)]
+    years = spark.read.option("header", True).csv(path).select("yr").distinct().collect()
+    return [f"{path}/yr={y}" for y in sorted(r["yr"] for r in years)]
 
 
 def _src_multi_file(spark: SparkSession, sf: str) -> DataFrame:
@@ -383,11 +406,15 @@ def _sink_append_new(spark: SparkSession, sf: str) -> DataFrame:
     """Older tickets first, then the whole register twice: each ticket is stored once."""
     path = work_dir(spark, "register")
     df = tt.incidents(spark, sf)
+    # Every fifth ticket comes twice in each upload, the older row after the newer one.
+    older = df.where("seq % 5 = 0").withColumns({"updated": F.col("updated") - F.expr("INTERVAL 1 DAY"), "state": F.lit("Old")})
+    df = df.unionByName(older).unionByName(df.limit(3).withColumn("number", F.lit(" ")))
     sinks.append_new(spark, df.where("created < '1999-01-01'"), path, mode="replace")
     for _ in range(2):
         sinks.append_new(spark, df, path)
     return sinks.read_clean(spark, path).groupBy("month").agg(
-        F.count("*").alias("rows"), F.count_distinct("number").alias("tickets"))
+        F.count("*").alias("rows"), F.count_distinct("number").alias("tickets"),
+        F.count_if(F.col("state") == "Old").alias("old_rows"))
 
 
 def _sink_export_csv(spark: SparkSession, sf: str) -> DataFrame:
@@ -504,6 +531,31 @@ from tickframe.operators import audit as aud  # noqa: E402
 from tickframe.operators import text as txt  # noqa: E402
 
 
+# A phrase of a ticket for every rule, added to the documents' invented prose.
+PHRASES = [
+    'login with badge and permission', 'permission denied for this role', 'certif renewal needs access',
+     'account lock after login', 'badge and role access', 'error, it went wrong and is not working',
+     'crash, very slow, cannot go on', 'crash and unable to start', 'report with data fetch to export',
+     'upload of a document', 'validation of the export, rejected', 'new user onboard, profile for a joiner',
+     'vpn, wifi and dns', 'laptop, printer and monitor', 'install software and a patch',
+     'update to this software version', 'license for the software patch',
+     'server, storage and backup of the database', 'enhancement in the product backlog, a feature request',
+     'provision of materials management', 'complete failure and total outage', 'significant delay',
+     'significant for multiple users', 'how to, an inquiry and a question', 'nothing of note']
+
+
+def phrased(df: DataFrame) -> DataFrame:
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.floor(F.col("doc_id") / 2) % len(PHRASES) + 1).cast("int"))
+    return df.withColumn("text", F.concat("text", F.lit(" "), phrase))
+
+
+def _category_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Generic rules with a caller's table added: another category, another word."""
+    own = spark.createDataFrame([("Parts", "Ring"), ("Parts", "bolt "), ("Network", "the that")], "category string, keyword string")
+    return tt.table(spark, sf, "documents").select(
+        "doc_id", rules.classify_category("text", rules.rules_from_table(own)).alias("category"))
+
+
 def _documents_as_tickets(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("DOC"), F.col("doc_id").cast("string")).alias("number"),
                      F.col("text").alias("short_description"), F.col("source").alias("service_offering"),
@@ -511,7 +563,7 @@ def _documents_as_tickets(df: DataFrame) -> DataFrame:
 
 
 def _subcategory(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "text", rules.classify_category("text").alias("category")).select(
+    return phrased(df).select("doc_id", "text", rules.classify_category("text").alias("category")).select(
         "doc_id", "category", rules.classify_subcategory("category", "text").alias("subcategory"))
 
 
@@ -525,6 +577,17 @@ def _similar(spark: SparkSession, sf: str) -> DataFrame:
                        "item_id", "doc_id")
 
 
+def _similar_tickets(spark: SparkSession, sf: str) -> DataFrame:
+    """For every open ticket of highest priority the done ones most like it."""
+    df = with_text(tt.incidents(spark, sf))
+    asked = df.where("state = 'Open' AND priority = 1").select(F.col("number").alias("asked"), "text")
+    done = df.where(F.col("state").isin(cl.DONE_STATES)).select(
+        "number", "text", "short_description", "category", "priority", "state", F.col("assignment_group").alias("group"),
+        F.substring("resolution_notes", 1, 250).alias("resolution"), F.bround("mttr_hours", 1).alias("mttr_hours"))
+    return txt.similar_incidents(asked, done, "asked", "number", description="short_description",
+                                 show=("category", "priority", "state", "group", "resolution", "mttr_hours"))
+
+
 def _kb(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest article for every user message."""
     asked = tt.table(spark, sf, "conversations").where("role = 'user'").select(
@@ -534,13 +597,14 @@ def _kb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {
-    "classify_category": raw("documents", lambda df: df.select(
+    "classify_category": raw("documents", lambda df: phrased(df).select(
         "doc_id", rules.classify_category("text").alias("category"))),
-    "classify_category_import": raw("documents", lambda df: df.select(
+    "classify_category_table": _category_table,
+    "classify_category_import": raw("documents", lambda df: phrased(df).select(
         "doc_id", rules.classify_category("text", rules.CATEGORY_KEYWORDS_IMPORT).alias("category"))),
     "classify_subcategory": raw("documents", _subcategory),
     "audit_priority_rules": inc(aud.rule_audit),
-    "audit_document_rules": raw("documents", lambda df: aud.rule_audit(_documents_as_tickets(df)).drop(
+    "audit_document_rules": raw("documents", lambda df: aud.rule_audit(_documents_as_tickets(phrased(df))).drop(
         "short_description", "service_offering")),
     "audit_sample": inc(lambda df: aud.rule_audit(aud.sample(df))),
     "union_sample": inc(lambda df: aud.sample(df).select("number", "priority")),
@@ -562,6 +626,7 @@ QUERIES |= {
         F.col("item_id").alias("qid"), F.col("doc_id").alias("did"), "rank",
         F.bround("score", 3).alias("similarity")),
     "doc_kb_recommender": _kb,
+    "similar_tickets": _similar_tickets,
 }
 
 from tickframe.operators import classify as cls  # noqa: E402
@@ -624,7 +689,8 @@ def _predict_priority(spark: SparkSession, sf: str) -> DataFrame:
 
 def _model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     df = tt.incidents(spark, sf)
-    predicted = cls.predict_category(_model(spark, sf, "category"), _request_text(spark, sf))
+    unseen = _request_text(spark, sf).where(cls.held_out())
+    predicted = cls.predict_category(_model(spark, sf, "category"), unseen)
     pairs = df.select("number", F.col("category").alias("actual")).join(predicted, "number")
     return cls.class_metrics(pairs, "actual", "category")
 
@@ -641,8 +707,8 @@ QUERIES |= {
         sco.group_stats(tt.incidents(spark, sf))),
     "model_metrics": _model_metrics,
     "doc_priority_mismatch": lambda spark, sf: cls.priority_mismatch(
-        cls.predict_priority(_model(spark, sf, "priority"), _request_text(spark, sf)),
-        tt.incidents(spark, sf), min_confidence=0.3),
+        cls.predict_priority(_model(spark, sf, "priority"), _request_text(spark, sf).where(cls.held_out())),
+        tt.incidents(spark, sf)),
 }
 
 from tickframe.streaming import jobs  # noqa: E402
@@ -662,12 +728,14 @@ def streamed(build: Callable[[SparkSession, str], DataFrame], name: str, mode: s
 
 
 def _stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """The export arrives in files, two per batch; each ticket is stored once."""
+    """The export arrives in files, two per batch, some tickets twice; each is stored once, as last updated."""
     base = work_dir(spark, "stream_ingest")
     export = files.normalize_columns(tt.raw_export(spark, sf))
-    export.repartition(6, "number").write.parquet(f"{base}/in")
+    older = export.where("substring(number, -1) = '7'").withColumns({"updated": F.lit("1990-01-01 00:00:00"), "state": F.lit("new")})
+    export.unionByName(older).repartition(6, "number").write.parquet(f"{base}/in")
     raw_stream = jobs.read_files(spark, f"{base}/in", export.schema, files_per_batch=2)
-    jobs.ingest(raw_stream, files.clean_incidents, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    jobs.ingest(raw_stream, files.clean_incidents, f"{base}/table", f"{base}/checkpoint",
+                order=["updated"]).awaitTermination()
     return sinks.read_clean(spark, f"{base}/table").select(
         "number", "month", "state", "priority", "made_sla", "category", "created", "mttr_hours", "tower")
 

@@ -38,11 +38,11 @@ SLA_FALSE = ["FALSE", "NO", "0", "N"]
 EXPORT_DATE = "dd-MM-yyyy HH:mm"
 # End of fixed values.
 
-# ISO first, so that 2026-04-05 is never read day-first; then the export's own
-# format, then the other day-first spellings.
-_ISO = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
-_DAY_FIRST_FORMATS = [EXPORT_DATE, "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss",
-                      "dd/MM/yyyy HH:mm", "dd-MM-yyyy", "dd/MM/yyyy"]
+# Three words or numbers with -, /, . or blanks between them, then anything.
+_DATE_WORDS = r"^(\w{1,9})[-/.\s]+(\w{1,9})[-/.,\s]+(\w{1,4})(?=$|[T\s])[T\s]*"
+# Year first is always year-month-day; then day first, month names, and month first last.
+_DATE_ORDERS = ["yyyy-M-d", "d-M-yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "MMM-d-yyyy", "MMMM-d-yyyy", "M-d-yyyy", "yyyyMMdd"]
+_TIMES = ["[ H:mm[:ss][.SSSSSS][.SSS]]", " h:mm[:ss] a"]
 
 
 def _lookup(c: Column, mapping: dict) -> Column:
@@ -107,11 +107,21 @@ def normalize_state(c) -> Column:
 
 
 def parse_date(c) -> Column:
-    """Timestamp of an export date in any of the accepted spellings, else null."""
+    """Timestamp of an export date in any of the accepted spellings, else null.
+
+    Day, month and year with -, /, . or blanks between them, one or two digits, month names,
+    eight digits without marks; a time with or without seconds, 24 hours or AM/PM. Ambiguous
+    dates are day-first; what only makes sense month-first is read so.
+    """
     text = F.trim(as_col(c).cast("string"))
-    day_first = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in _DAY_FIRST_FORMATS])
-    iso = text.try_cast("timestamp")
-    return F.when(text.rlike(_ISO), iso).otherwise(F.coalesce(day_first, iso))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, _DATE_WORDS, "$1-$2-$3 "), r"(?i)\s*([ap]m)$", " $1"))
+    afternoon = plain.rlike(r"(?i) [ap]m$")
+
+    def read(times: str) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f"{d}{times}")) for d in _DATE_ORDERS])
+
+    return F.coalesce(F.when(afternoon, read(_TIMES[1])).otherwise(read(_TIMES[0])),
+                      F.when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp")))
 
 
 def format_date(c) -> Column:

@@ -4,38 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbers import as_col
 
-# Keyword lists, in priority order (the first listed wins ties).
+# Generic keyword lists, in priority order (the first listed wins ties). Names of a
+# customer's own systems belong in a rules table, see ``rules_from_table``.
 CATEGORY_KEYWORDS: dict[str, list[str]] = {
-    "Application Access": ["access", "permission", "login", "sso", "eptw", "certif",
-                           "approve buddy", "approvebuddy", "account lock", "badge",
-                           "access now", "epermit", "role", "authoris", "unauthor"],
+    "Application Access": ["access", "permission", "login", "sso", "certif", "account lock", "badge",
+                           "role", "authoris", "unauthor"],
     "Application Error": ["error", "not working", "crash", "issue", "problem", "bug",
                           "giving an error", "went wrong", "failed", "failure",
                           "cannot", "can't", "unable", "not running", "not able"],
-    "Data & Reporting": ["report", "data fetch", "letter generation", "ksahr",
-                         "validation", "document", "upload", "download", "export",
-                         "eclaim", "eclaims", "mdbr", "cycle count"],
+    "Data & Reporting": ["report", "data fetch", "letter generation",
+                         "validation", "document", "upload", "download", "export", "cycle count"],
     "User Account": ["new user", "onboard", "leaver", "deactivat", "profile",
-                     "user setup", "joiner", "hrc", "icharge"],
+                     "user setup", "joiner"],
     "Network": ["vpn", "wifi", "network", "internet", "connect", "dns",
                 "bandwidth", "proxy", "connectivity"],
     "Hardware": ["laptop", "desktop", "printer", "monitor", "mobile",
                  "device", "hardware", "screen", "docking"],
     "Software & Tools": ["install", "software", "upgrade", "patch", "license",
-                         "version", "update", "app update", "blueworld", "bluemm",
-                         "blue mm", "slb ride", "slbride", "gt mobile", "iworkplace",
-                         "workday", "sap", "sharepoint", "tep", "gbs ci tracker"],
+                         "version", "update", "app update", "workday", "sap", "sharepoint"],
     "Infrastructure": ["server", "storage", "backup", "database", "infrastructure",
                        "cpu", "memory", "disk", "vm", "virtual"],
     "Change Request": ["change request", "enhancement", "change/enhancement",
                        "product backlog", "feature request"],
     "Service Request": ["request", "provision", "setup", "new", "require",
-                        "materials management", "mct", "generic technical"],
+                        "materials management", "generic technical"],
 }
 # The shorter list used when a file is normalised before loading.
 CATEGORY_KEYWORDS_IMPORT: dict[str, list[str]] = {
@@ -56,10 +53,9 @@ CATEGORY_KEYWORDS_IMPORT: dict[str, list[str]] = {
 SUBCATEGORY_KEYWORDS: dict[str, list[tuple[str, list[str]]]] = {
     "Application Access": [("Login/SSO", ["login", "sso", "sign in"]),
                            ("Permission Error", ["permission", "access denied", "unauthor"]),
-                           ("Certification Required", ["certif", "pcp"]),
+                           ("Certification Required", ["certif"]),
                            ("Account Lockout", ["lock", "locked"]),
-                           ("Badge Access", ["badge"]),
-                           ("EPTW Access", ["eptw", "epermit"])],
+                           ("Badge Access", ["badge"])],
     "Application Error": [("Functional Error", ["error", "not working", "wrong"]),
                           ("Performance Issue", ["slow", "timeout", "hang"]),
                           ("Crash/Unresponsive", ["crash", "unresponsive", "freeze"])],
@@ -81,6 +77,19 @@ AUDIT_P4_KEYWORDS = ["how do i", "how to", "inquiry", "question", "request", "ac
 # End of fixed values.
 
 
+def rules_from_table(table: DataFrame, base: dict[str, list[str]] = CATEGORY_KEYWORDS) -> dict[str, list[str]]:
+    """``base`` with a caller's keywords added; ``table`` has (category, keyword), one row each.
+
+    New categories follow those of ``base`` in the order of their names. The table is a
+    hand-kept list, so it is read to the driver whole.
+    """
+    rules = {name: list(words) for name, words in base.items()}
+    for r in table.select("category", F.lower(F.trim("keyword")).alias("keyword")).distinct().orderBy("category", "keyword").collect():
+        if r["category"] and r["keyword"] and r["keyword"] not in rules.setdefault(r["category"], []):
+            rules[r["category"]].append(r["keyword"])
+    return rules
+
+
 def lowered(text, fn: Callable[[Column], Column]) -> Column:
     """``fn`` of the lower-cased text, which is computed once per row.
 

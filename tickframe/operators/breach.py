@@ -125,7 +125,7 @@ def by_group(df: DataFrame) -> DataFrame:
 
 
 def elapsed_distribution(df: DataFrame) -> DataFrame:
-    """Bin x group counts and bin totals; 0 % and more than 200 % are outside all bins."""
+    """Bin x group counts and bin totals; 0 % itself is outside all bins."""
     counts = (df.where("assignment_group IS NOT NULL")
               .withColumn("range", bucketize(ELAPSED, ELAPSED_EDGES, ELAPSED_LABELS))
               .where("range IS NOT NULL").groupBy("range", F.col("assignment_group").alias("group"))

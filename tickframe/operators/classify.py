@@ -2,7 +2,7 @@
 
 Features are the TF-IDF weights of ``operators.text``; the classifier is Spark ML's
 multinomial logistic regression with balanced class weights. Scoring is a plain
-transform, so one ticket or a billion take the same path.
+transform, so one ticket or a billion take the same path; no Python runs on a ticket.
 """
 
 from __future__ import annotations
@@ -11,107 +11,116 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickframe.functions.clean import priority_short_label
 from tickframe.functions.rules import classify_subcategory
-from tickframe.operators.text import FEATURE_TERMS, by_key, term_counts, vocabulary, weights
-from tickframe.session import work_dir
+from tickframe.operators.text import term_counts, vocabulary, weights
+from tickframe.session import stored
 
 # Training limits and answers without a model.
+FEATURE_TERMS = 8_000
 MIN_CLASS_ROWS = 5
 MIN_ROWS = 40
-TEST_SHARE = 5  # one ticket in five is held out
 NO_MODEL = {"category": ("General", 0.5), "priority": (3, 0.5)}
 # End of fixed values.
 
-MAX_CLASSES = 5_000
-
 
 @dataclass
 class TextModel:
     label: str
     classes: list[str]
-    terms: DataFrame  # term, idf, idx: at most FEATURE_TERMS rows
+    terms: DataFrame  # term, idf, idx
     n_terms: int
     model: LogisticRegressionModel
     rows: int
     accuracy: float
 
 
+def held_out(key: str = "number") -> Column:
+    """About a fifth of the tickets, by their number's hash: never learnt from."""
+    return F.substring(F.md5(F.col(key).cast("string")), 1, 1).isin("0", "1", "2")
+
+
 def _indexed(vocab: DataFrame) -> DataFrame:
-    """Number the (bounded) vocabulary from 0."""
+    """Number the terms from 0; there are as many as the fit's coefficients, which the driver holds."""
     w = Window.partitionBy().orderBy("term")
     return vocab.withColumn("idx", F.row_number().over(w) - 1)
 
 
 def _vectors(texts: DataFrame, key: str, text: str, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(key, features); a list holds one text's own terms, so its size is the text's."""
-
-    @F.udf(returnType=VectorUDT(), useArrow=True)
-    def sparse(cells):
-        cells = sorted((c["idx"], c["weight"]) for c in cells or [])
-        return SparseVector(n_terms, [i for i, _ in cells], [v for _, v in cells])
+    """(key, features); a list holds one text's own terms, so its size is the text's.
 
-    counts = term_counts(by_key(texts, key, text), key, text, accents=False)
+    A vector column is a struct of type, size, indices and values; reading the struct as one
+    needs a schema, which JSON parsing takes.
+    """
+    counts = term_counts(texts, key, text, accents=False)
     cells = (weights(counts, terms, key, keep=("idx",)).groupBy(key)
-             .agg(F.collect_list(F.struct("idx", "weight")).alias("cells")))
-    return texts.select(key).join(cells, key, "left").select(key, sparse("cells").alias("features"))
+             .agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("cells")))
+    some = F.coalesce("cells", F.array().cast("array<struct<idx:int,weight:double>>"))
+    sparse = F.struct(F.struct(
+        F.lit(0).alias("type"), F.lit(n_terms).alias("size"), F.transform(some, lambda c: c["idx"]).alias("indices"),
+        F.transform(some, lambda c: c["weight"]).alias("values")).alias("v"))
+    as_vector = F.from_json(F.to_json(sparse), T.StructType([T.StructField("v", VectorUDT())]))
+    return texts.select(key).join(cells, key, "left").select(key, as_vector["v"].alias("features"))
 
 
 def train(df: DataFrame, label: str, key: str = "number", text: str = "text",
-          where: Column | None = None, max_iter: int = 50) -> TextModel | None:
-    """Fit on four fifths of the tickets of all classes with enough rows.
+          where: Column | None = None, max_iter: int = 50, max_terms: int = FEATURE_TERMS) -> TextModel | None:
+    """Fit on the tickets that are not held out, of all classes with enough rows.
 
     None when fewer than MIN_ROWS tickets or two classes remain. Features are written
     to the shared work folder: the fit reads them many times and survives lost executors.
+    ``max_terms`` and the number of classes make the size of the model, which the driver holds.
     """
-    spark = df.sparkSession
     y = F.col(label).cast("string")
     rows = df.where(F.trim(y) != "")
     if where is not None:
         rows = rows.where(where)
-    rows = rows.select(key, text, y.alias("y"))
-    counts = rows.groupBy("y").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CLASS_ROWS)
-    sizes = {r["y"]: r["n"] for r in counts.orderBy(F.desc("n"), "y").limit(MAX_CLASSES + 1).collect()}
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    n = sum(sizes.values())
-    if n < MIN_ROWS or len(sizes) < 2:
+    rows = rows.select(key, text, y.alias("y"), held_out(key).alias("held_out"))
+    sizes = rows.groupBy("y").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CLASS_ROWS)
+    everything, in_order = Window.partitionBy(), Window.partitionBy().orderBy("y")
+    classes = stored(sizes.select(
+        "y", "n", (F.row_number().over(in_order) - 1).cast("double").alias("label"), F.sum("n").over(everything).alias("all"),
+        (F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n"))).alias("balance")), f"classes-{label}")
+    known = classes.orderBy("label").collect()
+    n = known[0]["all"] if known else 0
+    if n < MIN_ROWS or len(known) < 2:
         return None
-    classes = sorted(sizes)
-    rows = rows.where(F.col("y").isin(classes)).withColumn(
-        "held_out", F.pmod(F.xxhash64(key), F.lit(TEST_SHARE)) == 0)
+    rows = rows.join(classes.select("y", "label", "balance"), "y")
     learn = rows.where(~F.col("held_out"))
-    path = work_dir(spark, f"model-{label}")
-    _indexed(vocabulary(term_counts(learn, key, text, accents=False), learn, FEATURE_TERMS, 2)) \
-        .write.parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
+    terms = stored(_indexed(vocabulary(term_counts(learn, key, text, accents=False), learn, max_terms, 2)), f"terms-{label}")
     n_terms = terms.count()
     if n_terms == 0:
         return None
-    index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y")) - 1
-    balance = F.create_map(*[F.lit(x) for c in classes for x in (c, n / (len(classes) * sizes[c]))])
-    (_vectors(rows, key, text, terms, n_terms).join(rows.select(key, "y", "held_out"), key)
-     .select(key, "features", "y", "held_out", index.cast("double").alias("label"),
-             balance[F.col("y")].alias("balance")).write.parquet(f"{path}/rows"))
-    stored = spark.read.parquet(f"{path}/rows")
+    features = stored(_vectors(rows, key, text, terms, n_terms).join(
+        rows.select(key, "held_out", "label", "balance"), key), f"features-{label}")
     # TF-IDF rows already have unit length; scaling each term by its spread would let
     # a term that hardly varies dominate.
     fit = LogisticRegression(family="multinomial", weightCol="balance", maxIter=max_iter,
                              regParam=1.0 / n, standardization=False)
-    model = fit.fit(stored.where(~F.col("held_out")))
-    right = (model.transform(stored.where("held_out"))
+    model = fit.fit(features.where(~F.col("held_out")))
+    right = (model.transform(features.where("held_out"))
              .agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0])
-    return TextModel(label, classes, terms, n_terms, model, n, float(right or 0.0))
+    return TextModel(label, [r["y"] for r in known], terms, n_terms, model, n, float(right or 0.0))
 
 
 def save_model(m: TextModel, path: str) -> None:
-    """Classifier and vocabulary next to each other."""
+    """Classifier, vocabulary and what else ``load_model`` needs, next to each other."""
     m.model.write().overwrite().save(f"{path}/model")
     m.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    about = [(m.label, m.classes, m.n_terms, m.rows, m.accuracy)]
+    m.terms.sparkSession.createDataFrame(about, "label string, classes array<string>, n_terms int, rows long, accuracy double") \
+        .write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> TextModel:
+    about = spark.read.parquet(f"{path}/about").first()
+    return TextModel(about["label"], list(about["classes"]), spark.read.parquet(f"{path}/terms"), about["n_terms"],
+                     LogisticRegressionModel.load(f"{path}/model"), about["rows"], about["accuracy"])
 
 
 def training_report(df: DataFrame, m: TextModel | None, label: str) -> DataFrame:

@@ -151,14 +151,15 @@ def facts(df: DataFrame) -> DataFrame:
 def route(questions: DataFrame, facts_rows: DataFrame, text: str = "text") -> DataFrame:
     """Sections each question asks for, and the context text built from them.
 
-    A context shows at most MAX_CONTEXT_CHARS characters, so lines ranked beyond
-    that number can never show; dropping them bounds every collected section.
+    A context shows at most MAX_CONTEXT_CHARS characters. A line has one at least, so lines
+    ranked beyond that number can never show; dropping them bounds what is collected, and each
+    section is cut to one character more before any question gets it.
     """
     lines = (facts_rows.where(F.col("rank") <= MAX_CONTEXT_CHARS).groupBy("section")
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))),
                               lambda s: s["line"]).alias("lines")))
     headings = F.create_map(*[F.lit(x) for kv in SECTION_HEADINGS.items() for x in kv])
-    body = F.concat_ws("\n", F.try_element_at(headings, F.col("section")), F.col("lines"))
+    body = F.substring(F.concat_ws("\n", F.try_element_at(headings, F.col("section")), F.col("lines")), 1, MAX_CONTEXT_CHARS + 1)
     book = lines.agg(F.map_from_entries(F.collect_list(F.struct("section", body))).alias("book"))
     asked = lowered(text, lambda low: F.array_compact(F.array(*[
         F.when(any_hit(low, words), F.lit(name)) for name, words in SECTION_KEYWORDS.items()])))

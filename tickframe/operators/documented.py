@@ -14,10 +14,6 @@ from tickframe.operators.trends import mttr_by_group
 COMPLIANCE_TARGET = 90.0
 
 
-def _per_month() -> Window:
-    return Window.partitionBy().orderBy("period")
-
-
 def rolling_7d(df: DataFrame, days: int = 7) -> DataFrame:
     """Daily volume and its moving average; days without tickets count as 0."""
     daily = df.where("created IS NOT NULL").groupBy(F.to_date("created").alias("day")).agg(F.count("*").alias("count"))

@@ -86,7 +86,7 @@ def link_counts(rows: DataFrame, incidents: DataFrame, count_skipped: bool = Tru
 
 
 def link_scores(incidents: DataFrame, scores: DataFrame, value: str) -> DataFrame:
-    """Every incident with the number and mean of its linked scores (null without any)."""
+    """Every incident with the number, maximum and minimum of its linked scores (null without any)."""
     key = link_key(scores.columns)
     per_key = (scores.groupBy(F.col(key).alias("number"))
                .agg(F.count(value).alias("score_count"), F.max(value).alias("score_max"),

@@ -1,23 +1,21 @@
 """TF-IDF weights and nearest texts.
 
-Words are counted inside each row. The texts themselves are shuffled once by their key;
-weights, norm and scores of a text then add up in that partitioning. Term statistics are
-aggregated map-side from the same shuffled texts (Spark reuses the exchange), and the
-vocabulary that comes back is bounded by ``max_terms``, so it is broadcast.
+Words are counted inside each row, so only (text, term) rows move. No term is left out
+unless ``max_terms`` says so; term statistics and weights are met by shuffle joins, which
+Spark splits for frequent terms, or by broadcast where it finds the table small enough.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.text import term_frequencies, tokens, unigrams_bigrams
+from tickframe.session import stored
 
-FEATURE_TERMS = 8_000
-INDEX_TERMS = 12_000
 MIN_SIMILARITY = 0.05
+#: Scores are rounded to nine digits, so bounds leave a little more room.
+SLACK = 1e-6
 
 
 def term_counts(texts: DataFrame, key: str, text: str, accents: bool = True) -> DataFrame:
@@ -28,74 +26,77 @@ def term_counts(texts: DataFrame, key: str, text: str, accents: bool = True) ->
     return (texts.select(key, text).select(key, F.inline_outer(found)).where("term IS NOT NULL"))
 
 
-def by_key(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """The texts hashed by key, so that what is added up per text needs no shuffle of terms.
-
-    The number of partitions is given, so AQE does not merge them by the size of the
-    texts: each text multiplies into its terms right after this shuffle.
-    """
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.select(key, text).repartition(n, F.col(key))
-
-
-def vocabulary(counts: DataFrame, n_texts: DataFrame, max_terms: int, min_df: int) -> DataFrame:
-    """The most frequent terms with their smoothed inverse document frequency."""
-    top = (counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-           .where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_terms))
+def vocabulary(counts: DataFrame, n_texts: DataFrame, max_terms: int | None = None, min_df: int = 1) -> DataFrame:
+    """Terms with their smoothed inverse document frequency; all, or the most frequent ``max_terms``."""
+    terms = (counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+             .where(F.col("df") >= min_df))
+    if max_terms is not None:
+        terms = terms.orderBy(F.desc("total"), "term").limit(max_terms)
     n = n_texts.agg(F.count("*").alias("n")).scalar()
     idf = F.log((1 + n) / (1 + F.col("df")).cast("double")) + 1.0
-    return top.select("term", idf.alias("idf"))
+    return terms.select("term", idf.alias("idf"))
 
 
 def weights(counts: DataFrame, vocab: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, term, weight): sublinear tf times idf, unit length per text.
-
-    The vocabulary holds at most ``max_terms`` rows: broadcasting it is bounded.
-    """
-    raw = counts.join(F.broadcast(vocab), "term").select(
+    """(key, term, weight): sublinear tf times idf, unit length per text."""
+    raw = counts.join(vocab, "term").select(
         key, "term", *keep, ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
     return raw.select(key, "term", *keep, (F.col("v") / norm).alias("weight"))
 
 
-def text_features(texts: DataFrame, key: str, text: str, max_terms: int = FEATURE_TERMS,
+def text_features(texts: DataFrame, key: str, text: str, max_terms: int | None = None,
                   min_df: int = 2, accents: bool = False) -> DataFrame:
     """TF-IDF features in long form; accents are stripped unless ``accents``."""
-    counts = term_counts(by_key(texts, key, text), key, text, accents)
+    counts = term_counts(texts, key, text, accents)
     return weights(counts, vocabulary(counts, texts, max_terms, min_df), key)
 
 
+def candidates(query: DataFrame, doc: DataFrame, ckey: str, min_score: float) -> DataFrame:
+    """(_q, ckey) of all pairs that can reach ``min_score``, and some that do not.
+
+    Texts are told apart by the size of their largest weight. What a query's term can add to
+    a score in such a class is bounded by the class's largest weight of the term; terms whose
+    bounds together stay below ``min_score`` cannot make a pair by themselves and are skipped,
+    the commonest terms as a rule. Only the other ones are matched.
+    """
+    tops = doc.groupBy("term", "size").agg(F.max("dw").alias("top"))
+    bound = F.col("qw") * F.col("top")
+    w = Window.partitionBy("_q", "size").orderBy(bound, "term").rowsBetween(Window.unboundedPreceding, 0)
+    needed = (query.join(tops, "term").withColumn("reach", F.sum(bound).over(w))
+              .where(F.col("reach") >= min_score - SLACK).select("_q", "term", "size"))
+    return needed.join(doc.select(ckey, "term", "size"), ["term", "size"]).select("_q", ckey).distinct()
+
+
 def similar(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, text: str = "text",
-            k: int = 5, min_score: float = MIN_SIMILARITY, max_terms: int = INDEX_TERMS,
-            max_postings: int = 1_000_000) -> DataFrame:
+            k: int = 5, min_score: float = MIN_SIMILARITY, max_terms: int | None = None) -> DataFrame:
     """The k most similar corpus texts per query by cosine: (qkey, ckey, score, rank).
 
-    Exact. The query side (its postings) is broadcast, after counting them; a batch
-    with more than ``max_postings`` is split by hash into several such passes. The
-    corpus side stays partitioned by text, so a frequent term is no hot key, scores
-    add up inside one task, and only k rows per query and task are shuffled.
+    Exact. The corpus's weights are written to the shared folder once and read for the
+    bounds, the candidates and the scores; only candidates are scored.
     """
-    counts = term_counts(by_key(corpus, ckey, text), ckey, text)
-    vocab = vocabulary(counts, corpus, max_terms, 1)
-    doc = weights(counts, vocab, ckey).select(ckey, "term", F.col("weight").alias("dw"))
-    query = weights(term_counts(by_key(queries, qkey, text), qkey, text), vocab, qkey).select(
-        F.col(qkey).alias("_q"), "term", F.col("weight").alias("qw"))
-    n = queries.agg(F.sum(F.size(unigrams_bigrams(tokens(text))))).first()[0] or 0
-    parts = max(1, -(-n // max_postings))
-    passes = []
-    for i in range(parts):
-        some = query if parts == 1 else query.where(F.pmod(F.xxhash64("_q"), F.lit(parts)) == i)
-        scored = (doc.join(F.broadcast(some), "term").groupBy(ckey, "_q")
-                  .agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score"))
-                  .where(F.col("score") >= min_score))
-        w = Window.partitionBy("_q").orderBy(F.desc("score"), ckey)
-        passes.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, passes).select(F.col("_q").alias(qkey), ckey, "score", "rank")
+    counts = term_counts(corpus, ckey, text)
+    vocab = stored(vocabulary(counts, corpus, max_terms), "vocabulary")
+    asked = stored(weights(term_counts(queries, qkey, text), vocab, qkey).select(
+        F.col(qkey).alias("_q"), "term", F.col("weight").alias("qw")), "asked")
+    own = weights(counts, vocab, ckey)
+    size = F.floor(-2 * F.log2(F.max("weight").over(Window.partitionBy(ckey)))).cast("int")
+    # Terms that no query has matter for a text's length only, which is in the weights by now.
+    doc = stored(own.withColumn("size", size).join(asked.select("term").distinct(), "term", "left_semi")
+                 .select(ckey, "term", "size", F.col("weight").alias("dw")), "postings")
+    pairs = candidates(asked, doc, ckey, min_score)
+    scored = (pairs.join(doc.select(ckey, "term", "dw"), ckey).join(asked, ["_q", "term"]).groupBy("_q", ckey)
+              .agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score")).where(F.col("score") >= min_score))
+    w = Window.partitionBy("_q").orderBy(F.desc("score"), ckey)
+    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select(F.col("_q").alias(qkey), ckey, "score", "rank"))
 
 
 def similar_incidents(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str,
-                      text: str = "text", k: int = 5, show: tuple[str, ...] = ()) -> DataFrame:
+                      text: str = "text", k: int = 5, show: tuple[str, ...] = (),
+                      description: str | None = None) -> DataFrame:
     """``similar`` with the found texts' columns; long texts are cut for display only."""
     hits = similar(queries, corpus, qkey, ckey, text, k)
-    return hits.join(corpus.select(ckey, *show, F.substring(text, 1, 120).alias("description")), ckey) \
-        .withColumn("similarity", F.bround("score", 3)).drop("score")
+    shown = corpus.select(F.col(ckey).alias("_found"), *show, F.substring(description or text, 1, 120).alias("description"))
+    return (hits.join(shown, F.col(ckey) == F.col("_found")).drop("_found")
+            .withColumn("similarity", F.bround("score", 3)).drop("score"))

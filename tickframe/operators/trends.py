@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.numbers import HOURS, fixed_sum, hours_avg, mean_of, ratio_pct
-from tickframe.plans.shape import conditional_counts, top_n_others
+from tickframe.plans.shape import conditional_counts, fold_others, top_n_others
 
 PERIODS = {"day": "date", "week": "week", "month": "month"}
 
@@ -103,7 +103,7 @@ def reassign_bucket(df: DataFrame) -> DataFrame:
     def half_up(x):
         return F.floor(x + 0.5).cast("long")
 
-    return (df.where(rc.between(0, 99)).groupBy(label.alias("label"))
+    return (df.where(rc >= 0).groupBy(label.alias("label"))
             .agg(F.count("*").alias("total"),
                  half_up(F.lit(100.0) * breached / F.count("*")).alias("breach_pct"),
                  F.coalesce(half_up(hours_avg(where=F.col("mttr_hours") > 0)), F.lit(0))
@@ -199,9 +199,6 @@ def series_top_n(df: DataFrame, n: int = 10, granularity: str = "month") -> Data
     counts = (_by_period(df, granularity, "assignment_group")
               .groupBy("period", F.col("assignment_group").alias("group"))
               .agg(F.count("*").alias("count")))
-    ranked = (counts.withColumn("all", F.sum("count").over(Window.partitionBy("group")))
-              .withColumn("rank", F.dense_rank().over(
-                  Window.partitionBy().orderBy(F.desc("all"), "group"))))
-    return (ranked.groupBy("period", F.when(F.col("rank") <= n, F.col("group"))
-                           .otherwise("Others").alias("group"))
+    largest = counts.groupBy("group").agg(F.sum("count").alias("all"))
+    return (fold_others(counts, largest, "group", "all", n).groupBy("period", "group")
             .agg(F.sum("count").alias("count")).orderBy("period", "group"))

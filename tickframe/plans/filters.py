@@ -52,8 +52,17 @@ class Filters:
             out.append(F.col("made_sla_bool") == F.lit(self.sla == "met"))
         return out
 
+    def months_touched(self) -> list[Column]:
+        """The date bounds as bounds on the month, by which the stored register is partitioned."""
+        out: list[Column] = []
+        if self.date_from:
+            out.append(F.col("month") >= F.date_format(F.lit(str(self.date_from)).cast("date"), "yyyy-MM"))
+        if self.date_to:
+            out.append(F.col("month") <= F.date_format(F.date_add(F.lit(str(self.date_to)).cast("date"), 1), "yyyy-MM"))
+        return out
+
     def apply(self, df: DataFrame) -> DataFrame:
-        for p in self.predicates():
+        for p in self.predicates() + (self.months_touched() if "month" in df.columns else []):
             df = df.where(p)
         return df
 

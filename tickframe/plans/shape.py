@@ -35,30 +35,34 @@ def top_with_total(df: DataFrame, name: str, aggs: list[Column], rank_by: str, n
 def top_n_others(rows: DataFrame, name: str, rank_by: str, measures: list[str], n: int,
                  label: str = "Others", tie: str | None = None) -> DataFrame:
     """The n largest rows plus one row summing all others; ``folded`` counts them."""
-    order = Window.partitionBy().orderBy(F.desc(rank_by), F.asc(tie or name))
-    kept = F.col("_rn") <= n
     return (
-        rows.withColumn("_rn", F.row_number().over(order))
-        .groupBy(F.when(kept, F.col(name)).otherwise(label).alias(name),
-                 kept.alias("_kept"))
+        fold_others(rows, rows, name, rank_by, n, label, tie).groupBy(name, "_kept")
         .agg(*[F.sum(m).alias(m) for m in measures], F.count("*").alias("_n"))
         .withColumn("folded", F.when(F.col("_kept"), F.lit(0)).otherwise(F.col("_n")).cast("long"))
         .drop("_kept", "_n")
     )
 
 
+def fold_others(rows: DataFrame, groups: DataFrame, name: str, rank_by: str, n: int, label: str = "Others",
+                tie: str | None = None) -> DataFrame:
+    """``rows`` with the name of all but the n largest ``groups`` replaced by ``label``; ``_kept`` tells which.
+
+    The n names come from a distributed top-k and are the broadcast side of the join (n rows),
+    so no task sees all groups.
+    """
+    top = groups.orderBy(F.desc(rank_by), F.asc(tie or name)).limit(n).select(F.col(name).alias("_name"), F.lit(True).alias("_top"))
+    kept = F.col("_top").isNotNull()
+    return (rows.join(F.broadcast(top), F.col(name).eqNullSafe(F.col("_name")), "left")
+            .withColumns({"_kept": kept, name: F.when(kept, F.col(name)).otherwise(label)}).drop("_name", "_top"))
+
+
 def long_to_wide(rows: DataFrame, key: str, column: str, value: str,
-                 columns: list | None = None, limit: int = 1000) -> DataFrame:
-    """Long form to one column per name, missing cells 0.
+                 columns: list) -> DataFrame:
+    """Long form to one column for each of the names given, missing cells 0.
 
-    Without ``columns`` the names are read from the (aggregated) rows; more than
-    ``limit`` distinct names is refused instead of building a huge schema.
+    The caller names the columns, as they are part of the result's schema; rows of other
+    names belong to no column.
     """
-    if columns is None:
-        found = rows.select(column).distinct().orderBy(column).limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {limit} distinct values in {column}; stay in long form")
-        columns = [r[0] for r in found]
     return (rows.groupBy(key).pivot(column, columns).agg(F.sum(value))
             .na.fill(0, [str(c) for c in columns]).orderBy(key))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
 
@@ -31,13 +32,23 @@ def local_session(cores: str = "*", name: str = "tickframe", memory: str = "12g"
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) a local
-    temporary folder stands in.
+    Only where the session names none and runs in one process on one machine (unit tests) a
+    local temporary folder stands in; on a cluster it would be another one on every executor.
     """
     global _local_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         if _local_dir is None:
             _local_dir = tempfile.mkdtemp(prefix="tickframe-")
         base = _local_dir
     return f"{base.rstrip('/')}/tickframe/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written to the shared folder and read back: computed once, safe from lost executors."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

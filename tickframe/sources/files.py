@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +18,6 @@ from tickframe.schema import (
     CANONICAL_DEFAULTS, DATE_COLUMNS, HEADER_ALIASES, LOADER_DEFAULTS, ORG_MAP_SCHEMA,
 )
 
-MAX_FILES = 10
-
 
 # ---- headers -----------------------------------------------------------------
 
@@ -79,59 +78,89 @@ def _csv(spark: SparkSession, path: str | list[str], encoding: str, multi_line:
                                    F.monotonically_increasing_id().alias("row")).alias("_pos"))
 
 
+# What bytes 0x80 to 0x9F mean in Windows-1252; the five unused ones stay.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in range(0x80, 0xA0))
+# End of fixed values.
+
+
+def _plain_path(path) -> Column:
+    """A file's path as readers take it: Spark reports it percent-encoded."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+
+
+def _kinds(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, header, encoding`` of every file below the paths, in one pass over their lines.
+
+    A file is UTF-8 if all of its lines are; otherwise Windows-1252 if it holds bytes that
+    Latin-1 has no characters for, else Latin-1.
+    """
+    line = F.col("value")
+    single = F.decode(line.cast("binary"), "ISO-8859-1")
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(paths).select(
+        _plain_path(F.col("_metadata.file_path")).alias("file"), place.alias("place"), "value",
+        F.is_valid_utf8(line).alias("utf8"), single.rlike("[\\x80-\\x9f]").alias("windows"))
+    return lines.groupBy("file").agg(
+        F.min_by("value", "place").alias("header"),
+        F.when(F.bool_and("utf8"), "UTF-8").when(F.bool_or(~F.col("utf8") & F.col("windows")), "windows-1252")
+        .otherwise("ISO-8859-1").alias("encoding"))
+
+
+def csv_parts(spark: SparkSession, paths: list[str], multi_line: bool = True,
+              encoding: str | None = None) -> list[DataFrame]:
+    """One all-text DataFrame for each header line and encoding that the files have.
+
+    Spark reads the files of one call by the header of one of them, so files with another
+    order of columns must not share a call.
+    """
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in _kinds(spark, paths).orderBy("file").collect():
+        groups.setdefault((r["header"], encoding or r["encoding"]), []).append(r["file"])
+    parts = []
+    for (_, kind), some in groups.items():
+        windows = kind == "windows-1252"
+        part = _csv(spark, some, "ISO-8859-1" if windows else kind, multi_line)
+        if windows:
+            part = part.select(*(F.translate(f"`{c}`", _C1, _WINDOWS).alias(c) for c in part.columns if c != "_pos"), "_pos")
+        parts.append(part)
+    # Files without a line have no header; they are empty tables.
+    return parts or [_csv(spark, paths, encoding or "UTF-8", multi_line)]
+
+
+def _by_name(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True, encoding: str | None = None) -> DataFrame:
-    """All-text CSV with a ``_pos`` column.
+    """All-text CSV with a ``_pos`` column; a folder's files may differ in their columns.
 
-    Without ``encoding`` the files are read as UTF-8 and those that do not decode as
-    Latin-1, which takes one more pass to find them: name the encoding where it is
-    known. Notes hold line breaks, so ``multiLine`` is on and one file is one task:
-    export to many files and keep the result as Parquet.
+    Headers and, without ``encoding``, encodings are found in one pass over the lines. Columns
+    are matched by name and are null where a file lacks them. Notes hold line breaks, so
+    ``multiLine`` is on and one file is one task: export to many files and keep the result
+    as Parquet.
     """
-    df = _csv(spark, path, encoding or "UTF-8", multi_line)
-    if encoding:
-        return df
-    marks = _mark_counts(df, "\ufffd").where("marks > 0")
-    suspects = {r["file"]: r["marks"] for r in marks.collect()}
-    if not suspects:
-        return df
-    # A replacement character written as such is three known bytes; any other is a byte
-    # that is not UTF-8.
-    latin = _csv(spark, list(suspects), "ISO-8859-1", multi_line)
-    written = {r["file"]: r["marks"] for r in _mark_counts(latin, "ï¿½").collect()}
-    bad = [f for f, n in suspects.items() if written.get(f, 0) != n]
-    if not bad:
-        return df
-    again = _csv(spark, bad, "ISO-8859-1", multi_line)
-    good = df.where(~F.col("_pos.file_path").isin(bad))
-    return again if good.isEmpty() else good.unionByName(again)
-
-
-def _mark_counts(df: DataFrame, mark: str) -> DataFrame:
-    """How often a text occurs in each input file; one row per file."""
-    found = F.lit(0)
-    for c in df.columns:
-        if c != "_pos":
-            text = F.coalesce(F.col(f"`{c}`"), F.lit(""))
-            found = found + (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / F.lit(len(mark))
-    return df.groupBy(F.col("_pos.file_path").alias("file")).agg(F.sum(found).cast("long").alias("marks"))
+    return _by_name(csv_parts(spark, [path], multi_line, encoding))
 
 
 def read_many(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
-    """Up to ten uploads, each with its own header, as one canonical table.
+    """Uploads, each with its own header, as one canonical table.
 
     ``_file`` names the upload, ``_seq`` orders rows by (upload, position in it).
     """
-    if not 1 <= len(paths) <= MAX_FILES:
-        raise ValueError(f"1 to {MAX_FILES} files per upload")
-    out = None
-    for rank, path in enumerate(paths):
-        df = normalize_columns(read_csv(spark, path, multi_line))
-        df = canonical_select(df, extra=("tower", "sdm", "_pos")).withColumns({
-            "_file": F.lit(path.rstrip("/").rsplit("/", 1)[-1]),
-            "_seq": F.struct(F.lit(rank).alias("file"), F.col("_pos")),
-        }).drop("_pos")
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    if not paths:
+        raise ValueError("no files")
+    uploads = spark.createDataFrame(
+        [(f, rank, path.rstrip("/").rsplit("/", 1)[-1]) for rank, path in enumerate(paths)
+         for f in spark.read.text(path).inputFiles()], "_path string, _rank int, _file string").withColumn(
+        "_path", _plain_path(F.col("_path")))
+    parts = []
+    for part in csv_parts(spark, paths, multi_line):
+        df = canonical_select(normalize_columns(part), extra=("tower", "sdm", "_pos"))
+        df = df.join(uploads, _plain_path(F.col("_pos.file_path")) == F.col("_path"), "left")
+        parts.append(df.withColumn("_seq", F.struct(F.col("_rank").alias("file"), F.col("_pos")))
+                     .drop("_pos", "_path", "_rank"))
+    return _by_name(parts)
 
 
 def file_column_audit(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -222,8 +251,10 @@ def clean_breach(raw: DataFrame, as_of) -> DataFrame:
 
 
 def read_incidents_csv(spark: SparkSession, path: str, org_map: DataFrame | None = None) -> DataFrame:
-    return clean_incidents(normalize_columns(read_csv(spark, path)), org_map)
+    """A file or folder; columns are matched by their normal names, file by file."""
+    return clean_incidents(_by_name([normalize_columns(p) for p in csv_parts(spark, [path])]), org_map)
 
 
 def read_breach_csv(spark: SparkSession, path: str, as_of) -> DataFrame:
-    return clean_breach(read_csv(spark, path), as_of)
+    return clean_breach(_by_name([p.toDF(*[c if c.startswith("_") else cl.normal_header(c) for c in p.columns])
+                                  for p in csv_parts(spark, [path])]), as_of)

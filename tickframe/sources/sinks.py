@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.functions.clean import format_date
-from tickframe.operators.ingest import split_known
+from tickframe.operators.ingest import drop_blank_key, split_known
+from tickframe.plans.shape import keep_last
 from tickframe.schema import CANONICAL_COLUMNS, EXPORT_COLUMNS
 
 TABLE_EXTRAS = ["tower", "sdm", "priority_label", "urgency_label", "made_sla_bool", "week", "date",
@@ -31,28 +33,25 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("month", F.col("month").cast("string"))
 
 
-def append_new(spark: SparkSession, new: DataFrame, path: str, mode: str = "append") -> int:
+def append_new(spark: SparkSession, new: DataFrame, path: str, mode: str = "append", order: list | None = None) -> int:
     """Add rows whose number the table does not hold yet, or replace the table.
 
-    Returns the number of rows really appended.
+    Rows without a number are refused; of a number that the upload repeats the last row by
+    ``order`` is stored (the position ``_seq`` if there is one, else the last update). Returns
+    the number of rows written; the table itself is not counted.
     """
+    order = order or (["_seq"] if "_seq" in new.columns else ["updated", "created"])
+    new = keep_last(drop_blank_key(new), "number", order)
     if mode == "append":
         try:
-            existing = spark.read.parquet(path).select("number")
+            new, _ = split_known(new, spark.read.parquet(path).select("number"))
         except AnalysisException:
-            existing = None
-        if existing is not None:
-            new, _ = split_known(new, existing)
-    rows_before = _count(spark, path) if mode == "append" else 0
+            pass
+    new = new.persist(StorageLevel.MEMORY_AND_DISK)  # an upload's size; a lost block is made again
+    n = new.count()
     write_clean(new, path, mode="append" if mode == "append" else "overwrite")
-    return _count(spark, path) - rows_before
-
-
-def _count(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except AnalysisException:
-        return 0
+    new.unpersist()
+    return n
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -20,7 +20,7 @@ from tickframe.functions.numbers import fixed_sum
 from tickframe.operators.documented import aging_band, aging_share
 from tickframe.operators.ingest import drop_blank_key, split_known
 from tickframe.plans.shape import keep_last
-from tickframe.sources.sinks import write_clean
+from tickframe.sources.sinks import read_clean, write_clean
 
 AVAILABLE = {"availableNow": True}
 
@@ -58,22 +58,25 @@ def read_changelog(spark: SparkSession, path: str, keys: list[str] | None = None
 
 
 def ingest(raw: DataFrame, clean: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-           order: list | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Clean each batch, keep the last row per number, append numbers not stored yet.
+           order: list, trigger: dict | None = None) -> StreamingQuery:
+    """Clean each batch, keep the last row per number by ``order``, append numbers not stored yet.
 
-    A repeated batch finds its rows already stored and appends nothing.
+    A ticket's month never changes, so a batch is compared with the months it touches only. A
+    repeated batch finds its rows already stored and appends nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = drop_blank_key(clean(batch))
-        rows = keep_last(rows, "number", order) if order else rows.dropDuplicates(["number"])
-        # The batch is read twice, for its keys and for its rows; a lost block is
-        # recomputed from the source files.
+        rows = keep_last(drop_blank_key(clean(batch)), "number", order)
+        # The batch is read three times, for its months, its keys and its rows; a lost block
+        # is recomputed from the source files.
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         fresh = rows
         if _has_rows(spark, path):
-            fresh, _ = split_known(rows, spark.read.parquet(path).select("number"))
+            months = [r["month"] for r in rows.select("month").distinct().collect()]
+            stored = read_clean(spark, path)
+            of_months = F.col("month").isin([m for m in months if m]) | (F.col("month").isNull() if None in months else F.lit(False))
+            fresh, _ = split_known(rows, stored.where(of_months).select("number"))
         write_clean(fresh, path, mode="append")
         rows.unpersist()
 
@@ -123,7 +126,16 @@ def aging_alerts(stream: DataFrame, as_of) -> DataFrame:
         "number", "priority", F.bround(share, 1).alias("elapsed_pct"), aging_band(share).alias("band"))
 
 
-def latest_state(stream: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
-    """Newest state per ticket; the state store holds one row per ticket."""
+def latest_state(stream: DataFrame, key: str, state: str, order: list[str], keep: str | None = None) -> DataFrame:
+    """Newest state per ticket; the state store holds one row per ticket.
+
+    With ``keep`` (a duration on the first of ``order``) the state is kept by ticket and window of
+    that length, and Spark drops windows that the watermark has left behind; the newest state is
+    then the one of a ticket's last window. Without it every ticket stays in the store.
+    """
     newest = F.max_by(state, F.struct(*order))
+    if keep is not None:
+        return (stream.withWatermark(order[0], keep).groupBy(key, F.window(order[0], keep).alias("span"))
+                .agg(newest.alias("state"), F.max(order[0]).alias("updated"), F.count("*").alias("updates"))
+                .select(key, "state", "updated", "updates"))
     return stream.groupBy(key).agg(newest.alias("state"), F.max(order[0]).alias("updated"), F.count("*").alias("updates"))
