@@ -140,6 +140,8 @@ def test_pages_of_the_test_tables(spark):
     ("<article><p>first words of it</p><div class='ad'>buy this now</div><p>last words</p></article>", "first words of it\nlast words"),
     ("<article><header><h1>Title</h1></header><p>words that follow</p><aside>no</aside></article>", "Title\nwords that follow"),
     ("<article><p>words</p><div hidden>secret</div><div style='display:none'>secret</div></article>", "words"),
+    ("<article><div class='entry-header'>Title</div><p>words here</p><div class='post-comments'>me too</div></article>", "Title\nwords here"),
+    ("<div class='overflow-hidden has-sidebar'><p>some words</p></div><div class='CookieBar'>we use them</div>", "some words"),
     ("</div></p><p>x y z</p></section>", "x y z"), ("<article><p>" + "w " * 30000 + "</p></article>", ("w " * 30000).strip())])
 def test_main_text(page, text):
     assert html_text.main_text(page) == text

@@ -35,7 +35,7 @@ _PIECE = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed values of HTML: elements without content, with raw text, without visible text, and inside a line.
@@ -59,8 +59,14 @@ def _is_aside(name: str, attrs: str, inside_article: bool) -> bool:
         return not (name == "header" and inside_article)
     if not attrs or name in ("html", "body", "article", "main"):
         return False
-    words = {w.lower() for _, v in _NAMED.findall(attrs) for w in _PARTS.findall(v)}
-    return bool(words & HINTS and not words & ARTICLE) or bool(_HIDDEN.search(attrs))
+    for _, value in _NAMED.findall(attrs):
+        for token in value.strip("\"'").split():
+            parts = [w.lower() for w in _PARTS.findall(token)]
+            # An entry-header belongs to the article, post-comments do not; has-sidebar says nothing of itself.
+            of_article = ARTICLE & set(parts) and parts[-1] not in HINTS - {"header"}
+            if HINTS & set(parts) and not of_article and parts[0] not in ("has", "with", "no"):
+                return True
+    return bool(_HIDDEN.search(attrs))
 
 
 def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
