@@ -572,8 +572,17 @@ def with_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", rules.incident_text("short_description", "service_offering", "category"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A text multiplies into its terms, but a small file is one task: dealt to all cores first."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _articles(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(tt.table(spark, sf, "documents"))
+
+
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
-    return txt.similar(tt.table(spark, sf, "benchmark"), tt.table(spark, sf, "documents"),
+    return txt.similar(tt.table(spark, sf, "benchmark"), _articles(spark, sf),
                        "item_id", "doc_id")
 
 
@@ -592,7 +601,7 @@ def _kb(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest article for every user message."""
     asked = tt.table(spark, sf, "conversations").where("role = 'user'").select(
         F.concat_ws("-", "conv_id", "turn").alias("ticket"), "text")
-    return txt.similar(asked, tt.table(spark, sf, "documents"), "ticket", "doc_id", k=1).select(
+    return txt.similar(asked, _articles(spark, sf), "ticket", "doc_id", k=1).select(
         "ticket", F.col("doc_id").alias("article"), F.bround("score", 3).alias("similarity"))
 
 
@@ -613,14 +622,14 @@ QUERIES |= {
     "priority_definitions": lambda spark, sf: (
         tt.incidents(spark, sf).groupBy("priority").agg(F.count("*").alias("tickets"))
         .join(F.broadcast(aud.priority_definitions(spark)), "priority").select("priority", "label", "tickets")),
-    "text_features": inc(lambda df: txt.text_features(with_text(df), "number", "text").withColumn(
+    "text_features": inc(lambda df: txt.text_features(spread(with_text(df).select("number", "text")), "number", "text").withColumn(
         "weight", F.round("weight", 9))),
-    "text_features_documents": raw("documents", lambda df: txt.text_features(df, "doc_id", "text")
+    "text_features_documents": raw("documents", lambda df: txt.text_features(spread(df.select("doc_id", "text")), "doc_id", "text")
                                    .groupBy("doc_id").agg(F.count("*").alias("terms"),
                                                           F.round(F.sum("weight"), 6).alias("total"),
                                                           F.max("term").alias("last_term"))),
     "similar_incidents": lambda spark, sf: txt.similar_incidents(
-        tt.table(spark, sf, "benchmark"), tt.table(spark, sf, "documents"), "item_id", "doc_id",
+        tt.table(spark, sf, "benchmark"), _articles(spark, sf), "item_id", "doc_id",
         show=("source", "lang")),
     "similarity_join": lambda spark, sf: _similar(spark, sf).select(
         F.col("item_id").alias("qid"), F.col("doc_id").alias("did"), "rank",

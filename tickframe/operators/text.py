@@ -72,10 +72,11 @@ def similar(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, text: s
             k: int = 5, min_score: float = MIN_SIMILARITY, max_terms: int | None = None) -> DataFrame:
     """The k most similar corpus texts per query by cosine: (qkey, ckey, score, rank).
 
-    Exact. The corpus's weights are written to the shared folder once and read for the
-    bounds, the candidates and the scores; only candidates are scored.
+    Exact. The corpus's term counts and the weights of terms that are asked for are written to
+    the shared folder once and read for the vocabulary, the bounds, the candidates and the
+    scores; only candidates are scored.
     """
-    counts = term_counts(corpus, ckey, text)
+    counts = stored(term_counts(corpus, ckey, text), "terms")
     vocab = stored(vocabulary(counts, corpus, max_terms), "vocabulary")
     asked = stored(weights(term_counts(queries, qkey, text), vocab, qkey).select(
         F.col(qkey).alias("_q"), "term", F.col("weight").alias("qw")), "asked")
