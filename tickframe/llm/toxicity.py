@@ -9,8 +9,8 @@ those it has.
 Fitting uses at most ``sample`` labelled rows, chosen by a hash of their id. Scoring reads whole
 texts and nothing else.
 
-Rules: a null text is empty; empty texts score the share of toxic training texts that have
-none of the n-grams. Without training rows, or with one label only, the score is that label's share
+Rules: a null text is empty; empty texts score what the bias alone gives. Without training rows,
+or with one label only, the score is that label's share
 (0 without any). Repeated rows are scored each.
 """
 
