@@ -142,6 +142,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     # Stored without buckets, so that the join shuffles both sides and Spark can split a key
     # that a large part of the documents hold.
     common_keys = stored(runs.keys().filter(F.col("n_docs") >= common).select(*KEY, "last_doc"), "common_lines")
+    runs.forget()
     drop = (
         lines.join(common_keys, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
