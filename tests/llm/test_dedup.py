@@ -184,6 +184,23 @@ def test_one_of_each_group(spark):
     assert Counter(gather(kept.select("doc_id"))) == Counter(named)
 
 
+def test_one_of_each_group_where_ids_are_null_or_shared(spark):
+    rng = random.Random(11)
+    texts = [words(rng, 60) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (None, texts[1].upper()), (7, texts[5]), (7, texts[6]), (7, texts[6]),
+            (7, texts[7]), (3, texts[7].upper()), (None, texts[8]), (9, texts[8].upper()), (9, texts[9]), (4, None), (4, "")]
+    root = groups_by_hand([print_by_hand(t, 4) for _, t in rows], 4)
+    best = {}
+    for d, t in rows:
+        sha = "null" if t is None else hashlib.sha256(t.encode()).hexdigest()
+        rank = (d is None, d or 0, sha)
+        g = root[print_by_hand(t, 4)]
+        best[g] = min(best.get(g, (rank, d, t)), (rank, d, t))
+    assert len(best) == 11
+    got = gather(simhash.one_of_each_group(table(spark, rows)).select("doc_id", "text"))
+    assert Counter(got) == Counter((d, t) for _, d, t in best.values())
+
+
 def test_near_groups_empty_and_single(spark):
     assert gather(simhash.near_groups(table(spark, []))) == []
     assert gather(simhash.near_groups(table(spark, [(7, None)]))) == [(7, "0" * 16, 7)]

@@ -176,25 +176,36 @@ def links(nodes: DataFrame, bits: int = BITS, per_task: int = PER_TASK) -> DataF
     return dealt.groupBy("prefix", "part_bits", "part").applyInArrow(meet, "u long, v long")
 
 
+def _rooted(prints: DataFrame, bits: int, per_task: int) -> DataFrame:
+    """``fp, least, root`` of each distinct fingerprint: its least id and its component's smallest fingerprint."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), bits, per_task))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS,
                 seed: int = SEED, per_task: int = PER_TASK) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row."""
     prints = stored(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), bits, per_task))
-    joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = _rooted(prints, bits, per_task)
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.join(named, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that name their group, all columns: one row each.
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                      bits: int = BITS, seed: int = SEED, per_task: int = PER_TASK) -> DataFrame:
+    """One row of each group, all columns: the one with the smallest id, then the smallest text hash.
 
-    Rows that repeat an id share its fate; of them one stays.
+    A null id is larger than any other, a null text's hash too. Ids need not be unique: a row is
+    known by its id and text. Rows that agree in both are ties, of which one stays.
     """
-    groups = near_groups(docs, doc_id, text, **options)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return one_row_per_key(docs, kept.select(id_key(F.col("doc_id")).alias("id")), {"id": id_key(F.col(doc_id))})
+    sha = F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))
+    known_by = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), sha.alias("sha"))
+    prints = stored(fingerprints(docs.select(known_by.alias("row"), F.col(text).alias("text")), "row", "text", shingle, seed),
+                    "fingerprints")
+    first = _rooted(prints, bits, per_task).groupBy("root").agg(F.min("least").alias("row"))
+    kept = first.select(id_key(F.col("row.id")).alias("id"), F.col("row.sha").alias("sha"))
+    return one_row_per_key(docs, kept, {"id": id_key(F.col(doc_id)), "sha": sha})
