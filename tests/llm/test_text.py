@@ -101,6 +101,18 @@ def test_language_awkward_texts(spark):
     assert nothing.predict("the") == ("und", 0.0, False)
 
 
+def test_language_of_few_texts_in_many_copies(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 20), "aa") for i in range(200)]
+    for k in range(20):  # 20 languages, each one text of own letters in 40 copies
+        rows += [(1000 + k, " ".join(chr(0x4E00 + 50 * k + j) * 3 for j in range(9)), f"l{k:02}")] * 40
+    rows += [(2000, "123", "none")] * 5
+    model = language.fit(table(spark, rows), sample=44)
+    # The old draw gave each language either all its copies or no centroid at all.
+    assert Counter(model.languages[i] for i in model.of) == Counter({"aa": 2}) + Counter(f"l{k:02}" for k in range(20))
+    assert all(model.predict(t)[0] == lang for _, t, lang in rows[200:-5])
+
+
 def test_clusters_have_length_one():
     x = np.random.default_rng(1).random((40, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

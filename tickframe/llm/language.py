@@ -2,7 +2,7 @@
 
 A text is the normalised TF-IDF vector of its hashed letter n-grams (1 to 3 letters, with
 word ends). Document frequencies count all training rows. Each language's training vectors
-(a bounded sample, ``sample`` rows for all languages together) are clustered by direction;
+(a bounded sample, ``sample`` different texts for all languages together) are clustered by direction;
 a text gets the language of the centroid with the largest cosine. Texts far from every
 centroid are rejected: the least cosine that counts is learned from the training texts,
 by the number of letters, as short texts lie farther from any centroid.
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import small_batches
@@ -30,6 +30,8 @@ SAMPLE, CLUSTERS, ROUNDS = 2000, 3, 8
 #: Of the cosine that all but a hundredth of the training texts of a length reach.
 REJECT = 0.4
 UNKNOWN = "und"
+#: Java's letters, and what Java does not know yet and Python may.
+MAY_HAVE_LETTER = r"[\p{L}\p{Cn}]"
 
 
 def counts(text: str | None) -> np.ndarray | None:
@@ -113,32 +115,35 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         reject: float = REJECT) -> LanguageModel:
     """Learns from all rows of ``train`` that have a text and a language.
 
-    ``sample`` bounds the rows whose vectors are clustered, the same number for each language.
+    ``sample`` bounds the texts whose vectors are clustered: of each language the same number
+    of different texts, at least one, the first by a hash; copies count once.
     """
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = dict(rows.groupBy("lang").count().collect())
-    languages = sorted(sizes)
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     df, n = _document_frequency(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
     if not languages or not n:
         return LanguageModel([], idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros(16))
     each = max(1, sample // len(languages))
-    # Rows are taken by a hash of their text: the same ones whatever the partitions.
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    share = F.lit(0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, int(min(1.0, each / sizes[name]) * (1 << 30))).otherwise(share)
-    taken = rows.filter(part < share)
+    hashed_rows = rows.filter(F.col("text").rlike(MAY_HAVE_LETTER)).withColumn("h", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashed_rows.select("lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= each)
+    taken = hashed_rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # copies leave a task once
         for b in small_batches(batches, "text"):
-            found = [counts(t.as_py()) for t in b.column(0)]
-            own = [i for i, tf in enumerate(found) if tf is not None]
-            tf = [np.minimum(found[i], 65535).astype("<u2").tobytes() for i in own]
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(own, pa.int64())), pa.array(tf, pa.binary())],
-                                             names=["lang", "tf"])
-
-    got = taken.select("text", "lang").mapInArrow(vectors, "lang string, tf binary").orderBy("lang", "tf").collect()
+            keys = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
+            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            found = [(i, counts(b.column(0)[i].as_py())) for i in new]
+            own = [(i, tf) for i, tf in found if tf is not None]
+            tf = [np.minimum(tf, 65535).astype("<u2").tobytes() for _, tf in own]
+            at = pa.array([i for i, _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(tf, pa.binary())],
+                                             names=["lang", "h", "tf"])
+
+    got = (taken.select("text", "lang", "h").mapInArrow(vectors, "lang string, h long, tf binary")
+           .dropDuplicates(["lang", "h"]).orderBy("lang", "tf").collect())
     tfs = [np.frombuffer(r["tf"], "<u2").astype(np.int64) for r in got]
     own = np.array([languages.index(r["lang"]) for r in got], np.int64)
     every = np.stack([vector(tf, idf) for tf in tfs]) if tfs else np.zeros((0, 1 << BITS), np.float32)
