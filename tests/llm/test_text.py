@@ -159,6 +159,21 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    *((f"<p>first words</p><{x}/><p>last words</p>", "first words\nlast words") for x in ("svg", "math", "object", "template", "noscript")),
+    *((f"<div><p>first words</p><div><{x} a='b'></div><p>last words</p></div>", "first words\nlast words")
+      for x in ("svg", "math", "object", "template", "noscript")),
+    *((f"<p>first words</p><{x}><p>last words</p>", "first words\nlast words") for x in ("svg", "math", "object", "template", "noscript")),
+    *((f"<p>first words</p><{x}><i>no</i> more</{x}><p>last words</p>", "first words\nlast words") for x in ("svg", "template", "noscript")),
+    ("<p>first words</p><svg><svg><text>a</text></svg><text>b</text></svg><p>last words</p>", "first words\nlast words"),
+    ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "where x=2 holds"),
+    ("<div>first words <math><mi>x</div>last words", "first words x\nlast words"),
+    ("<article><p>first words</p><object data='a'><param name='b'><p>instead of it</p></object></article>", "first words\ninstead of it"),
+    ("<p>first words</p><svg>" + "<path d=''/><g></g>" * 50 + "<script/></svg><p>last words</p>", "first words\nlast words")])
+def test_embedded_elements_end_where_they_should(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_best_region():
     rng = random.Random(4)
     for _ in range(200):

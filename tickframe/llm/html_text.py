@@ -10,7 +10,8 @@ no article, such as adverts.
 Rules: null or empty pages have no text. Character references are decoded, white space in
 a block becomes one space, blocks are joined by a line end; ``br`` is white space. Unclosed
 and stray tags are read as a browser would, roughly: a closing tag closes what is open
-inside it, or nothing. Of regions with equal sums the first and shortest is taken.
+inside it, or nothing; svg, math, object, template and noscript end with their parent. Text of
+formulas and of objects counts, svg, template and noscript are not shown. Of regions with equal sums the first and shortest is taken.
 """
 
 from __future__ import annotations
@@ -39,10 +40,15 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*["']?false)|display
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed values of HTML: elements without content, with raw text, without visible text, and inside a line.
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+UNSHOWN = {"svg", "template", "noscript", "annotation", "annotation-xml"}
+#: Tags that end an svg or math element around them, but not from inside these parts of one.
+BREAKOUT = {"article", "blockquote", "body", "center", "dd", "div", "dl", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "img",
+            "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+FOREIGN_PARTS = {"foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
-          "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
+          "img", "ins", "kbd", "label", "mark", "math", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
           "time", "tt", "u", "var", "wbr"}
 #: Elements, and words in class, id and role, that say a part is not the article.
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head"}
@@ -76,20 +82,37 @@ def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
     """
     stack: list[tuple[str, bool]] = []
     at, n = 0, len(page)
+    lower = page.lower() if len(page.lower()) == n else page
+    last_close = {x: lower.rfind(f"</{x}") for x in UNSHOWN}
+    #: Height of the stack below the outermost element that is not shown, and below the outermost formula.
+    unshown = formula = math.inf
     while at < n:
         m = _PIECE.match(page, at)
         at = m.end()
         if m["text"] is not None:
+            if unshown < math.inf:
+                continue
             names = [x for x, _ in stack]
             kind = "aside" if any(a for _, a in stack) else "link" if "a" in names else "plain"
             yield f"word:{kind}", html.unescape(m["text"]), ""
         elif m["name"]:
             name = m["name"].lower()
+            if name in BREAKOUT and not m["close"]:
+                root = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("svg", "math")), None)
+                if root is not None and not any(x in FOREIGN_PARTS for x, _ in stack[root:]):
+                    del stack[root:]
+                    unshown, formula = (math.inf if h >= root else h for h in (unshown, formula))
+            quiet = min(unshown, formula) < math.inf
+            foreign = quiet and any(x in ("svg", "math") for x, _ in stack)
             if m["close"]:
                 open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 aside = open_at is not None and any(a for _, a in stack[open_at:])
                 if open_at is not None:
                     del stack[open_at:]
+                    quiet = quiet and open_at >= min(unshown, formula)  # not where a parent ends
+                    unshown, formula = (math.inf if h >= open_at else h for h in (unshown, formula))
+            elif name in RAW and foreign and m["attrs"].endswith("/"):
+                continue
             elif name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at, aside = end.end() if end else n, name != "title"
@@ -100,7 +123,15 @@ def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
                     stack.pop()
                 aside = _is_aside(name, m["attrs"], any(x in ("article", "main") for x, _ in stack))
                 if name not in VOID and not m["attrs"].endswith("/"):
+                    # What is never closed does not hide the rest of its parent.
+                    if name in UNSHOWN and last_close[name] >= at:
+                        unshown = min(unshown, len(stack))
+                    if name == "math":
+                        formula = min(formula, len(stack))
                     stack.append((name, aside))
+                aside = aside or name in UNSHOWN
+            if quiet or name == "math":
+                continue
             yield "tag:aside" if aside else f"tag:{name}", " " if name == "br" else "", ""
             if name not in INLINE:
                 yield "end", "", ""
