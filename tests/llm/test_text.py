@@ -174,6 +174,26 @@ def test_embedded_elements_end_where_they_should(page, text):
     assert html_text.main_text(page) == text
 
 
+ARTICLE = "<h1>A title</h1>" + "<p>Plain words that make a line of the article.</p>" * 4
+TEXT = "A title" + "\nPlain words that make a line of the article." * 4
+
+
+@pytest.mark.parametrize("start,end", [
+    ("<div class='layout-with-sidebar'>", "</div>"), ("<div class='wrapper menu-open'>", "</div>"),
+    ("<div id='header-and-content'>", "</div>"), ("<form id='aspnetForm' action='x'>", "</form>"), ("<header>", "</header>")])
+def test_wrappers_do_not_delete_the_article(start, end):
+    inner = [f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>"]
+    for x in inner if start == "<header>" else [*inner, f"<div>{ARTICLE}</div>"]:
+        assert html_text.main_text(f"<body>{start}{x}<div class='cookie-bar'>we use them</div>{end}<footer>legal words</footer></body>") == TEXT
+
+
+def test_parts_beside_the_article_stay_out():
+    for part in ("<div class='comments'><article><p>me too, very much so</p></article></div>", "<form><p>your name here</p></form>",
+                 "<aside><article><p>another story</p></article></aside>"):
+        assert html_text.main_text(f"<body><article>{ARTICLE}</article>{part}</body>") == TEXT
+    assert html_text.main_text(f"<div hidden><main>{ARTICLE}</main></div>") == ""
+
+
 def test_best_region():
     rng = random.Random(4)
     for _ in range(200):

@@ -3,7 +3,8 @@
 A page is a sequence of words and tags. Words score positive and tags negative; how much
 is learned from labelled pages: the log-odds of a kind of word or tag inside and outside
 the article. Words in links and in parts that say what they are (menu, footer, advert ...)
-are kinds of their own, and so are those parts' tags. One linear scan finds the contiguous
+are kinds of their own, and so are those parts' tags; a class or form around most plain words
+is a wrapper and says nothing, and no mark reaches into ``main`` or the only articles. One linear scan finds the contiguous
 region with the largest sum. Its blocks are the text, without the parts inside it that are
 no article, such as adverts.
 
@@ -21,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -60,19 +62,75 @@ HINTS = {"ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored
 ARTICLE = {"article", "main", "post", "entry", "story", "body"}
 
 
-def _is_aside(name: str, attrs: str, inside_article: bool) -> bool:
+#: How sure it is that an element is no article: not at all, by its class or as a form, by its name, not shown.
+NOT, MAYBE, ASIDE_NAME, NOT_SHOWN = range(4)
+#: A class or form around so many times the plain words that are left outside of all such elements is only a wrapper.
+WRAPS, FORM_WRAPS = 4, 1
+
+
+def _aside_kind(name: str, attrs: str, inside_article: bool) -> int:
     if name in ASIDE:
-        return not (name == "header" and inside_article)
+        return NOT if name == "header" and inside_article else MAYBE if name == "form" else ASIDE_NAME
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return NOT
     for _, value in _NAMED.findall(attrs):
         for token in value.strip("\"'").split():
             parts = [w.lower() for w in _PARTS.findall(token)]
             # An entry-header belongs to the article, post-comments do not; has-sidebar says nothing of itself.
             of_article = ARTICLE & set(parts) and parts[-1] not in HINTS - {"header"}
             if HINTS & set(parts) and not of_article and parts[0] not in ("has", "with", "no"):
-                return True
-    return bool(_HIDDEN.search(attrs))
+                return MAYBE
+    return NOT_SHOWN if _HIDDEN.search(attrs) else NOT
+
+
+@dataclass
+class _Elements:
+    """The elements of a page in the order of their start tags; 0 is the page."""
+
+    name: list[str]
+    parent: list[int]
+    kind: list[int]
+    words: list[int]  # plain words of their own
+
+    def add(self, name: str, parent: int, kind: int) -> int:
+        self.name.append(name)
+        self.parent.append(parent)
+        self.kind.append(kind)
+        self.words.append(0)
+        return len(self.name) - 1
+
+    def under(self, reset: set[int]) -> list[int]:
+        """The surest kind of each element and those around it, up to one in ``reset``; what is not shown stays so."""
+        out = [NOT]
+        for i in range(1, len(self.name)):
+            outer = out[self.parent[i]]
+            out.append(max(self.kind[i], NOT if i in reset and outer != NOT_SHOWN else outer))
+        return out
+
+    def settle(self) -> list[bool]:
+        """Lifts the marks of wrappers and tells for each element whether it is in a part that is no article."""
+        main = {i for i, x in enumerate(self.name) if x == "main"}
+        if not any(self.kind):
+            return [False] * len(self.kind)
+        under = self.under(main)
+        inside = [w if k <= MAYBE else 0 for w, k in zip(self.words, under)]
+        for i in range(len(inside) - 1, 0, -1):
+            inside[self.parent[i]] += inside[i]
+        left = sum(w for w, k in zip(self.words, under) if k == NOT)
+        # The largest first, outer before inner: what is left outside only grows.
+        for i in sorted((i for i, k in enumerate(self.kind) if k == MAYBE and inside[i]), key=lambda i: (-inside[i], i)):
+            if inside[i] > (FORM_WRAPS if self.name[i] == "form" else WRAPS) * left:
+                self.kind[i] = NOT
+                under = self.under(main)
+                left = sum(w for w, k in zip(self.words, under) if k == NOT)
+        # An article counts whatever is around it, unless there is one (or a main) that nothing is around.
+        holds = list(self.words)
+        for i in range(len(holds) - 1, 0, -1):
+            holds[self.parent[i]] += holds[i]
+        articles = [i for i, x in enumerate(self.name) if x in ("article", "main") and holds[i]]
+        if all(under[i] != NOT for i in articles):
+            under = self.under(main | set(articles))
+        return [k != NOT for k in under]
 
 
 def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
@@ -80,7 +138,24 @@ def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
 
     A text run is one piece. Kinds of words: plain, link, aside. Kinds of tags: aside, or the name.
     """
-    stack: list[tuple[str, bool]] = []
+    elements = _Elements(["page"], [0], [NOT], [0])
+    found = list(_pieces(page, elements))
+    own_mark = [k != NOT for k in elements.kind]
+    no_article = elements.settle()
+    lifted = [a and k == NOT for a, k in zip(own_mark, elements.kind)]
+    for kind, text, mark, at, closed in found:
+        if kind == "text":
+            yield "word:aside" if no_article[at] else "word:link" if mark else "word:plain", text, ""
+        elif kind == "tag":
+            aside = any(own_mark[i] and not lifted[i] for i in closed)
+            yield "tag:aside" if aside else f"tag:{mark}", text, ""
+        else:
+            yield kind, text, mark
+
+
+def _pieces(page: str, elements: _Elements) -> Iterator[tuple[str, str, str, int, list[int]]]:
+    """Pieces with the element that text is in and the elements that a tag starts or ends; fills ``elements``."""
+    stack: list[tuple[str, int]] = []
     at, n = 0, len(page)
     lower = page.lower() if len(page.lower()) == n else page
     last_close = {x: lower.rfind(f"</{x}") for x in UNSHOWN}
@@ -93,8 +168,10 @@ def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
             if unshown < math.inf:
                 continue
             names = [x for x, _ in stack]
-            kind = "aside" if any(a for _, a in stack) else "link" if "a" in names else "plain"
-            yield f"word:{kind}", html.unescape(m["text"]), ""
+            inner, text = stack[-1][1] if stack else 0, html.unescape(m["text"])
+            if "a" not in names:
+                elements.words[inner] += len(text.split())
+            yield "text", text, "a" if "a" in names else "", inner, []
         elif m["name"]:
             name = m["name"].lower()
             if name in BREAKOUT and not m["close"]:
@@ -106,7 +183,7 @@ def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
             foreign = quiet and any(x in ("svg", "math") for x, _ in stack)
             if m["close"]:
                 open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                aside = open_at is not None and any(a for _, a in stack[open_at:])
+                touched = [i for _, i in stack[open_at:]] if open_at is not None else []
                 if open_at is not None:
                     del stack[open_at:]
                     quiet = quiet and open_at >= min(unshown, formula)  # not where a parent ends
@@ -115,28 +192,30 @@ def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
                 continue
             elif name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at, aside = end.end() if end else n, name != "title"
+                at, touched = end.end() if end else n, [elements.add(name, 0, NOT if name == "title" else NOT_SHOWN)]
             else:
                 if name not in INLINE and stack and stack[-1][0] == "p":
                     stack.pop()
                 if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                     stack.pop()
-                aside = _is_aside(name, m["attrs"], any(x in ("article", "main") for x, _ in stack))
+                kind = _aside_kind(name, m["attrs"], any(x in ("article", "main") for x, _ in stack))
+                touched = [elements.add(name, stack[-1][1] if stack else 0, kind)]
                 if name not in VOID and not m["attrs"].endswith("/"):
                     # What is never closed does not hide the rest of its parent.
                     if name in UNSHOWN and last_close[name] >= at:
                         unshown = min(unshown, len(stack))
                     if name == "math":
                         formula = min(formula, len(stack))
-                    stack.append((name, aside))
-                aside = aside or name in UNSHOWN
+                    stack.append((name, touched[0]))
+                if name in UNSHOWN and not quiet:
+                    touched = [*touched, elements.add(name, 0, NOT_SHOWN)]
             if quiet or name == "math":
                 continue
-            yield "tag:aside" if aside else f"tag:{name}", " " if name == "br" else "", ""
+            yield "tag", " " if name == "br" else "", name, 0, touched
             if name not in INLINE:
-                yield "end", "", ""
+                yield "end", "", "", 0, []
         elif m["comment"] is not None:
-            yield "mark", "", m["comment"]
+            yield "mark", "", m["comment"], 0, []
 
 
 @lru_cache(maxsize=1)
