@@ -282,3 +282,15 @@ def test_scalar_operators_use_no_python(spark):
         if not name.startswith(skip):
             plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
             assert "Python" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_priority_mismatch_judges_every_ticket(spark, incidents):
+    from tickframe import catalog
+
+    few = incidents.limit(400).cache()
+    text = catalog.with_text(few)
+    got = cls.cross_predict_priority(text, text, folds=2)
+    assert sorted(r[0] for r in got.select("number").collect()) == sorted(r[0] for r in few.select("number").collect())
+    # Also tickets that the other classifiers learn from are reported.
+    listed = cls.priority_mismatch(got, few, min_confidence=0.0)
+    assert listed.where(~cls.held_out()).count() > 0

@@ -716,7 +716,7 @@ QUERIES |= {
         sco.group_stats(tt.incidents(spark, sf))),
     "model_metrics": _model_metrics,
     "doc_priority_mismatch": lambda spark, sf: cls.priority_mismatch(
-        cls.predict_priority(_model(spark, sf, "priority"), _request_text(spark, sf).where(cls.held_out())),
+        cls.cross_predict_priority(with_text(tt.incidents(spark, sf)), _request_text(spark, sf)),
         tt.incidents(spark, sf)),
 }
 

@@ -8,6 +8,7 @@ transform, so one ticket or a billion take the same path; no Python runs on a ti
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
@@ -45,6 +46,11 @@ def held_out(key: str = "number") -> Column:
     return F.substring(F.md5(F.col(key).cast("string")), 1, 1).isin("0", "1", "2")
 
 
+def fold(folds: int, key: str = "number") -> Column:
+    """0 to ``folds`` - 1 by the ticket number's hash."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+
+
 def _indexed(vocab: DataFrame) -> DataFrame:
     """Number the terms from 0; there are as many as the fit's coefficients, which the driver holds."""
     w = Window.partitionBy().orderBy("term")
@@ -69,8 +75,9 @@ def _vectors(texts: DataFrame, key: str, text: str, terms: DataFrame, n_terms: i
 
 
 def train(df: DataFrame, label: str, key: str = "number", text: str = "text",
-          where: Column | None = None, max_iter: int = 50, max_terms: int = FEATURE_TERMS) -> TextModel | None:
-    """Fit on the tickets that are not held out, of all classes with enough rows.
+          where: Column | None = None, max_iter: int = 50, max_terms: int = FEATURE_TERMS,
+          unseen: Column | None = None) -> TextModel | None:
+    """Fit on the tickets that are not held out (or not ``unseen``, if given), of all classes with enough rows.
 
     None when fewer than MIN_ROWS tickets or two classes remain. Features are written
     to the shared work folder: the fit reads them many times and survives lost executors.
@@ -80,7 +87,7 @@ def train(df: DataFrame, label: str, key: str = "number", text: str = "text",
     rows = df.where(F.trim(y) != "")
     if where is not None:
         rows = rows.where(where)
-    rows = rows.select(key, text, y.alias("y"), held_out(key).alias("held_out"))
+    rows = rows.select(key, text, y.alias("y"), (held_out(key) if unseen is None else unseen).alias("held_out"))
     sizes = rows.groupBy("y").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CLASS_ROWS)
     everything, in_order = Window.partitionBy(), Window.partitionBy().orderBy("y")
     classes = stored(sizes.select(
@@ -205,6 +212,19 @@ def class_metrics(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
                     F.bround(F.coalesce(F.try_divide(2.0 * p * r, p + r), F.lit(0.0)), 3).alias("f1")))
 
 
+def cross_predict_priority(learn: DataFrame, df: DataFrame, folds: int = 4, key: str = "number",
+                           text: str = "text") -> DataFrame:
+    """``predict_priority`` for every ticket of ``df``, each by a model that did not learn from it.
+
+    The tickets are dealt to ``folds`` by their number; one model per fold learns from the other folds.
+    """
+    parts = []
+    for i in range(folds):
+        mine = fold(folds, key) == i
+        parts.append(predict_priority(train(learn, "priority", key, text, unseen=mine), df.where(mine), key=key, text=text))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def priority_mismatch(predicted: DataFrame, df: DataFrame, min_confidence: float = 0.7,
                       key: str = "number") -> DataFrame:
     """Tickets whose predicted priority differs from the assigned one with confidence."""
