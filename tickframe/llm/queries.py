@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import crc_of_id, table
+from tickframe.llm.common import crc_of_id, id_key, table
 from tickframe.llm.labels import labelled_sample
 from tickframe.session import work_dir
 
@@ -89,6 +89,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.periodic import periodic_runs, with_planted_periods
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs(docs.withColumn("text", with_planted_periods(F.col("text"), crc_of_id(F.col("doc_id")))))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.conversations import Repair, damaged
+
+    talks = table(spark, sf_dir, "conversations")
+    repair = Repair(damaged(talks))
+    ids = talks.select("conv_id").distinct().withColumn("talk", id_key(F.col("conv_id")))
+    report = repair.report().withColumn("talk", id_key(F.col("conv_id"))).drop("conv_id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return ids.join(report, "talk", "left").join(repair.digests(), "talk", "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_store": op2_token_store,
@@ -100,4 +126,6 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversations": op12_conversations,
 }
