@@ -115,6 +115,16 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickframe.llm.secret_scan import KINDS, fit, scan_documents
+
+    found = scan_documents(table(spark, sf_dir, "documents"), fit())
+    listed = lambda kept: F.array_join(F.transform(kept, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    fixed = F.filter("findings", lambda f: f["kind"].isin(KINDS))
+    counts = [F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(fixed), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_store": op2_token_store,
@@ -128,4 +138,5 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_conversations": op12_conversations,
+    "op13_secrets": op13_secrets,
 }
