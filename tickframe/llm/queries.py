@@ -120,9 +120,9 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan_documents(table(spark, sf_dir, "documents"), fit())
     listed = lambda kept: F.array_join(F.transform(kept, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
-    fixed = F.filter("findings", lambda f: f["kind"].isin(KINDS))
-    counts = [F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(fixed), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+    of = lambda kinds: F.filter("findings", lambda f: f["kind"].isin(kinds))
+    return found.select("doc_id", *(F.size(of([k])).cast("long").alias(f"n_{k}") for k in KINDS),
+                        F.sha2(listed(of(KINDS)), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
 
 
 QUERIES: dict[str, Query] = {
