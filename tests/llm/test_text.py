@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -126,8 +127,8 @@ def test_clusters_have_length_one():
 def blocks_of(marked):
     import html
 
-    cut = re.split(r"</?(?:p|h1|h2|h3|div|article|ul|li|blockquote)[^>]*>", marked)
-    return "\n".join(filter(None, (" ".join(html.unescape(re.sub(r"</?[bi]>", "", x).replace("<br>", " ")).split()) for x in cut)))
+    cut = re.split(r"</?(?:p|h1|h2|h3|div|article|ul|li|blockquote|table|t[rdh]|fig[a-z]*)\b[^>]*>", marked)
+    return "\n".join(filter(None, (" ".join(html.unescape(re.sub(r"</?(?:[abi]|img)\b[^>]*>", "", x).replace("<br>", " ")).split()) for x in cut)))
 
 
 @pytest.mark.parametrize("page", PAGES)
@@ -194,6 +195,42 @@ def test_parts_beside_the_article_stay_out():
     assert html_text.main_text(f"<div hidden><main>{ARTICLE}</main></div>") == ""
 
 
+FEW = " ".join(f"w{i}" for i in range(21))
+MANY = "<div class='comments'>" + "".join(f"<p>{'me too ' * 20}</p>" for _ in range(5)) + "</div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><article><p>{FEW}</p></article>{MANY}</body>", f"<body><article><p>{FEW}</p>{MANY}</article></body>",
+    f"<body><p>{FEW}</p>{MANY}</body>", f"<body><div class='post'><p>{FEW}</p></div>{MANY}</body>",
+    f"<body><div class='post comments-open'><p>{FEW}</p></div>{MANY}</body>",
+    f"<body><div class='cookie-notice'><p>{'we use cookies ' * 33}</p></div><p>{FEW}</p></body>",
+    f"<body><p>{FEW}</p><form><p>{'your name ' * 15}</p></form></body>",
+    f"<body><p>{FEW}</p><div id='comments' class='comments-area'><article class='comment-body'><p>{'w ' * 60}</p></article></div></body>",
+    f"<body><div class='page layout-with-sidebar'><p>{FEW}</p><div class='sidebar'><p>more of it</p></div></div><div class='site-footer'><p>legal words</p></div></body>"])
+def test_comments_notices_and_forms_stay_out_however_long(page):
+    assert html_text.main_text(page) == FEW
+    assert html_text.main_text(f"<body>{MANY}</body>") == ""
+
+
+@pytest.mark.parametrize("tag", ["<img alt=don't>", '<img alt="5" tall">', '<img title="x>', "<img title='x>", "<img data-a = '>' alt>"])
+def test_quotes_count_only_after_an_equals_sign(tag):
+    assert html_text.main_text(f"<article><p>one two three</p>{tag}<p>four five six</p></article>") == "one two three\nfour five six"
+
+
+def test_an_article_keeps_its_list():
+    links = "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(30))
+    page = f"<body><nav><a href='/'>home</a></nav><article><p>first words of it</p><ul>{links}</ul><p>last words of it</p></article><footer><p>legal</p></footer></body>"
+    assert html_text.main_text(page).split("\n") == ["first words of it", *(f"link {i}" for i in range(30)), "last words of it"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "<p>x y z" + "</p>" * 2000, "<svg><g>" * 10000 + "<p>x y z" + "</svg>" * 2000,
+                                  '<a title="' * 20000 + "<p>x y z" + "</p class='" * 2000, "<div class='menu-open'><article>" * 10000 + "x y z"])
+def test_deep_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 1
+
+
 def test_best_region():
     rng = random.Random(4)
     for _ in range(200):

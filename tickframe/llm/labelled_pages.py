@@ -41,4 +41,12 @@ one: the author has learned to wait.</p><p>Readers who liked the maps will be pl
 noise, handling and price.</p><p>The cheapest one was also the loudest.</p><p>Our choice: number four.</p></div><!--/article-->
 <div class="banner">Advertisement: switch your power company now and save</div><p><a href="/next">Next page</a></p>
 <div class="footer">Contact | Legal notice | Jobs</div></body></html>""",
+    """<html><body><header class="site-header"><a href="/">Trail notes</a></header>
+<!--article--><article><h1>Huts along the ridge</h1><p>These are the huts that stay open through the winter, from west to east.</p>
+<ul><li><a href="/h1">Lower hut</a></li><li><a href="/h2">Meadow hut</a></li><li><a href="/h3">Spring hut</a></li><li><a href="/h4">Pass hut</a></li>
+<li><a href="/h5">Saddle hut</a></li><li><a href="/h6">Upper hut</a></li><li><a href="/h7">Summit hut</a></li><li><a href="/h8">Eastern hut</a></li></ul>
+<p>Bring your own wood.</p><table><tr><th>Hut</th><th>Beds</th></tr><tr><td>Meadow</td><td>12</td></tr><tr><td>Summit</td><td>6</td></tr></table>
+<figure><img src="a.jpg"><figcaption>The ridge in March</figcaption></figure></article><!--/article-->
+<div class="comments"><article class="comment"><p>The spring hut was closed when I came by, so check first.</p></article></div>
+<footer class="site-footer"><p>Written by walkers for walkers</p></footer></body></html>""",
 ]
