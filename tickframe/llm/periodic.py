@@ -153,10 +153,15 @@ def periodic_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 def with_planted_periods(text: Column, h: Column) -> Column:
     """The contract's test: where ``h`` is divisible by 10, words from a place on repeat with a period."""
     g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        whole = F.floor((n - a) / p).cast("int") + 1
+        repeated = F.concat(F.slice(words, 1, a), F.flatten(F.array_repeat(F.slice(words, a + 1, p), whole)))
+        return F.when(n > 0, F.array_join(F.slice(repeated, 1, n), " "))
+
     words = F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
-    n = F.size(words)
-    a = (g % n).cast("int")
-    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    whole = F.floor((n - a) / p).cast("int") + 1
-    repeated = F.slice(F.concat(F.slice(words, 1, a), F.flatten(F.array_repeat(F.slice(words, a + 1, p), whole))), 1, n)
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    # An array of one, so that the words are split once and not at every place that names them.
+    return F.when(h % 10 == 0, F.element_at(F.transform(F.array(words), planted), 1)).otherwise(text)
