@@ -199,15 +199,21 @@ def test_similar_matches_rare_terms_only(spark):
     common, rare = [f"c{i}" for i in range(4)], [f"r{i}" for i in range(3000)]
     text = lambda: " ".join(rng.choice(common) if rng.random() < .6 else rng.choice(rare) for _ in range(60))
     corpus, queries = [(i, text()) for i in range(150)], [(i, text()) for i in range(20)]
+    corpus += [(1000 + 10 * i + j, t + " " + text()) for i, t in queries for j in range(3)]  # three that resemble each
     c, q = (spark.createDataFrame(rows, "k int, text string") for rows in (corpus, queries))
-    vocab = txt.vocabulary(txt.term_counts(c, "k", "text"), c)
-    size = F.floor(-2 * F.log2(F.max("weight").over(Window.partitionBy("k")))).cast("int")
-    doc = txt.weights(txt.term_counts(c, "k", "text"), vocab, "k").select("k", "term", size.alias("size"), F.col("weight").alias("dw"))
-    asked = txt.weights(txt.term_counts(q, "k", "text"), vocab, "k").select(F.col("k").alias("_q"), "term", F.col("weight").alias("qw"))
-    pairs = {tuple(r) for r in txt.candidates(asked, doc, "k", 0.4).collect()}
-    scores = doc.join(asked, "term").groupBy("_q", "k").agg(F.sum(F.col("qw") * F.col("dw")).alias("s")).collect()
-    assert {(r["_q"], r["k"]) for r in scores if r["s"] >= 0.4} <= pairs
-    assert len(pairs) < len(scores) / 2
+    asked, doc = txt._weighted(q.withColumnRenamed("k", "asked"), c, "asked", "k", "text", None)
+    scores = {(r["_q"], r["k"]): r["s"] for r in doc.join(asked, "term").groupBy("_q", "k").agg(F.sum(F.col("qw") * F.col("dw")).alias("s")).collect()}
+    fixed = asked.select("_q", F.lit(0.4).alias("least")).distinct()
+    pairs = {tuple(r) for r in txt.candidates(asked, doc, "k", fixed).collect()}
+    assert {p for p, s in scores.items() if s >= 0.4} <= pairs and len(pairs) < len(scores) / 2
+    # The least score of the k-th best text leaves out no text of the first k, and nearly all others.
+    least = txt.least_scores(asked, doc, "k", 3, 0.05)
+    kth = {i: sorted((s for (x, _), s in scores.items() if x == i), reverse=True)[2] for i, _ in queries}
+    assert all(0.05 <= r["least"] <= kth[r["_q"]] + 1e-6 for r in least.collect()) and least.count() == len(queries)
+    pairs = {tuple(r) for r in txt.candidates(asked, doc, "k", least).collect()}
+    assert {p for p, s in scores.items() if s >= kth[p[0]]} <= pairs and len(pairs) < 0.05 * len(corpus) * len(queries)
+    got = txt.similar(q.withColumnRenamed("k", "asked"), c, "asked", "k", k=3)
+    assert {(r["asked"], r["k"], r["rank"]) for r in got.collect()} == brute_similar(queries, corpus, 3)
 
 
 def test_similar_plans_no_cross_join(spark):

@@ -16,6 +16,10 @@ from tickframe.session import stored
 MIN_SIMILARITY = 0.05
 #: Scores are rounded to nine digits, so bounds leave a little more room.
 SLACK = 1e-6
+#: What skipped terms may add to a score, as a share of the least score: more skips more terms and keeps more pairs.
+SKIPPED = 0.5
+#: Terms of a query that choose the texts which set its least score.
+SEED_TERMS = 8
 
 
 def term_counts(texts: DataFrame, key: str, text: str, accents: bool = True) -> DataFrame:
@@ -34,7 +38,7 @@ def vocabulary(counts: DataFrame, n_texts: DataFrame, max_terms: int | None = No
         terms = terms.orderBy(F.desc("total"), "term").limit(max_terms)
     n = n_texts.agg(F.count("*").alias("n")).scalar()
     idf = F.log((1 + n) / (1 + F.col("df")).cast("double")) + 1.0
-    return terms.select("term", idf.alias("idf"))
+    return terms.select("term", "df", idf.alias("idf"))
 
 
 def weights(counts: DataFrame, vocab: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -52,20 +56,50 @@ def text_features(texts: DataFrame, key: str, text: str, max_terms: int | None =
     return weights(counts, vocabulary(counts, texts, max_terms, min_df), key)
 
 
-def candidates(query: DataFrame, doc: DataFrame, ckey: str, min_score: float) -> DataFrame:
-    """(_q, ckey) of all pairs that can reach ``min_score``, and some that do not.
+def least_scores(asked: DataFrame, doc: DataFrame, ckey: str, k: int, min_score: float) -> DataFrame:
+    """(_q, least): a score that the k-th best text of each query reaches at any rate.
+
+    The texts that share a query's rarest terms are scored by those terms alone, and the best
+    ``2 k`` of them in full; the k-th of these scores is a bound, however they were chosen.
+    """
+    rare = Window.partitionBy("_q").orderBy("df", "term")
+    seeds = asked.withColumn("_rn", F.row_number().over(rare)).where(F.col("_rn") <= SEED_TERMS).drop("_rn")
+    part = seeds.join(doc, "term").groupBy("_q", ckey).agg(F.sum(F.col("qw") * F.col("dw")).alias("part"))
+    best = Window.partitionBy("_q").orderBy(F.desc("part"), ckey)
+    first = part.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= 2 * k).select("_q", ckey)
+    place = Window.partitionBy("_q").orderBy(F.desc("score"), ckey)
+    kth = (full_scores(first, asked, doc, ckey).withColumn("_rn", F.row_number().over(place))
+           .where(F.col("_rn") == k).select("_q", "score"))
+    return (asked.select("_q").distinct().join(kth, "_q", "left")
+            .select("_q", F.greatest(F.col("score"), F.lit(min_score)).alias("least")))
+
+
+def full_scores(pairs: DataFrame, asked: DataFrame, doc: DataFrame, ckey: str) -> DataFrame:
+    """(_q, ckey, score) of the given pairs."""
+    return (pairs.join(doc.select(ckey, "term", "dw"), ckey).join(asked.select("_q", "term", "qw"), ["_q", "term"])
+            .groupBy("_q", ckey).agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score")))
+
+
+def candidates(asked: DataFrame, doc: DataFrame, ckey: str, least: DataFrame) -> DataFrame:
+    """(_q, ckey) of all pairs that can reach the query's least score, and few that do not.
 
     Texts are told apart by the size of their largest weight. What a query's term can add to
     a score in such a class is bounded by the class's largest weight of the term; terms whose
-    bounds together stay below ``min_score`` cannot make a pair by themselves and are skipped,
-    the commonest terms as a rule. Only the other ones are matched.
+    bounds together stay below a share of the least score cannot make a pair by themselves and are skipped,
+    the commonest terms as a rule. The others are matched and their parts of the score added up; a pair
+    stays if its part and all that the skipped terms could add reach the least score.
     """
     tops = doc.groupBy("term", "size").agg(F.max("dw").alias("top"))
     bound = F.col("qw") * F.col("top")
     w = Window.partitionBy("_q", "size").orderBy(bound, "term").rowsBetween(Window.unboundedPreceding, 0)
-    needed = (query.join(tops, "term").withColumn("reach", F.sum(bound).over(w))
-              .where(F.col("reach") >= min_score - SLACK).select("_q", "term", "size"))
-    return needed.join(doc.select(ckey, "term", "size"), ["term", "size"]).select("_q", ckey).distinct()
+    reach = (asked.join(tops, "term").withColumn("reach", F.sum(bound).over(w)).join(least, "_q")
+             .withColumn("skipped", F.col("reach") < SKIPPED * F.col("least")))
+    rest = F.coalesce(F.max(F.when(F.col("skipped"), F.col("reach"))).over(Window.partitionBy("_q", "size")), F.lit(0.0))
+    needed = (reach.withColumn("short", F.col("least") - SLACK - rest).where(~F.col("skipped"))
+              .select("_q", "term", "size", "qw", "short"))
+    return (needed.join(doc, ["term", "size"]).groupBy("_q", ckey)
+            .agg(F.sum(F.col("qw") * F.col("dw")).alias("part"), F.max("short").alias("short"))
+            .where(F.col("part") >= F.col("short")).select("_q", ckey))
 
 
 def similar(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, text: str = "text",
@@ -74,25 +108,34 @@ def similar(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, text: s
 
     Exact. The corpus's term counts and the weights of terms that are asked for are written to
     the shared folder once and read for the vocabulary, the bounds, the candidates and the
-    scores; only candidates are scored.
+    scores; only candidates are scored in full.
     """
-    counts = stored(term_counts(corpus, ckey, text), "terms")
-    vocab = stored(vocabulary(counts, corpus, max_terms), "vocabulary")
-    asked = stored(weights(term_counts(queries, qkey, text), vocab, qkey).select(
-        F.col(qkey).alias("_q"), "term", F.col("weight").alias("qw")), "asked")
-    own = weights(counts, vocab, ckey)
-    size = F.floor(-2 * F.log2(F.max("weight").over(Window.partitionBy(ckey)))).cast("int")
-    # Terms that no query has matter for a text's length only, which is in the weights by now.
-    doc = stored(own.withColumn("size", size).join(asked.select("term").distinct(), "term", "left_semi")
-                 .select(ckey, "term", "size", F.col("weight").alias("dw")), "postings")
-    pairs = candidates(asked, doc, ckey, min_score)
-    scored = (pairs.join(doc.select(ckey, "term", "dw"), ckey).join(asked, ["_q", "term"]).groupBy("_q", ckey)
-              .agg(F.round(F.sum(F.col("qw") * F.col("dw")), 9).alias("score")).where(F.col("score") >= min_score))
+    asked, doc = _weighted(queries, corpus, qkey, ckey, text, max_terms)
+    least = stored(least_scores(asked, doc, ckey, k, min_score), "least")
+    scored = full_scores(candidates(asked, doc, ckey, least), asked, doc, ckey).where(F.col("score") >= min_score)
     w = Window.partitionBy("_q").orderBy(F.desc("score"), ckey)
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("_q").alias(qkey), ckey, "score", "rank"))
 
 
+def _weighted(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, text: str, max_terms: int | None) -> tuple[DataFrame, DataFrame]:
+    """Stored weights of the queries (_q, term, df, qw) and, of their terms, of the corpus (ckey, term, size, dw)."""
+    counts = stored(term_counts(corpus, ckey, text), "terms")
+    vocab = stored(vocabulary(counts, corpus, max_terms), "vocabulary")
+    asked = stored(weights(term_counts(queries, qkey, text), vocab, qkey, keep=("df", "idf")).select(
+        F.col(qkey).alias("_q"), "term", "df", "idf", F.col("weight").alias("qw")), "asked")
+    # Terms that no query has matter for a text's length only. Lengths are added up before they are
+    # shuffled, so that all terms move once, to meet their frequencies, and only those asked for again.
+    v = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    # The vocabulary has each term once, so a hash of it is even over the tasks; sorting all terms would cost more.
+    lengths = (counts.join(vocab.select("term", "idf").hint("shuffle_hash"), "term").groupBy(ckey)
+               .agg(F.sqrt(F.sum(v * v)).alias("norm"), F.max(v).alias("top")))
+    size = F.floor(-2 * F.log2(F.col("top") / F.col("norm"))).cast("int")
+    doc = stored(counts.join(asked.select("term", "idf").distinct(), "term").join(lengths, ckey)
+                 .select(ckey, "term", size.alias("size"), (v / F.col("norm")).alias("dw")), "postings")
+    return asked, doc
+
+
 def similar_incidents(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str,
                       text: str = "text", k: int = 5, show: tuple[str, ...] = (),
                       description: str | None = None) -> DataFrame:
