@@ -1,13 +1,15 @@
 """Sources, sinks, upload audits and streams on small files."""
 
 import os
+import random
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickframe.operators import quality as qua
-from tickframe.sources import files, sinks
+from tickframe.sources import files, keys, sinks
 from tickframe.streaming import jobs
 
 
@@ -190,7 +192,81 @@ def test_stream_ingest_keeps_the_last_row(spark, incidents, tmp_path):
     assert len(rows) == 4 and {r["state"] for r in rows} == {"Closed"}
 
 
+def test_a_late_correction_is_stored_once(spark, incidents, tmp_path):
+    """A known ticket comes again under another month and under none: both paths keep the first row."""
+    first = incidents.orderBy("number").limit(6).withColumn("state", F.lit("first"))
+    moved = first.withColumns({"created": F.col("created") + F.expr("INTERVAL 100 DAYS"), "state": F.lit("moved")}) \
+        .withColumn("month", F.date_format("created", "yyyy-MM"))
+    undated = first.withColumns({"created": F.lit(None).cast("timestamp"), "month": F.lit(None).cast("string"), "state": F.lit("undated")})
+    new = undated.limit(2).withColumn("number", F.concat(F.lit("N"), "number"))
+    uploads = [first, moved, undated.unionByName(new), new]
+    assert [sinks.append_new(spark, u, str(tmp_path / "a")) for u in uploads] == [6, 0, 2, 0]
+    for i, u in enumerate(uploads):
+        u.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_files(spark, str(tmp_path / "in"), first.schema)
+        jobs.ingest(stream, lambda df: df, str(tmp_path / "b"), str(tmp_path / "check"), ["updated"]).awaitTermination()
+    rows = [sorted((r["number"], r["state"], r["month"] or "") for r in sinks.read_clean(spark, str(tmp_path / x)).collect()) for x in "ab"]
+    assert rows[0] == rows[1] and len(rows[0]) == 8 and {r[1] for r in rows[0]} == {"first", "undated"}
+
+
+def test_a_repeated_batch_replaces_what_it_wrote(spark, incidents, tmp_path, monkeypatch):
+    path, df = str(tmp_path / "table"), incidents.limit(40)
+    sinks.append_new(spark, df.limit(10), path, batch="1")
+    known = {r["number"] for r in sinks.read_clean(spark, path).collect()}
+
+    def fails(*_):
+        raise RuntimeError("lost before the index was written")
+
+    monkeypatch.setattr(keys, "add", fails)
+    with pytest.raises(RuntimeError):
+        sinks.append_new(spark, df, path, batch="2")
+    monkeypatch.undo()
+    for _ in range(2):  # after the failure, and after a success that was not noted
+        assert sinks.append_new(spark, df, path, batch="2") == 40 - len(known)
+        assert sinks.read_clean(spark, path).count() == 40
+    assert sinks.append_new(spark, df, path, batch="3") == 0
+
+
+def test_the_index_reads_the_touched_buckets_only(spark, incidents, tmp_path):
+    path = str(tmp_path / "table")
+    sinks.write_clean(incidents, path)  # a register without an index gets one
+    some = incidents.limit(2)
+    seen = keys.known(some, path, "next")
+    assert seen.join(some.select(F.trim("number").alias("_k")), "_k", "left_semi").count() == 2
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)|PartitionFilters: \[.*bucket#\d+ IN ", plan)
+    assert seen.count() < incidents.count() / 8
+
+
 def test_latest_state_over_batches(spark, tmp_path):
     out = run_in_order(spark, tmp_path, BATCHES, lambda s: jobs.latest_state(s, "user_id", "event_type", ["ts"]), "update")
     got = {r["user_id"]: (r["state"], r["updates"]) for r in jobs.read_changelog(spark, out, ["user_id"]).collect()}
     assert got == {1: ("b", 4), 2: ("a", 2)}
+
+
+def test_latest_store_equals_the_batch_query(spark, tmp_path):
+    """Six batches; every bucket has two slots at most; a batch that is written again changes nothing."""
+    rng = random.Random(5)
+    rows, store = [], str(tmp_path / "store")
+    for b in range(6):
+        batch = [(rng.randrange(40 if b % 2 else 5), f"2026-01-{rng.randrange(1, 28):02} 10:00:00", f"s{b}{i:02}", float(i)) for i in range(30)]
+        rows += batch
+        schema = event_files(spark, tmp_path / "in", [batch])
+        stream = jobs.read_files(spark, str(tmp_path / "in"), schema)
+        jobs.latest_store(stream, "user_id", "event_type", ["ts", "event_type"], store, str(tmp_path / "check"), buckets=4).awaitTermination()
+        want = {}
+        for u, ts, state, _ in rows:
+            n = want.get(u, ("", "", 0))
+            want[u] = (*max(n[:2], (ts, state)), n[2] + 1)
+        got = {r["user_id"]: (str(r["updated"]), r["state"], r["updates"]) for r in jobs.read_latest(spark, store, "user_id").collect()}
+        assert got == want
+    slots = {(d, s) for d in os.listdir(store) if d.startswith("bucket=") for s in os.listdir(os.path.join(store, d)) if s.startswith("slot=")}
+    assert len(slots) <= 8
+    # The last batch once more, as after a failure between its write and its commit.
+    commits = tmp_path / "check" / "commits"
+    last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+    for f in (last, f".{last}.crc"):
+        if (commits / f).exists():
+            (commits / f).unlink()
+    jobs.latest_store(stream, "user_id", "event_type", ["ts", "event_type"], store, str(tmp_path / "check"), buckets=4).awaitTermination()
+    assert {r["user_id"]: (str(r["updated"]), r["state"], r["updates"]) for r in jobs.read_latest(spark, store, "user_id").collect()} == want

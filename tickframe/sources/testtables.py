@@ -260,9 +260,9 @@ def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.when(k % 3 == 0, "On Hold").otherwise("Open")).alias("state"))
 
 
-def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def state_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as ticket updates with a state."""
-    return _stream(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("INC"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("number"),
         F.concat("l_linestatus", "l_returnflag").alias("state"), F.col("l_shipdate").cast("timestamp").alias("updated"),
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")

@@ -8,19 +8,19 @@ retried after a failure leaves the same result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickframe.functions.numbers import fixed_sum
 from tickframe.operators.documented import aging_band, aging_share
-from tickframe.operators.ingest import drop_blank_key, split_known
 from tickframe.plans.shape import keep_last
-from tickframe.sources.sinks import read_clean, write_clean
+from tickframe.sources.keys import read_if_there
+from tickframe.sources.sinks import append_new
 
 AVAILABLE = {"availableNow": True}
 
@@ -61,35 +61,17 @@ def ingest(raw: DataFrame, clean: Callable[[DataFrame], DataFrame], path: str, c
            order: list, trigger: dict | None = None) -> StreamingQuery:
     """Clean each batch, keep the last row per number by ``order``, append numbers not stored yet.
 
-    A ticket's month never changes, so a batch is compared with the months it touches only. A
-    repeated batch finds its rows already stored and appends nothing.
+    The same as ``sinks.append_new`` with the checkpoint and the batch's number as its name: a batch
+    that Spark repeats replaces what it wrote before, wherever it failed.
     """
+    stream = zlib.crc32(checkpoint.encode())
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = keep_last(drop_blank_key(clean(batch)), "number", order)
-        # The batch is read three times, for its months, its keys and its rows; a lost block
-        # is recomputed from the source files.
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        fresh = rows
-        if _has_rows(spark, path):
-            months = [r["month"] for r in rows.select("month").distinct().collect()]
-            stored = read_clean(spark, path)
-            of_months = F.col("month").isin([m for m in months if m]) | (F.col("month").isNull() if None in months else F.lit(False))
-            fresh, _ = split_known(rows, stored.where(of_months).select("number"))
-        write_clean(fresh, path, mode="append")
-        rows.unpersist()
+        append_new(batch.sparkSession, clean(batch), path, order=order, batch=f"stream-{stream:08x}-{batch_id}")
 
     return _start(raw, write, checkpoint, "append", trigger)
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    try:
-        return not spark.read.parquet(path).isEmpty()
-    except AnalysisException:
-        return False
-
-
 def dedup(stream: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:
     """First row per key within the watermark; the batch rule keeps the last instead."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
@@ -126,16 +108,65 @@ def aging_alerts(stream: DataFrame, as_of) -> DataFrame:
         "number", "priority", F.bround(share, 1).alias("elapsed_pct"), aging_band(share).alias("band"))
 
 
-def latest_state(stream: DataFrame, key: str, state: str, order: list[str], keep: str | None = None) -> DataFrame:
-    """Newest state per ticket; the state store holds one row per ticket.
+def latest_state(stream: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
+    """Newest state per ticket; the state store holds one row per ticket, so for streams of few tickets.
 
-    With ``keep`` (a duration on the first of ``order``) the state is kept by ticket and window of
-    that length, and Spark drops windows that the watermark has left behind; the newest state is
-    then the one of a ticket's last window. Without it every ticket stays in the store.
+    ``latest_store`` keeps the same on disk, for any number of tickets.
     """
     newest = F.max_by(state, F.struct(*order))
-    if keep is not None:
-        return (stream.withWatermark(order[0], keep).groupBy(key, F.window(order[0], keep).alias("span"))
-                .agg(newest.alias("state"), F.max(order[0]).alias("updated"), F.count("*").alias("updates"))
-                .select(key, "state", "updated", "updates"))
     return stream.groupBy(key).agg(newest.alias("state"), F.max(order[0]).alias("updated"), F.count("*").alias("updates"))
+
+
+_STORE_PARTS = ["bucket", "slot"]
+
+
+def latest_store(stream: DataFrame, key: str, state: str, order: list[str], path: str, checkpoint: str,
+                 buckets: int = 64, trigger: dict | None = None) -> StreamingQuery:
+    """Newest state per ticket in a table on shared storage; Spark's state store holds nothing.
+
+    The table lies in ``buckets`` hash partitions of the key, each in two slots. A batch is reduced to
+    one row per ticket, merged with the newest slot of the buckets it touches, and written to
+    their other slots, so a reader always finds a whole slot and never more than two. Slots carry the batch
+    that wrote them; a repeated batch does not read its own and writes the same again. Batches must come from one checkpoint.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = _newest(batch.select(F.col(key), F.struct(*order).alias("at"), F.col(state).alias("state"),
+                                   F.col(order[0]).alias("updated"), F.lit(1).cast("long").alias("updates")), key)
+        own = own.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
+        touched = [r[0] for r in own.select("bucket").distinct().collect()]
+        store = read_if_there(spark, path)
+        newest: dict[int, int] = {}
+        if store is not None and touched:
+            store = store.where(F.col("bucket").isin(touched) & (F.col("batch") < batch_id))
+            newest = {r["bucket"]: r["slot"] for r in _newest_slots(store).collect()}  # one row for each bucket
+        slot = {b: 1 - newest.get(b, 1) for b in touched}
+        rows = own
+        if newest:
+            in_slot = F.lit(False)
+            for s in (0, 1):
+                in_slot = in_slot | ((F.col("slot") == s) & F.col("bucket").isin([b for b, x in newest.items() if x == s]))
+            rows = _newest(own.unionByName(store.where(in_slot).select(*own.columns)), key, "bucket")
+        to = F.when(F.col("bucket").isin([b for b, s in slot.items() if s == 1]), 1).otherwise(0)
+        # Both slots of a bucket are never in one job: it reads the one and replaces the other.
+        (rows.withColumns({"slot": to, "batch": F.lit(batch_id).cast("long")}).repartition("bucket")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_STORE_PARTS).parquet(path))
+        own.unpersist()
+
+    return _start(stream, write, checkpoint, "append", trigger)
+
+
+def _newest(rows: DataFrame, key: str, *also: str) -> DataFrame:
+    return rows.groupBy(key, *also).agg(F.max_by("state", "at").alias("state"), F.max("updated").alias("updated"),
+                                        F.sum("updates").alias("updates"), F.max("at").alias("at"))
+
+
+def _newest_slots(store: DataFrame) -> DataFrame:
+    return store.groupBy("bucket").agg(F.max_by("slot", "batch").alias("slot"))
+
+
+def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """``key, state, updated, updates`` of every ticket that ``latest_store`` keeps."""
+    store = spark.read.parquet(path)
+    return store.join(_newest_slots(store), _STORE_PARTS, "left_semi").select(key, "state", "updated", "updates")
