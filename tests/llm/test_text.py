@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -62,6 +63,21 @@ def test_contamination(spark, block_words):
         (Counter({k[0]: n}) for k, n in want.items() if not k[5]), Counter())
 
 
+def test_long_and_repeated_items_are_dealt_in_parts(spark):
+    rng = random.Random(8)
+    long = words(rng, 700, 60)
+    items = [(1, long)] * 30 + [(2, words(rng, 12, 60)), (3, "w1 w2"), (None, long), (4, "w1 w2")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    parts = decontaminate._parts(frame.selectExpr("cast(item_id as string) item", "text"), 10, 50).collect()
+    assert max(r["n_words"] for r in parts) == 59 and len(parts) == 2 * 14 + 3
+    held = [sum(len(t.split()) for _, t in b) for b in decontaminate._blocks(frame, "item_id", "text", 10, 100)]
+    assert len(held) > 8 and max(held) < 300
+    split = long.split()
+    rows = [(i, " ".join(split[a: a + n])) for i, (a, n) in enumerate([(0, 700), (45, 10), (49, 10), (50, 9), (640, 60), (90, 30)])] + [(9, "x w1 w2 x")]
+    got = decontaminate.digest(decontaminate.contamination(table(spark, rows), frame, block_words=100))
+    assert Counter(gather(got)) == contamination_by_hand(rows, items)
+
+
 def test_contamination_without_rows(spark):
     items, frame = benchmark(spark, random.Random(2))
     assert gather(decontaminate.contamination(table(spark, []), frame)) == []
@@ -114,6 +130,28 @@ def test_language_of_few_texts_in_many_copies(spark):
     assert all(model.predict(t)[0] == lang for _, t, lang in rows[200:-5])
 
 
+def test_more_languages_than_the_sample(spark):
+    rows = [(k, "".join(chr(0x4E00 + 50 * k + j) for j in range(9)), f"l{k:02}") for k in range(30) for _ in range(31 - k)]
+    model = language.fit(table(spark, rows), sample=12)
+    assert model.languages == [f"l{k:02}" for k in range(12)] and len(model.of) == 12
+
+
+def test_nearest_centroid_by_hand(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, 12, 40) if i % 2 else " ".join(f"z{rng.randrange(40)}q" for _ in range(12)), "ab"[i % 2]) for i in range(80)]
+    model = language.fit(table(spark, rows))
+    n, df = len(rows), Counter()
+    for _, t, _ in rows:
+        df.update(np.flatnonzero(language.counts(t)).tolist())
+    for _, t, _ in rows[:20]:
+        tf = language.counts(t)
+        v = {h: math.log1p(int(tf[h])) * (math.log((1 + n) / (1 + df[h])) + 1) for h in np.flatnonzero(tf).tolist()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x / norm * float(c[h]) for h, x in v.items()) for c in model.centroids]
+        lang, score, _ = model.predict(t)
+        assert lang == model.languages[model.of[int(np.argmax(cos))]] and abs(score - max(cos)) < 1e-4
+
+
 def test_clusters_have_length_one():
     x = np.random.default_rng(1).random((40, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -279,7 +317,7 @@ def test_classifiers_on_awkward_texts(spark, module, label):
                                    "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0), labels.filter("quality = 1 AND toxic = 1")):
         sample = labelled_sample(docs, some, label, 40)
-        assert sample.count() <= 41  # one id of the table is there twice
+        assert sample.count() <= 40
         model = module.fit(sample, quality.unlabelled_sample(docs, some, 30)) if module is quality else module.fit(sample)
         scores = [r[0] for r in docs.select(module.score_column(model, F.col("text"))).collect()]
         assert len(scores) == len(messy_rows()) and all(0 <= s <= 1 for s in scores)
@@ -287,6 +325,80 @@ def test_classifiers_on_awkward_texts(spark, module, label):
     assert gather(table(spark, []).select(module.score_column(model, F.col("text")))) == []
 
 
+def test_samples_take_one_row_of_an_id(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(7, f"hot {i}") for i in range(500)] + [(8, "same")] * 300
+    docs, labels = table(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 1000).collect()
+    assert len(got) == 50 and len(labelled_sample(docs, labels, "quality", 20).collect()) == 20
+    assert sum(r["text"].startswith("hot") or r["text"] == "text 7" for r in got) == 1
+    # Every document has a label: all count as unlabelled.
+    assert quality.unlabelled_sample(docs, labels, 30).count() == 30
+    assert quality.unlabelled_sample(docs, labels.filter("doc_id < 40"), 1000).count() == 10
+    assert quality.unlabelled_sample(docs.limit(0), labels, 30).count() == 0
+
+
+def test_the_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(5)
+    for prior in (0.5, 0.8):
+        n = int(2000 * prior)
+        positive, mixed = (np.zeros((2000, len(quality.features(""))), np.float32) for _ in range(2))
+        for x in (positive, mixed):
+            x[:, :8] = rng.normal(0, 1, (2000, 8))
+        mixed[n:, 3] += 6
+        rng.shuffle(mixed)
+        assert abs(quality.estimated_prior(positive, mixed) - prior) < 0.06
+    assert quality.estimated_prior(positive[:0], mixed) == 0.5
+
+
+def test_quality_risk_by_hand():
+    """The same steps on plain lists: risks, gradients and moments written out."""
+    rng = random.Random(9)
+    texts = [[" ".join(words(rng, 6)) for _ in range(8)], [rng.choice(["!!! ### ", "ok then "]) * rng.randrange(1, 6) for _ in range(12)]]
+    p, u = (np.stack([quality.features(t) for t in ts]) for ts in texts)
+    model = quality.fit_arrays(p, u, 0.4, steps=3)
+    k = p.shape[1]
+    mean, scale = u.mean(axis=0), np.maximum(u.std(axis=0), 1e-4)
+    zp, zu = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
+    w, b, m, v = np.zeros(k), math.log(0.4 / 0.6), np.zeros(k + 1), np.zeros(k + 1)
+    for t in (1, 2, 3):
+        gp, gu = [float(x @ w + b) for x in zp], [float(x @ w + b) for x in zu]
+        soft = lambda g: math.log1p(math.exp(g))
+        s = lambda g: 1 / (1 + math.exp(-g))
+        negative = sum(map(soft, gu)) / 12 - 0.4 * sum(map(soft, gp)) / 8
+        grad = np.zeros(k + 1)
+        for x, g in zip(zu, gu):
+            grad += np.append(x, 1) * s(g) / 12 * (1 if negative >= 0 else -1)
+        for x, g in zip(zp, gp):
+            grad += np.append(x, 1) * ((0.4 * (s(g) - 1) - 0.4 * s(g)) if negative >= 0 else 0.4 * s(g)) / 8
+        grad[:k] += quality.RIDGE * w
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        step = quality.RATE * (1 - t / 4) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:k], b - step[k]
+    for t in texts[0] + texts[1]:
+        z = float(np.clip((quality.features(t) - mean) / scale, -8, 8) @ w + b)
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 0.03  # steps follow the sign of a gradient, which rounding may turn
+
+
+def test_toxicity_by_hand(spark):
+    """Log-count ratios counted with sets, and a score that is the logistic sum of the grams a text has."""
+    rng = random.Random(10)
+    rows = [(words(rng, 6) + (" rude fool" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"), features=300)
+    n = [sum(label == c for _, label in rows) for c in (0, 1)]
+    has = [Counter(), Counter()]
+    for t, label in rows:
+        has[label].update(set(toxicity.features(t).tolist()))
+    used = np.flatnonzero(model.weights)
+    assert 0 < len(used) <= 300
+    for h in used.tolist():  # the learned weight times the ratio: a gram of toxic texts must not speak for clean ones
+        ratio = math.log((has[1][h] + 1) / (n[1] + 2)) - math.log((has[0][h] + 1) / (n[0] + 2))
+        if abs(ratio) > 3:
+            assert model.weights[h] * ratio > 0
+    for t, label in rows:
+        z = model.bias + sum(float(model.weights[h]) for h in set(toxicity.features(t).tolist()))
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 1e-5 and (model.score(t) > 0.5) == bool(label)
+
+
 def test_non_negative_risk_separates_without_negatives():
     rng = np.random.default_rng(3)
     positive, mixed, fresh = (np.zeros((1000, len(quality.features(""))), np.float32) for _ in range(3))

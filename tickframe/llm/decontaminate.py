@@ -8,7 +8,8 @@ window and the window's length bound where the window can lie, and the words the
 compared with the windows exactly.
 
 The benchmark is the stated query set: it is held in memory by blocks of about
-``block_words`` words, each of them run against all documents, so no part of it is cut off.
+``block_words`` words, each of them run against all documents, so no part of it is cut off. Rows that
+repeat are held once, and a long item is dealt to blocks in parts that share a window less one word.
 
 Rules: A-Z count as a-z; words are runs of anything but ASCII other than letters and digits.
 A null text has no words and is never hit. An item without an id hits words but is not
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.llm.common import free_name, small_batches, texts_as_bytes
+from tickframe.llm.common import free_name, small_batches, stored, texts_as_bytes
 
 WINDOW, SHINGLE, BLOCK_WORDS = 10, 2, 200_000
 #: What each byte of UTF-8 becomes: a-z for letters, itself for digits and beyond ASCII, else a space.
@@ -99,15 +100,37 @@ class Windows:
         return [(s, e) for s, e in merged], items
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Items by blocks of about ``block_words`` words, dealt by hash; one at a time on the driver."""
+def _parts(items: DataFrame, window: int, most: int) -> DataFrame:
+    """``item, text, n_words`` with texts of at most ``most + window - 1`` words that hold all windows between them.
+
+    Long items are cut into parts that overlap by a window less one word; rows that repeat count once.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "text"):
+            item, text, n = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), texts_as_bytes(b, "text")):
+                words = words_of(t)
+                for at in range(0, max(1, len(words) - window + 1), most):
+                    part = words[at: at + most + window - 1]
+                    item.append(i)
+                    text.append(b" ".join(part))
+                    n.append(len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
+                                              pa.array(n, pa.int64())], names=["item", "text", "n_words"])
+
+    return items.distinct().mapInArrow(cut, "item string, text string, n_words long").distinct()
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Parts of items by blocks of about ``block_words`` words, dealt by hash; one at a time on the driver."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # A text has a word for every two bytes at most.
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (4 * block_words)))
+    parts = stored(_parts(items, window, max(window, block_words // 16)).filter("n_words > 0"), "benchmark")
+    size = parts.agg(F.sum("n_words")).first()[0] or 0
+    blocks = max(1, -(-size // block_words))
     for n in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n)
-        yield [(r["item"], r["text"].encode()) for r in part.collect()]
+        own = parts if blocks == 1 else parts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n)
+        yield [(r["item"], r["text"].encode()) for r in own.collect()]
 
 
 def _counted(docs: DataFrame, text: str, block: Windows) -> dict[tuple[bytes, ...], int]:
@@ -165,7 +188,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = whole.withColumn("text_hash", F.xxhash64("text"))
     found: list[DataFrame] = []
-    for items in _blocks(benchmark, item_id, item_text, block_words):
+    for items in _blocks(benchmark, item_id, item_text, window, block_words):
+        if len(found) == 1:
+            found = [stored(found[0], "contamination")]  # it is read twice from now on
         block = Windows(items, window, shingle)
         block.order(_counted(whole, "text", block))
         found.append(_found(whole, block, all_rows=not found))

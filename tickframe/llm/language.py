@@ -26,7 +26,7 @@ from tickframe.llm.common import small_batches
 from tickframe.llm.ngrams import hashed, lower_letters
 
 BITS, SIZES = 12, range(1, 4)
-SAMPLE, CLUSTERS, ROUNDS = 2000, 3, 8
+SAMPLE, CLUSTERS, ROUNDS, PARTS = 2000, 3, 8, 64
 #: Of the cosine that all but a hundredth of the training texts of a length reach.
 REJECT = 0.4
 UNKNOWN = "und"
@@ -116,18 +116,23 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     """Learns from all rows of ``train`` that have a text and a language.
 
     ``sample`` bounds the texts whose vectors are clustered: of each language the same number
-    of different texts, at least one, the first by a hash; copies count once.
+    of different texts, the first by a hash; copies count once. Of more than ``sample`` languages
+    the ``sample`` commonest are learned.
     """
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    languages = sorted(r["lang"] for r in found)
     df, n = _document_frequency(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
     if not languages or not n:
         return LanguageModel([], idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros(16))
-    each = max(1, sample // len(languages))
-    hashed_rows = rows.filter(F.col("text").rlike(MAY_HAVE_LETTER)).withColumn("h", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashed_rows.select("lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= each)
+    each = sample // len(languages)
+    hashed_rows = rows.filter(F.col("lang").isin(languages) & F.col("text").rlike(MAY_HAVE_LETTER)).withColumn("h", F.xxhash64("text"))
+    # First within parts of a language, then among what they keep: a common language is not ranked in one task.
+    part = F.pmod(F.hash("h"), F.lit(PARTS))
+    within, of_all = (F.row_number().over(Window.partitionBy(*keys).orderBy("h")) for keys in (["lang", "part"], ["lang"]))
+    chosen = (hashed_rows.select("lang", "h", part.alias("part")).distinct().withColumn("rank", within).filter(F.col("rank") <= each)
+              .withColumn("rank", of_all).filter(F.col("rank") <= each))
     taken = hashed_rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
 Documents come in batches. A batch is reduced to one row per line key (128-bit hash,
-number of documents, largest document id), merge-joined with the runs written before to
-tell its fresh keys from known ones, and added as a run of its own: bucketed by the hash
-and sorted, so that later merges read it without a shuffle. As soon as a level holds
-``fan_out`` runs they are compacted into one run of the next level.
+number of documents, largest document id). A merge anti-join with the runs written before leaves
+its fresh keys, which it adds as a run of its own; so every key lies in one run. What
+the batch says of known keys, their counts and largest ids, goes to a second table of the same run, which
+the result needs as well. Both are bucketed by the hash and sorted, so that later merges read them
+without a shuffle. As soon as a level holds ``fan_out`` runs they are compacted into one run of the
+next level.
 
 A line's key is the line without white space (space, U+0009 to U+000D) at both ends, A-Z
 lower-cased. Keys of at least ``least`` code points that occur in at least ``common``
@@ -55,6 +57,10 @@ def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     return entries.select("doc_id", "text_hash", F.inline(marked))
 
 
+#: A run: its keys, which no other run has, and what it says of other runs' keys.
+Run = tuple[DataFrame, DataFrame | None]
+
+
 class LineRuns:
     """Runs of line hashes below one shared folder; ``add`` takes the next batch."""
 
@@ -62,51 +68,47 @@ class LineRuns:
         self.spark, self.fan_out = spark, fan_out
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.base, self.id = work_dir(spark, "line_runs"), uuid.uuid4().hex[:12]
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[Run]] = []
         self.written = 0
 
-    def _write(self, run: DataFrame) -> DataFrame:
+    def _write(self, rows: DataFrame) -> DataFrame:
         name = f"line_run_{self.id}_{self.written}"
         self.written += 1
-        (run.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
+        (rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
          .option("path", f"{self.base}/{name}").saveAsTable(name))
         return self.spark.table(name)
 
-    def _put(self, level: int, run: DataFrame) -> None:
+    def _put(self, level: int, run: Run) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_out:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._write(merged(full)))
+            updates = [u for _, u in full if u is not None]
+            self._put(level + 1, (self._write(merged([k for k, _ in full])), self._write(merged(updates)) if updates else None))
 
     @property
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[Run]:
         return [r for level in self.levels for r in level]
 
     def fresh(self, batch: DataFrame) -> DataFrame:
         """The batch's keys that no run holds: a merge anti-join with each run."""
-        for run in self.runs:
-            batch = batch.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        for keys, _ in self.runs:
+            batch = batch.join(keys.select(*KEY).hint("merge"), KEY, "left_anti")
         return batch
 
     def add(self, lines: DataFrame) -> None:
-        """Adds the keys of a batch (``doc_id, h1, h2, first``) as a run.
-
-        Keys that no older run holds are its ``fresh`` ones; the others bring their counts,
-        which compaction adds up.
-        """
-        batch = lines.groupBy(*KEY).agg(F.count_if("first").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        fresh = F.lit(True)
-        for n, run in enumerate(self.runs):
-            seen = run.select(*KEY, F.lit(True).alias(f"seen{n}"))
-            batch = batch.join(seen.hint("merge"), KEY, "left")
-            fresh = fresh & F.col(f"seen{n}").isNull()
-        self._put(0, self._write(batch.select(*KEY, "n_docs", "last_doc", fresh.alias("fresh"))))
+        """Adds the keys of a batch (``doc_id, h1, h2, first``) as a run."""
+        batch = self._write(lines.groupBy(*KEY).agg(F.count_if("first").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        if not self.runs:
+            return self._put(0, (batch, None))
+        fresh = self._write(self.fresh(batch))
+        known = batch.join(fresh.select(*KEY).hint("merge"), KEY, "left_anti")
+        return self._put(0, (fresh, self._write(known)))
 
     def keys(self) -> DataFrame:
         """``h1, h2, n_docs, last_doc`` of every key."""
-        return merged(self.runs)
+        return merged([t for run in self.runs for t in run if t is not None])
 
     def forget(self) -> None:
         """Takes the runs' names out of the session; the files stay with the shared folder."""
@@ -114,16 +116,15 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS line_run_{self.id}_{n}")
 
 
-def merged(runs: list[DataFrame]) -> DataFrame:
-    """One run out of several: sorted buckets are merged pair by pair, counts added up."""
-    both = runs[0]
-    for run in runs[1:]:
-        a, b = both.alias("a"), run.hint("merge").alias("b")
+def merged(tables: list[DataFrame]) -> DataFrame:
+    """One table out of several: sorted buckets are merged pair by pair, counts added up."""
+    both = tables[0]
+    for table in tables[1:]:
+        a, b = both.alias("a"), table.hint("merge").alias("b")
         both = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full").select(
             *(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY),
             (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"),
-            F.greatest("a.last_doc", "b.last_doc").alias("last_doc"),
-            (F.coalesce("a.fresh", F.lit(False)) | F.coalesce("b.fresh", F.lit(False))).alias("fresh"))
+            F.greatest("a.last_doc", "b.last_doc").alias("last_doc"))
     return both
 
 
