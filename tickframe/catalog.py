@@ -176,7 +176,7 @@ from tickframe.functions import numbers as num  # noqa: E402
 from tickframe.operators import ingest as ing  # noqa: E402
 from tickframe.operators import quality as qua  # noqa: E402
 from tickframe.schema import CANONICAL_COLUMNS, LOADER_DEFAULTS, sla_contract  # noqa: E402
-from tickframe.session import work_dir  # noqa: E402
+from tickframe.session import stored, work_dir  # noqa: E402
 from tickframe.sources import files, sinks  # noqa: E402
 
 
@@ -408,7 +408,7 @@ def _sink_append_new(spark: SparkSession, sf: str) -> DataFrame:
     df = tt.incidents(spark, sf)
     # Every fifth ticket comes twice in each upload, the older row after the newer one.
     older = df.where("seq % 5 = 0").withColumns({"updated": F.col("updated") - F.expr("INTERVAL 1 DAY"), "state": F.lit("Old")})
-    df = df.unionByName(older).unionByName(df.limit(3).withColumn("number", F.lit(" ")))
+    df = stored(df.unionByName(older).unionByName(df.limit(3).withColumn("number", F.lit(" "))), "upload")
     sinks.append_new(spark, df.where("created < '1999-01-01'"), path, mode="replace")
     for _ in range(2):
         sinks.append_new(spark, df, path)

@@ -26,11 +26,13 @@ def bucket_of(key: Column) -> Column:
 
 def read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """A Parquet table, or None where there is none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        return None
     try:
-        reader = spark.read.schema(schema) if schema else spark.read
-        return reader.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # a folder without a file
             raise
         return None
 
