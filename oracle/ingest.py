@@ -44,7 +44,7 @@ SQL = {
         FROM (SELECT category, count(*) AS count FROM inc GROUP BY 1)"""),
     "share_of_total": inc(f"SELECT tower, count(*) AS count, {pct('count(*)', 'sum(count(*)) OVER ()')} AS percentage FROM inc GROUP BY 1"),
     "lag_last_vs_previous": inc("""SELECT period, count, CAST(lag(count) OVER (ORDER BY period) AS DOUBLE) AS previous FROM (SELECT month AS period, count(*) AS count FROM inc GROUP BY 1)"""),
-    "ranking": inc("""SELECT assignment_group AS "group", count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, assignment_group) AS INTEGER) AS rank FROM inc GROUP BY 1"""),
+    "ranking": inc("""SELECT assignment_group AS "group", count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, assignment_group) AS rank FROM inc GROUP BY 1"""),
     "grouping_sets": inc("""SELECT coalesce(tower, 'ALL') AS tower, coalesce(category, 'ALL') AS category, count(*) AS count FROM inc GROUP BY ROLLUP (tower, category)"""),
     "distinct_count": inc("SELECT month, count(DISTINCT assignment_group) AS groups FROM inc GROUP BY 1"),
     "sample": inc("SELECT number FROM inc ORDER BY md5(number), number LIMIT 500"),

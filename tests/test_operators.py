@@ -11,6 +11,7 @@ from tickframe.operators import audit as aud
 from tickframe.operators import breach as bre
 from tickframe.operators import classify as cls
 from tickframe.operators import context as ctx
+from tickframe.operators import documented as doc
 from tickframe.operators import ingest as ing
 from tickframe.operators import insights as ins
 from tickframe.operators import monitoring as mon
@@ -18,6 +19,7 @@ from tickframe.operators import scorecard as sco
 from tickframe.operators import text as txt
 from tickframe.operators import trends as tr
 from tickframe.plans import filters as flt
+from tickframe.plans import ordered
 from tickframe.plans import shape
 from tickframe.sources import testtables as tt
 
@@ -300,3 +302,36 @@ def test_priority_mismatch_judges_every_ticket(spark, incidents):
     # Also tickets that the other classifiers learn from are reported.
     listed = cls.priority_mismatch(got, few, min_confidence=0.0)
     assert listed.where(~cls.held_out()).count() > 0
+
+
+def test_numbers_and_quantiles_over_many_tasks(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), rng.choice([None, 1.0, 1.0, 2.5, float(rng.randrange(-50, 50)), rng.random()]), i)
+            for i in range(3000)] + [("one", 4.0, 9000), ("none", None, 9001)]
+    df = spark.createDataFrame(rows, "g string, v double, i int").repartition(7)
+    got = {r["i"]: r["rank"] for r in ordered.numbered(df, [F.desc_nulls_last("v"), F.asc("i")]).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+    assert got == {r[2]: n for n, r in enumerate(want, 1)}
+    got = {r["i"]: r["rank"] for r in ordered.numbered(df, [F.asc("v"), F.asc("i")], within="g").collect()}
+    for g in ("a", "b", None, "one", "none"):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    found = ordered.quantiles(df, ["g"], "v", {"low": 0.0, "mid": 0.5, "most": 0.95, "top": 1.0}).collect()
+    assert {r["g"] for r in found} == {"a", "b", None, "one"}
+    for r in found:
+        own = sorted(x[1] for x in rows if x[0] == r["g"] and x[1] is not None)
+        assert r["n"] == len(own)
+        for name, p in (("low", 0.0), ("mid", 0.5), ("most", 0.95), ("top", 1.0)):
+            at = p * (len(own) - 1)
+            low = int(at)
+            value = own[low] * (1 - (at - low)) + (own[low + 1] * (at - low) if at > low else 0)
+            assert abs(r[name] - value) < 1e-9
+    assert ordered.numbered(df.limit(0), [F.asc("v")]).count() == ordered.quantiles(df.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
+
+
+def test_no_task_sees_all_groups(spark, incidents):
+    """Quantiles and ranks sort by ranges; no exchange brings all rows into one task."""
+    for df in (doc.mttr_quantiles(incidents), ordered.numbered(incidents.select("number"), [F.asc("number")])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "percentile(" not in plan
+        assert plan.count("SinglePartition") <= 1  # the sum over tasks, one row for each

@@ -11,6 +11,7 @@ from tickframe.operators import monitoring as mon
 from tickframe.operators import trends as tr
 from tickframe.plans import filters as flt
 from tickframe.plans import shape
+from tickframe.plans.ordered import numbered
 from tickframe.sources import testtables as tt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,8 +474,7 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ranking(df: DataFrame) -> DataFrame:
     counts = df.groupBy(F.col("assignment_group").alias("group")).agg(F.count("*").alias("count"))
-    return counts.withColumn("rank", F.row_number().over(
-        Window.partitionBy().orderBy(F.desc("count"), "group")))
+    return numbered(counts, [F.desc("count"), F.asc("group")])
 
 
 def _running(df: DataFrame) -> DataFrame:

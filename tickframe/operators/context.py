@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tickframe.functions.clean import ACTIVE_STATES, DONE_STATES, priority_short_label
 from tickframe.functions.numbers import HOURS, fixed_sum, mean_of
 from tickframe.functions.rules import any_hit, lowered
+from tickframe.plans.ordered import numbered
+from tickframe.session import stored
 
 # Section order, question keywords, headings, size of a context.
 SECTION_KEYWORDS: dict[str, list[str]] = {
@@ -86,7 +88,9 @@ def facts(df: DataFrame) -> DataFrame:
     n, sla = F.col("n"), F.try_divide(100.0 * F.col("met"), F.col("n"))
     mttr = mean_of(F.col("s"), F.col("sn"), HOURS)
     moves = F.try_divide(F.col("moves").cast("double"), F.col("moved"))
-    everything = F.max(F.when(F.col("level") == 15, n)).over(Window.partitionBy())
+    # Categories meet the total in one task; groups and months, of which there may be many, do not need it.
+    with_total = F.when(F.col("level").isin(13, 15), F.lit(0)).otherwise(1 + F.pmod(F.hash(*keys), F.lit(1000)))
+    everything = F.max(F.when(F.col("level") == 15, n)).over(Window.partitionBy(with_total))
     sets = sets.withColumn("all", everything).where("n > 0")
     none, blank = F.lit(0), F.lit("")
 
@@ -136,15 +140,19 @@ def facts(df: DataFrame) -> DataFrame:
         "top_active_incidents", [F.col("pos"), blank], F.col("number"), F.col("priority"),
         _line(BULLET, "[", priority_short_label("priority"), "] ", F.col("number"), " — ",
               F.substring("short_description", 1, 80))))))
+    # The first rows of a limited section are found by a limit in each task. Sections that list all groups
+    # are ranked over all tasks. The lines are stored, as they are read three times.
+    rows = stored(rows.unionByName(listed), "facts")
     w = Window.partitionBy("section")
-    limits = F.create_map(*[F.lit(x) for kv in SECTION_LIMITS.items() for x in kv])
-    limit = F.try_element_at(limits, F.col("section"))
     months = F.col("section") == "monthly_trend"
-    from_end = F.row_number().over(w.orderBy(F.desc("o1"), F.desc("o2")))
-    ranked = (rows.unionByName(listed).withColumn("end", from_end)
-              .where(~months | (F.col("end") <= SECTION_LIMITS["monthly_trend"]))
-              .withColumn("rank", F.row_number().over(w.orderBy("o1", "o2")))
-              .where(limit.isNull() | (F.col("rank") <= limit)))
+    latest = (rows.where(months).withColumn("end", F.row_number().over(w.orderBy(F.desc("o1"), F.desc("o2"))))
+              .where(F.col("end") <= SECTION_LIMITS["monthly_trend"]).drop("end"))
+    short = rows.where(F.col("section").isin(list(SECTION_LIMITS)) & ~months).unionByName(latest)
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTION_LIMITS.items() for x in kv]), F.col("section"))
+    first = (short.withColumn("rank", F.row_number().over(w.orderBy("o1", "o2")))
+             .where(F.col("rank") <= max(SECTION_LIMITS.values())).where(F.col("rank") <= limit))
+    whole = numbered(rows.where(~F.col("section").isin(list(SECTION_LIMITS))), [F.col("o1"), F.col("o2")], "rank", "section")
+    ranked = first.withColumn("rank", F.col("rank").cast("long")).unionByName(whole)
     return ranked.select("section", "rank", "label", "value", "line")
 
 

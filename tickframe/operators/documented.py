@@ -10,6 +10,7 @@ from tickframe.functions.clean import ACTIVE_STATES, DONE_STATES, agent_name, ho
 from tickframe.functions.numbers import HOURS, fixed_avg, fixed_sum, hours_avg, mean_of, ratio_pct
 from tickframe.functions.rules import any_hit
 from tickframe.operators.trends import mttr_by_group
+from tickframe.plans.ordered import quantiles
 
 COMPLIANCE_TARGET = 90.0
 
@@ -264,14 +265,10 @@ def mttr_band(df: DataFrame) -> DataFrame:
 
 
 def mttr_quantiles(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Median and 95th percentile per tower and priority.
-
-    The exact form keeps every distinct value with its count per segment; for many
-    distinct values ``exact=False`` uses the bounded approximate sketch.
-    """
+    """Median and 95th percentile per tower and priority; ``exact=False`` uses the bounded approximate sketch."""
     if exact:
-        q = lambda p: F.percentile("mttr_hours", p)
-    else:
-        q = lambda p: F.percentile_approx("mttr_hours", p, 10_000)
+        found = quantiles(df, ["tower", "priority"], "mttr_hours", {"p50": 0.5, "p95": 0.95}, "tickets")
+        return found.withColumns({c: F.bround(c, 3) for c in ("p50", "p95")})
+    q = lambda p: F.percentile_approx("mttr_hours", p, 10_000)
     return (df.where("mttr_hours IS NOT NULL").groupBy("tower", "priority")
             .agg(F.count("*").alias("tickets"), F.bround(q(0.5), 3).alias("p50"), F.bround(q(0.95), 3).alias("p95")))
