@@ -90,6 +90,8 @@ SQL = {
         {r(avgh())} AS avg_mttr, {pct(DONE, 'count(*)')} AS resolution_pct FROM inc GROUP BY 1, 2"""),
     "doc_mttr_band": inc(f"""SELECT *, CASE WHEN mttr <= 4 THEN 'green' WHEN mttr <= 8 THEN 'orange' ELSE 'red' END AS band FROM
         (SELECT assignment_group AS name, {r(avgh())} AS mttr, count(*) AS count FROM inc WHERE mttr_hours >= 0 GROUP BY 1 HAVING count(*) >= 2 ORDER BY mttr DESC, name LIMIT 10)"""),
+    "doc_priority_mismatch_planted": inc("""SELECT number, CAST(priority % 4 + 1 AS INTEGER) AS assigned, CAST(priority AS INTEGER) AS predicted
+        FROM inc WHERE substr(md5(number), 1, 2) = '00'"""),
     "doc_mttr_quantiles": inc("""SELECT tower, priority, count(*) AS tickets, round_even(quantile_cont(mttr_hours, 0.5), 3) AS p50,
         round_even(quantile_cont(mttr_hours, 0.95), 3) AS p95 FROM inc WHERE mttr_hours IS NOT NULL GROUP BY 1, 2"""),
     "doc_confusion": inc("SELECT current_priority AS actual, suggested_priority AS predicted, count(*) AS count FROM aud GROUP BY 1, 2", f"{P12},{AUD}"),

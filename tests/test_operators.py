@@ -3,8 +3,8 @@
 import math
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickframe.operators import audit as aud
@@ -16,6 +16,7 @@ from tickframe.operators import ingest as ing
 from tickframe.operators import insights as ins
 from tickframe.operators import monitoring as mon
 from tickframe.operators import scorecard as sco
+from tickframe.operators import svm
 from tickframe.operators import text as txt
 from tickframe.operators import trends as tr
 from tickframe.plans import filters as flt
@@ -237,10 +238,10 @@ def test_classifier_learns_and_falls_back(spark, tmp_path):
     assert cls.train(df.limit(20), "category") is None
     cls.save_model(m, str(tmp_path / "m"))
     again = cls.load_model(spark, str(tmp_path / "m"))
-    assert (again.classes, again.n_terms, again.rows, again.accuracy) == (m.classes, m.n_terms, m.rows, m.accuracy)
+    assert (again.classes, again.terms, again.rows, again.accuracy) == (m.classes, m.terms, m.rows, m.accuracy)
     assert cls.predict_category(again, asked).orderBy("number").collect() == cls.predict_category(m, asked).orderBy("number").collect()
     plan = cls.predict_category(m, asked)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan
+    assert "Exchange" not in plan  # a ticket is scored where it lies
     none = cls.predict_category(None, asked).first()
     assert (none["category"], none["confidence"]) == ("General", 0.5)
     hinted = asked.withColumn("hint", F.when(F.col("number") == "q1", 2))
@@ -335,3 +336,72 @@ def test_no_task_sees_all_groups(spark, incidents):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "percentile(" not in plan
         assert plan.count("SinglePartition") <= 1  # the sum over tasks, one row for each
+
+
+def noisy_tickets(spark, n=4000):
+    """Two words tell the class, as often as said by their number: w3 means b in three cases of ten."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        k = rng.randrange(1, 10)
+        rows.append((f"T{i}", f"w{k} w{k} common", "b" if rng.random() < k / 10 else "a", k / 10))
+    return spark.createDataFrame(rows, "number string, text string, label string, p double")
+
+
+def test_probabilities_are_calibrated(spark):
+    """Of held-out tickets that are given a probability, about that share is of the class."""
+    df = noisy_tickets(spark)
+    m = cls.train(df, "label")
+    got = cls.score(m, df.where(cls.held_out()), ["number", "label", "p"], k=2).collect()
+    said = [({c["class"]: c["p"] for c in r["ranked"]}["b"], r["label"] == "b", r["p"]) for r in got]
+    assert all(abs(sum(c["p"] for c in r["ranked"]) - 1) < 1e-9 and r["ranked"][0]["p"] >= r["ranked"][1]["p"] for r in got)
+    for low in (0.0, 0.25, 0.5, 0.75):
+        own = [(p, is_b) for p, is_b, _ in said if low <= p < low + 0.25]
+        if len(own) >= 80:
+            assert abs(sum(p for p, _ in own) / len(own) - sum(b for _, b in own) / len(own)) < 0.09
+    # The curve has two parameters, the true shares lie on a line: near, not equal.
+    assert sum(abs(p - true) for p, _, true in said) / len(said) < 0.08
+
+
+def test_scores_by_hand(spark, tmp_path):
+    """Probabilities computed from the stored vocabulary and coefficients, with plain arithmetic."""
+    df = noisy_tickets(spark, 600).withColumn("label", F.when(F.rand(3) < 0.3, "c").otherwise(F.col("label")))
+    m = cls.train(df, "label")
+    cls.save_model(m, str(tmp_path / "m"))
+    idf = {r["term"]: (r["idx"], r["idf"]) for r in spark.read.parquet(str(tmp_path / "m" / "terms")).collect()}
+    machines = spark.read.parquet(str(tmp_path / "m" / "machines")).collect()
+    texts = ["w1 w1 common", "w9 common common w2", "unseen words only", "", None]
+    asked = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "number string, text string")
+    for r in cls.score(m, asked, ["number"], k=3).collect():
+        words = (texts[int(r["number"])] or "").split()
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        v = {t: (1 + math.log(terms.count(t))) * idf[t][1] for t in set(terms) if t in idf}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        p = {}
+        for fold in range(3):
+            own = {x["class"]: 1 / (1 + math.exp(-(x["slope"] * (x["weights"][-1] + sum(
+                x["weights"][idf[t][0]] * y / norm for t, y in v.items())) + x["shift"]))) for x in machines if x["fold"] == fold}
+            for c, y in own.items():
+                p[c] = p.get(c, 0) + y / sum(own.values()) / 3
+        assert {c["class"] for c in r["ranked"]} == set(p)
+        assert all(abs(c["p"] - p[c["class"]]) < 1e-5 for c in r["ranked"])
+
+
+def test_machines_reach_the_least_risk(spark):
+    """No small step from the fitted coefficients lowers the risk of squared hinges."""
+    rng = random.Random(2)
+    rows = [([0, 1 + i % 3], [0.6, 0.8], float(rng.random() < 0.2 + 0.3 * (i % 3)), 1.5, i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "idx array<long>, val array<double>, label double, balance double, fold int").repartition(3)
+    m = svm.fit(df, 4, 2, 300, steps=200)
+    risk = lambda w: svm._risk(df, w, 4, 2, 3, 300)[0]
+    least = risk(m.weights)
+    for _ in range(6):
+        assert risk(m.weights + 0.02 * np.random.default_rng(_).normal(size=m.weights.shape)) > least - 1e-6
+    by_hand = 0.5 / 300 * float((m.weights**2).sum())
+    for idx, val, label, balance, fold in rows:
+        for f in range(3):
+            for c in range(2):
+                y = 1 if c == label else -1
+                z = m.weights[-1, f * 2 + c] + sum(v * m.weights[i, f * 2 + c] for i, v in zip(idx, val))
+                by_hand += (f != fold) * (balance if y > 0 else 1) * max(0, 1 - y * z) ** 2 / 300
+    assert abs(by_hand - least) < 1e-4

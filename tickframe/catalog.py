@@ -704,7 +704,26 @@ def _model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return cls.class_metrics(pairs, "actual", "category")
 
 
+# What a ticket of each priority says, added to the text so that wrong priorities can be told.
+SAID = ["complete outage of production", "degraded service for many users", "single user affected", "question about usage"]
+
+
+def _wrong_priorities(spark: SparkSession, sf: str) -> DataFrame:
+    """Tickets that speak of their priority, one in 256 filed under another."""
+    df = tt.incidents(spark, sf)
+    said = F.element_at(F.array(*map(F.lit, SAID)), F.col("priority"))
+    wrong = F.substring(F.md5("number"), 1, 2) == "00"
+    return df.select("number", F.concat_ws(" ", "short_description", said).alias("text"),
+                     F.when(wrong, F.col("priority") % 4 + 1).otherwise(F.col("priority")).alias("priority"))
+
+
+def _planted_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    df = stored(_wrong_priorities(spark, sf), "wrong_priorities")
+    return cls.priority_mismatch(cls.cross_predict_priority(df, df), df).select("number", "assigned", "predicted")
+
+
 QUERIES |= {
+    "doc_priority_mismatch_planted": _planted_mismatch,
     "train_category": _train("category"),
     "train_priority": _train("priority"),
     "train_group": _train("assignment_group"),

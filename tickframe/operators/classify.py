@@ -1,31 +1,35 @@
 """Text classifiers for category, priority and assignment group.
 
-Features are the TF-IDF weights of ``operators.text``; the classifier is Spark ML's
-multinomial logistic regression with balanced class weights. Scoring is a plain
-transform, so one ticket or a billion take the same path; no Python runs on a ticket.
+Features are the TF-IDF weights of ``operators.text`` over the most frequent terms; the classifier is a linear
+support vector machine, one class against the rest, with calibrated probabilities (``operators.svm``). The
+vocabulary and the coefficients are small (``max_terms`` times the classes) and sent to the tasks, so a ticket is scored
+where it lies: no ticket is shuffled, one or a billion take the same path.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe.functions.clean import priority_short_label
 from tickframe.functions.rules import classify_subcategory
-from tickframe.operators.text import term_counts, vocabulary, weights
+from tickframe.functions.text import term_frequencies, tokens, unigrams_bigrams
+from tickframe.operators import svm
+from tickframe.operators.text import term_counts, vocabulary
 from tickframe.session import stored
 
 # Training limits and answers without a model.
 FEATURE_TERMS = 8_000
 MIN_CLASS_ROWS = 5
 MIN_ROWS = 40
+FOLDS = 3
 NO_MODEL = {"category": ("General", 0.5), "priority": (3, 0.5)}
 # End of fixed values.
 
@@ -34,9 +38,9 @@ NO_MODEL = {"category": ("General", 0.5), "priority": (3, 0.5)}
 class TextModel:
     label: str
     classes: list[str]
-    terms: DataFrame  # term, idf, idx
-    n_terms: int
-    model: LogisticRegressionModel
+    terms: list[str]
+    idf: np.ndarray
+    machines: svm.Machines
     rows: int
     accuracy: float
 
@@ -51,31 +55,44 @@ def fold(folds: int, key: str = "number") -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
 
 
-def _indexed(vocab: DataFrame) -> DataFrame:
-    """Number the terms from 0; there are as many as the fit's coefficients, which the driver holds."""
-    w = Window.partitionBy().orderBy("term")
-    return vocab.withColumn("idx", F.row_number().over(w) - 1)
+def _terms(text: str) -> Column:
+    """array<struct<term, tf>> of each text; null without terms."""
+    return term_frequencies(unigrams_bigrams(tokens(text, accents=False))).alias("_terms")
 
 
-def _vectors(texts: DataFrame, key: str, text: str, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(key, features); a list holds one text's own terms, so its size is the text's.
+def _sparse(column: pa.Array, number: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term numbers, TF-IDF weights of length one, and where each text's begin (and the last ends)."""
+    lengths = np.nan_to_num(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    cells = column.flatten()
+    get = number.get
+    idx = np.fromiter((get(t, -1) for t in cells.field("term").to_pylist()), np.int64, len(cells))
+    row = np.repeat(np.arange(len(column)), lengths)[idx >= 0]
+    tf = cells.field("tf").to_numpy(zero_copy_only=False)[idx >= 0]
+    idx = idx[idx >= 0]
+    val = (1 + np.log(tf)) * idf[idx]
+    norm = np.sqrt(np.bincount(row, val * val, len(column)))
+    return idx, val / norm[row], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))]).astype(np.int64)
 
-    A vector column is a struct of type, size, indices and values; reading the struct as one
-    needs a schema, which JSON parsing takes.
-    """
-    counts = term_counts(texts, key, text, accents=False)
-    cells = (weights(counts, terms, key, keep=("idx",)).groupBy(key)
-             .agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("cells")))
-    some = F.coalesce("cells", F.array().cast("array<struct<idx:int,weight:double>>"))
-    sparse = F.struct(F.struct(
-        F.lit(0).alias("type"), F.lit(n_terms).alias("size"), F.transform(some, lambda c: c["idx"]).alias("indices"),
-        F.transform(some, lambda c: c["weight"]).alias("values")).alias("v"))
-    as_vector = F.from_json(F.to_json(sparse), T.StructType([T.StructField("v", VectorUDT())]))
-    return texts.select(key).join(cells, key, "left").select(key, as_vector["v"].alias("features"))
+
+def _features(rows: DataFrame, keep: list[str], text: str, terms: list[str], idf: np.ndarray) -> DataFrame:
+    """``keep`` columns with ``idx`` and ``val`` arrays; nothing is shuffled."""
+    given = rows.select(*keep, _terms(text))
+    held = rows.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, idf))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("idx", T.ArrayType(T.LongType())),
+                           T.StructField("val", T.ArrayType(T.DoubleType()))])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idx, val, starts = _sparse(b.column("_terms"), *held.value)
+            at = pa.array(starts, pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(at, pa.array(idx)),
+                                              pa.ListArray.from_arrays(at, pa.array(val))], names=schema.names)
+
+    return given.mapInArrow(weigh, schema)
 
 
 def train(df: DataFrame, label: str, key: str = "number", text: str = "text",
-          where: Column | None = None, max_iter: int = 50, max_terms: int = FEATURE_TERMS,
+          where: Column | None = None, max_iter: int = svm.STEPS, max_terms: int = FEATURE_TERMS,
           unseen: Column | None = None) -> TextModel | None:
     """Fit on the tickets that are not held out (or not ``unseen``, if given), of all classes with enough rows.
 
@@ -98,36 +115,43 @@ def train(df: DataFrame, label: str, key: str = "number", text: str = "text",
     if n < MIN_ROWS or len(known) < 2:
         return None
     rows = rows.join(classes.select("y", "label", "balance"), "y")
-    learn = rows.where(~F.col("held_out"))
-    terms = stored(_indexed(vocabulary(term_counts(learn, key, text, accents=False), learn, max_terms, 2)), f"terms-{label}")
-    n_terms = terms.count()
-    if n_terms == 0:
+    learn = rows.where(~F.col("held_out")).withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(FOLDS)))
+    found = vocabulary(term_counts(learn, key, text, accents=False), learn, max_terms, 2).orderBy("term").collect()
+    if not found:
         return None
-    features = stored(_vectors(rows, key, text, terms, n_terms).join(
-        rows.select(key, "held_out", "label", "balance"), key), f"features-{label}")
-    # TF-IDF rows already have unit length; scaling each term by its spread would let
-    # a term that hardly varies dominate.
-    fit = LogisticRegression(family="multinomial", weightCol="balance", maxIter=max_iter,
-                             regParam=1.0 / n, standardization=False)
-    model = fit.fit(features.where(~F.col("held_out")))
-    right = (model.transform(features.where("held_out"))
-             .agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0])
-    return TextModel(label, [r["y"] for r in known], terms, n_terms, model, n, float(right or 0.0))
+    terms, idf = [r["term"] for r in found], np.array([r["idf"] for r in found])
+    features = stored(_features(learn, ["label", "balance", "fold"], text, terms, idf), f"features-{label}")
+    machines = svm.fit(features, len(terms), len(known), features.count(), FOLDS, max_iter)
+    m = TextModel(label, [r["y"] for r in known], terms, idf, machines, n, 0.0)
+    best = score(m, rows.where("held_out"), ["label"], text, 1).select(
+        F.col("ranked")[0]["class"].alias("found"), F.element_at(F.array(*map(F.lit, m.classes)), F.col("label").cast("int") + 1).alias("y"))
+    m.accuracy = float(best.agg(F.avg((F.col("found") == F.col("y")).cast("int"))).first()[0] or 0.0)
+    return m
 
 
 def save_model(m: TextModel, path: str) -> None:
-    """Classifier, vocabulary and what else ``load_model`` needs, next to each other."""
-    m.model.write().overwrite().save(f"{path}/model")
-    m.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    about = [(m.label, m.classes, m.n_terms, m.rows, m.accuracy)]
-    m.terms.sparkSession.createDataFrame(about, "label string, classes array<string>, n_terms int, rows long, accuracy double") \
+    """Vocabulary, coefficients with their curves, and what else ``load_model`` needs, next to each other."""
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(i, t, float(x)) for i, (t, x) in enumerate(zip(m.terms, m.idf))], "idx int, term string, idf double") \
+        .write.mode("overwrite").parquet(f"{path}/terms")
+    k = m.machines
+    rows = [(f, c, m.classes[c], float(k.slope[f, c]), float(k.shift[f, c]), [float(x) for x in k.weights[:, f * k.classes + c]])
+            for f in range(k.folds) for c in range(k.classes)]
+    spark.createDataFrame(rows, "fold int, number int, class string, slope double, shift double, weights array<double>") \
+        .write.mode("overwrite").parquet(f"{path}/machines")
+    spark.createDataFrame([(m.label, m.rows, m.accuracy)], "label string, rows long, accuracy double") \
         .write.mode("overwrite").parquet(f"{path}/about")
 
 
 def load_model(spark: SparkSession, path: str) -> TextModel:
     about = spark.read.parquet(f"{path}/about").first()
-    return TextModel(about["label"], list(about["classes"]), spark.read.parquet(f"{path}/terms"), about["n_terms"],
-                     LogisticRegressionModel.load(f"{path}/model"), about["rows"], about["accuracy"])
+    terms = spark.read.parquet(f"{path}/terms").orderBy("idx").collect()
+    rows = spark.read.parquet(f"{path}/machines").orderBy("fold", "number").collect()
+    folds = rows[-1]["fold"] + 1
+    curves = [np.array([r[c] for r in rows]).reshape(folds, -1) for c in ("slope", "shift")]
+    machines = svm.Machines(np.array([r["weights"] for r in rows]).T, *curves, folds)
+    return TextModel(about["label"], [r["class"] for r in rows if r["fold"] == 0], [r["term"] for r in terms],
+                     np.array([r["idf"] for r in terms]), machines, about["rows"], about["accuracy"])
 
 
 def training_report(df: DataFrame, m: TextModel | None, label: str) -> DataFrame:
@@ -138,14 +162,35 @@ def training_report(df: DataFrame, m: TextModel | None, label: str) -> DataFrame
         "accuracy": F.bround(F.lit(m.accuracy if m else 0.0), 3)})
 
 
-def score(m: TextModel, df: DataFrame, key: str = "number", text: str = "text") -> DataFrame:
-    """(key, ranked): all classes by falling probability as array<struct<p, class>>."""
-    p = vector_to_array("probability")
-    labels = F.array(*[F.lit(c) for c in m.classes])
-    ranked = F.reverse(F.array_sort(F.zip_with(
-        p, labels, lambda a, b: F.struct(a.alias("p"), b.alias("class")))))
-    return m.model.transform(_vectors(df, key, text, m.terms, m.n_terms)).select(
-        key, ranked.alias("ranked"))
+def score(m: TextModel, df: DataFrame, keep: list[str], text: str = "text", k: int = 1) -> DataFrame:
+    """``keep`` columns with ``ranked``: the ``k`` likeliest classes as array<struct<p, class>>.
+
+    Each ticket is weighed and scored in place; no more than ``k`` classes leave a task for each ticket.
+    """
+    given = df.select(*keep, _terms(text))
+    held = df.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(m.terms)}, m))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("ranked", T.ArrayType(
+        T.StructType([T.StructField("p", T.DoubleType()), T.StructField("class", T.StringType())])))])
+    k = min(k, len(m.classes))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, model = held.value
+        names = np.array(model.classes, object)
+        # Of equal probabilities the class with the larger name comes first.
+        tie = np.argsort(np.argsort(names, kind="stable"))
+        for b in batches:
+            idx, val, starts = _sparse(b.column("_terms"), number, model.idf)
+            best, p_of = np.empty((b.num_rows, k), np.int64), np.empty((b.num_rows, k))
+            for at in range(0, b.num_rows, svm.ROWS):
+                to = min(b.num_rows, at + svm.ROWS)
+                p = model.machines.probabilities(*svm.dense(idx, val, starts[at: to + 1], len(model.terms)))
+                best[at:to] = np.lexsort((np.broadcast_to(-tie, p.shape), -p), axis=1)[:, :k]
+                p_of[at:to] = np.take_along_axis(p, best[at:to], 1)
+            cells = pa.StructArray.from_arrays([pa.array(p_of.ravel()), pa.array(names[best.ravel()], pa.string())], ["p", "class"])
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, cells)], names=schema.names)
+
+    return given.mapInArrow(rank, schema)
 
 
 def predict_category(m: TextModel | None, df: DataFrame, key: str = "number", text: str = "text") -> DataFrame:
@@ -154,25 +199,24 @@ def predict_category(m: TextModel | None, df: DataFrame, key: str = "number", te
         name, conf = NO_MODEL["category"]
         out = df.select(key, text, F.lit(name).alias("category"), F.lit(conf).alias("confidence"))
     else:
-        best = score(m, df, key, text).select(key, F.col("ranked")[0].alias("b"))
-        out = df.select(key, text).join(best, key).select(
-            key, text, F.col("b.class").alias("category"), F.bround("b.p", 3).alias("confidence"))
+        b = F.col("ranked")[0]
+        out = score(m, df, [key, text], text).select(key, text, b["class"].alias("category"), F.bround(b["p"], 3).alias("confidence"))
     return out.withColumn("subcategory", classify_subcategory("category", text)).drop(text)
 
 
 def predict_priority(m: TextModel | None, df: DataFrame, hint: str | None = None,
                      key: str = "number", text: str = "text") -> DataFrame:
     """Best priority with its probability; a given hint wins with certainty."""
+    given = F.col(hint) if hint else F.lit(None).cast("int")
+    rows = df.select(key, text, given.alias("_hint"))
     if m is None:
         value, conf = NO_MODEL["priority"]
-        out = df.select(key, F.lit(value).alias("predicted"), F.lit(conf).alias("p"))
+        out = rows.select(key, "_hint", F.lit(value).alias("predicted"), F.lit(conf).alias("p"))
     else:
         best = F.col("ranked")[0]
-        out = score(m, df, key, text).select(key, best["class"].cast("int").alias("predicted"),
-                                             F.bround(best["p"], 3).alias("p"))
-    if hint:
-        out = out.join(df.select(key, F.col(hint).alias("_hint")), key)
-    given = F.col("_hint") if hint else F.lit(None).cast("int")
+        out = score(m, rows, [key, "_hint"], text).select(key, "_hint", best["class"].cast("int").alias("predicted"),
+                                                          F.bround(best["p"], 3).alias("p"))
+    given = F.col("_hint")
     priority = F.coalesce(given, F.col("predicted"))
     return out.select(key, priority.alias("priority"),
                       F.when(given.isNotNull(), 1.0).otherwise(F.col("p")).alias("confidence"),
@@ -185,7 +229,7 @@ def predict_group_topk(m: TextModel | None, df: DataFrame, stats: DataFrame, k:
     if m is None:
         return df.select(key, F.lit(0).alias("rank"), F.lit("").alias("group"),
                          F.lit(0.0).alias("confidence")).where("false").join(stats, "group", "left")
-    top = score(m, df, key, text).select(key, F.posexplode(F.slice("ranked", 1, k)).alias("rank", "c"))
+    top = score(m, df, [key], text, k).select(key, F.posexplode("ranked").alias("rank", "c"))
     return top.select(key, (F.col("rank") + 1).alias("rank"), F.col("c.class").alias("group"),
                       F.bround("c.p", 3).alias("confidence")).join(stats, "group", "left")
 
