@@ -182,8 +182,10 @@ def _step(model: SecretModel, c: _Cells, y: np.ndarray) -> list[np.ndarray]:
     region = np.repeat(np.arange(len(c.starts)), lengths)
     on_pool = error[:, None] * model.weights
     largest = x[:, : 3 * FILTERS].reshape(-1, FILTERS)
-    # Where a filter is largest in its region (ties each), plus its share of the mean inside.
-    g = np.where(h == largest[region], on_pool[:, : 3 * FILTERS].reshape(-1, FILTERS)[region], 0)
+    # Where a filter is largest in its region (ties share it), plus its share of the mean inside.
+    top = h == largest[region]
+    shared = on_pool[:, : 3 * FILTERS].reshape(-1, FILTERS) / np.add.reduceat(top, c.starts, dtype=np.int64)
+    g = np.where(top, shared[region], 0)
     inside = region % 3 == 1
     g[inside] += (on_pool[:, 3 * FILTERS:] / lengths[1::3, None])[region[inside] // 3]
     g[h <= 0] = 0
