@@ -121,11 +121,14 @@ SQL = {
         FROM inc i JOIN (VALUES (1, 4, '4 hours', CAST(0.25 AS DOUBLE), '15 min', '24×7'), (2, 8, '8 hours', 1, '1 hour', '24×7'),
         (3, 72, '72 business hours', 4, '4 hours', '24×5'), (4, 120, '120 business hours', 4, '4 hours', '24×5')) AS c(p, h, l, rh, rl, s) ON p = i.priority"""),
     "doc_filtered_of_total": inc("SELECT count(*) FILTER (WHERE tower = 'ASIA' AND priority IN (1, 2)) AS kept, count(*) AS total FROM inc"),
-    "doc_quality_checks": inc("""SELECT 'missing_tower' AS rule, count(*) FILTER (WHERE trim(tower) = '') AS rows FROM inc
-        UNION ALL SELECT 'missing_sdm', count(*) FILTER (WHERE trim(sdm) = '') FROM inc
-        UNION ALL SELECT 'missing_priority', count(*) FILTER (WHERE priority IS NULL) FROM inc
-        UNION ALL SELECT 'mttr_over_limit', count(*) FILTER (WHERE mttr_hours > 100) FROM inc
-        UNION ALL SELECT 'sla_contradicts_mttr', count(*) FILTER (WHERE made_sla_bool <> (mttr_hours <= sla_h)) FROM inc"""),
+    "doc_quality_checks": inc("""SELECT 'missing_tower' AS rule, count(*) FILTER (WHERE trim(tower) = '') AS rows FROM bad
+        UNION ALL SELECT 'missing_sdm', count(*) FILTER (WHERE coalesce(sdm, '') = '') FROM bad
+        UNION ALL SELECT 'missing_priority', count(*) FILTER (WHERE priority IS NULL) FROM bad
+        UNION ALL SELECT 'mttr_over_limit', count(*) FILTER (WHERE mttr_hours > 720) FROM bad
+        UNION ALL SELECT 'sla_contradicts_mttr', count(*) FILTER (WHERE made_sla_bool <> (mttr_hours <= CASE priority WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 72 ELSE 120 END)) FROM bad""",
+        """bad AS (SELECT * REPLACE (CASE WHEN seq % 29 = 0 THEN ' ' ELSE tower END AS tower, CASE WHEN seq % 31 = 0 THEN NULL ELSE sdm END AS sdm,
+        CASE WHEN seq % 37 = 0 THEN NULL ELSE priority END AS priority, CASE WHEN seq % 23 = 0 THEN NOT made_sla_bool ELSE made_sla_bool END AS made_sla_bool,
+        CASE WHEN seq % 41 = 0 THEN mttr_hours + 1000 ELSE mttr_hours END AS mttr_hours) FROM inc)"""),
     # sources
     "src_incidents_csv": raw(f"SELECT {CLEAN_COLUMNS} FROM inc"),
     "src_breach_csv": br("""SELECT task, priority, priority_num, state, created, breach_time, stop_time, last_assignment_date, business_elapsed_percentage,

@@ -74,7 +74,7 @@ SQL = {
         (SELECT assignment_group AS "group", {AGENT} AS agent, count(*) AS load, {r(avg4('remaining_biz_hours'))} AS avg_remaining_h,
                 count(*) FILTER (WHERE already_breached) AS breached FROM brx WHERE trim(assigned_to) <> '' GROUP BY 1, 2)"""),
     "doc_queue_alerts": br("""SELECT *, concat_ws(',', CASE WHEN queue > 20 THEN 'queue' END, CASE WHEN p1_breaches > 0 THEN 'p1_breach' END, CASE WHEN overdue > 0 THEN 'overdue' END) AS alerts FROM
-        (SELECT assignment_group AS "group", count(*) AS queue, count(*) FILTER (WHERE already_breached AND priority_num = 1) AS p1_breaches,
+        (SELECT assignment_group || '/' || CAST(least(seq % 13, 6) AS VARCHAR) AS "group", count(*) AS queue, count(*) FILTER (WHERE already_breached AND priority_num = 1) AS p1_breaches,
          count(*) FILTER (WHERE overdue_biz_hours > 0) AS overdue FROM brx GROUP BY 1) WHERE queue > 20 OR p1_breaches > 0 OR overdue > 0"""),
     "doc_sla_variance": inc(f"""SELECT period, priority, a AS actual_pct, CAST(90 AS DOUBLE) AS target_pct, round_even(a - 90, 1) AS variance FROM
         (SELECT month AS period, priority, {pct(MET, 'count(*)')} AS a FROM inc GROUP BY 1, 2)"""),
@@ -89,7 +89,8 @@ SQL = {
     "doc_tower_card": inc(f"""SELECT tower, month AS period, count(*) AS tickets, {pct(MET, 'count(*)')} AS sla_pct, {pct(FAR, 'count(*)')} AS far_pct,
         {r(avgh())} AS avg_mttr, {pct(DONE, 'count(*)')} AS resolution_pct FROM inc GROUP BY 1, 2"""),
     "doc_mttr_band": inc(f"""SELECT *, CASE WHEN mttr <= 4 THEN 'green' WHEN mttr <= 8 THEN 'orange' ELSE 'red' END AS band FROM
-        (SELECT assignment_group AS name, {r(avgh())} AS mttr, count(*) AS count FROM inc WHERE mttr_hours >= 0 GROUP BY 1 HAVING count(*) >= 2 ORDER BY mttr DESC, name LIMIT 10)"""),
+        (SELECT tower AS name, {r(avgh())} AS mttr, count(*) AS count FROM scaled WHERE mttr_hours >= 0 GROUP BY 1 HAVING count(*) >= 2 ORDER BY mttr DESC, name LIMIT 10)""",
+        """scaled AS (SELECT * REPLACE (floor(round(mttr_hours * 3600) / CASE tower WHEN 'AFRICA' THEN 10 WHEN 'AMERICA' THEN 5 ELSE 1 END) / CAST(3600 AS DOUBLE) AS mttr_hours) FROM inc)"""),
     "doc_priority_mismatch_planted": inc("""SELECT number, CAST(priority % 4 + 1 AS INTEGER) AS assigned, CAST(priority AS INTEGER) AS predicted
         FROM inc WHERE substr(md5(number), 1, 2) = '00'"""),
     "doc_mttr_quantiles": inc("""SELECT tower, priority, count(*) AS tickets, round_even(quantile_cont(mttr_hours, 0.5), 3) AS p50,

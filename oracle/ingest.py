@@ -35,7 +35,8 @@ SQL = {
     "except_by_key": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "intersect_by_key": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "link_surveys": inc(link("surv", "incident_number"), SURV),
-    "link_sla_breach": br("""SELECT count(*) AS records_imported, count(*) AS records_merged, CAST(0 AS BIGINT) AS duplicates_skipped, 0 AS validation_warnings FROM brx"""),
+    "link_sla_breach": br("""SELECT count(*) AS records_imported, count(*) FILTER (WHERE seq % 6 <> 0) AS records_merged,
+        count(*) FILTER (WHERE seq % 6 = 0) AS duplicates_skipped, 0 AS validation_warnings FROM brx"""),
     "link_metrics": inc(link("lnk", "number", False), f"lnk AS (SELECT 'INC' || lpad(CAST(l_orderkey * 3 AS VARCHAR), 9, '0') AS number FROM lineitem)"),
     "link_scores": inc("""SELECT number, priority, score_count, score_max, score_min FROM inc LEFT JOIN (SELECT incident_number, CAST(count(*) AS DOUBLE) AS score_count,
         max(csat_score) AS score_max, min(csat_score) AS score_min FROM surv GROUP BY 1) s ON s.incident_number = number""", SURV),

@@ -53,8 +53,9 @@ aud AS (SELECT number, short_description, service_offering, priority AS current_
     CASE rk {' '.join(f"WHEN '{k}' THEN {q(v)}" for k, v in REASONS.items())} END AS reasoning,
     CASE rk WHEN 'p1_ok' THEN 1 WHEN 'p1_to_2' THEN 2 WHEN 'p2_ok' THEN 2 WHEN 'p2_to_4' THEN 4 ELSE 3 END - priority AS delta FROM rs)"""
 
-P12 = "src AS (SELECT * FROM inc WHERE priority IN (1, 2))"
-SMP = """ranked AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY seq) AS rn FROM inc WHERE priority IN (1, 2)),
+SPOKEN = "said AS (SELECT * REPLACE (short_description || ' ' || ([" + ", ".join(q(p) for p in PHRASES) + f"])[1 + (seq // 2) % {len(PHRASES)}] AS short_description) FROM inc)"
+P12 = f"{SPOKEN}, src AS (SELECT * FROM said WHERE priority IN (1, 2))"
+SMP = SPOKEN + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY seq) AS rn FROM said WHERE priority IN (1, 2)),
 src AS (SELECT * FROM ranked WHERE (priority = 1 AND rn <= 5) OR (priority = 2 AND rn <= 20 - (SELECT least(5, count(*)) FROM inc WHERE priority = 1)))"""
 DOCS = """src AS (SELECT doc_id AS seq, 'DOC' || doc_id AS number, text AS short_description, source AS service_offering,
   CAST(doc_id % 2 + 1 AS INTEGER) AS priority FROM phrased)"""

@@ -103,6 +103,28 @@ def test_mixed_encodings_in_one_folder(spark, tmp_path):
     assert got == {"INC1": "café", "INC2": "naïve \ufffd", "INC3": "plain"}
 
 
+def test_known_files_are_read_once_and_in_parts(spark, tmp_path):
+    """With encoding and header given no pass over the lines is made; without line ends in fields files are split."""
+    folder = tmp_path / "known"
+    folder.mkdir()
+    for f in range(2):
+        (folder / f"{f}.csv").write_bytes(("Number,State,Short description\n" + "".join(
+            f"INC{f}{i:05},Closed,caf\u00e9 \u20ac {i}\n" for i in range(4000))).encode("cp1252"))
+    found = files.read_incidents_csv(spark, str(folder)).select("number", "state", "short_description")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        for encoding in ("windows-1252", "cp1252"):
+            given = files.read_incidents_csv(spark, str(folder), multi_line=False, encoding=encoding, same_header=True)
+            plan = given._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") == 1 and "FileScan csv" in plan
+            assert given.rdd.getNumPartitions() > 8
+            assert sorted(map(tuple, given.select("number", "state", "short_description").collect())) == sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["short_description"][:6] for r in found.collect()} == {"caf\u00e9 \u20ac"}
+
+
 def test_missing_org_map_is_empty(spark, tmp_path):
     assert files.read_org_map(spark, str(tmp_path / "none.csv")).count() == 0
 

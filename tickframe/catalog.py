@@ -218,6 +218,15 @@ def _clamp(df: DataFrame) -> DataFrame:
                      cl.clamp_numeric("c_name").alias("from_text"))
 
 
+def _faulty(df: DataFrame) -> DataFrame:
+    """Tickets without an owner or a priority, with turned SLA flags and overlong durations."""
+    at = lambda n, c, fault: F.when(F.col("seq") % n == 0, fault).otherwise(F.col(c))
+    return df.withColumns({
+        "tower": at(29, "tower", F.lit(" ")), "sdm": at(31, "sdm", F.lit(None).cast("string")),
+        "priority": at(37, "priority", F.lit(None).cast("int")), "made_sla_bool": at(23, "made_sla_bool", ~F.col("made_sla_bool")),
+        "mttr_hours": at(41, "mttr_hours", F.col("mttr_hours") + 1000.0)})
+
+
 def _nan(df: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     v = (F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(float("inf")))
@@ -299,7 +308,7 @@ QUERIES |= {
     "sla_lookup": lambda spark, sf: tt.incidents(spark, sf).select("number", "priority").join(
         F.broadcast(sla_contract(spark)), "priority", "left"),
     "doc_filtered_of_total": inc(flt.filtered_of_total, filters={"towers": ["ASIA"], "priorities": [1, 2]}),
-    "doc_quality_checks": inc(qua.quality_checks, max_hours=100),
+    "doc_quality_checks": inc(lambda df: qua.quality_checks(_faulty(df))),
 }
 
 
@@ -504,7 +513,8 @@ QUERIES |= {
         _customers(spark, sf), _urgent(spark, sf), "c_custkey"),
     "link_surveys": lambda spark, sf: ing.link_counts(tt.surveys(spark, sf), tt.incidents(spark, sf)),
     "link_sla_breach": lambda spark, sf: ing.link_counts(
-        tt.breach(spark, sf).withColumnRenamed("task", "number"), tt.incidents(spark, sf)),
+        tt.breach(spark, sf).withColumn("number", F.when(F.col("seq") % 6 == 0, F.concat(F.lit("OLD"), "task")).otherwise(F.col("task"))).drop("task"),
+        tt.incidents(spark, sf)),
     "link_metrics": lambda spark, sf: ing.link_counts(
         _metrics(spark, sf), tt.incidents(spark, sf), count_skipped=False),
     "link_scores": lambda spark, sf: ing.link_scores(
@@ -544,9 +554,15 @@ PHRASES = [
      'significant for multiple users', 'how to, an inquiry and a question', 'nothing of note']
 
 
-def phrased(df: DataFrame) -> DataFrame:
-    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.floor(F.col("doc_id") / 2) % len(PHRASES) + 1).cast("int"))
-    return df.withColumn("text", F.concat("text", F.lit(" "), phrase))
+def phrased(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Half of the check of the keyword rules is these phrases: the invented prose rarely meets a rule."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.floor(F.col(key) / 2) % len(PHRASES) + 1).cast("int"))
+    return df.withColumn(text, F.concat(text, F.lit(" "), phrase))
+
+
+def spoken(df: DataFrame) -> DataFrame:
+    """Tickets that say what the audit looks for, so that every verdict occurs."""
+    return phrased(df, "short_description", "seq")
 
 
 def _category_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -612,12 +628,12 @@ QUERIES |= {
     "classify_category_import": raw("documents", lambda df: phrased(df).select(
         "doc_id", rules.classify_category("text", rules.CATEGORY_KEYWORDS_IMPORT).alias("category"))),
     "classify_subcategory": raw("documents", _subcategory),
-    "audit_priority_rules": inc(aud.rule_audit),
+    "audit_priority_rules": inc(lambda df: aud.rule_audit(spoken(df))),
     "audit_document_rules": raw("documents", lambda df: aud.rule_audit(_documents_as_tickets(phrased(df))).drop(
         "short_description", "service_offering")),
-    "audit_sample": inc(lambda df: aud.rule_audit(aud.sample(df))),
+    "audit_sample": inc(lambda df: aud.rule_audit(aud.sample(spoken(df)))),
     "union_sample": inc(lambda df: aud.sample(df).select("number", "priority")),
-    "audit_summary": inc(lambda df: aud.summary(aud.rule_audit(df))),
+    "audit_summary": inc(lambda df: aud.summary(aud.rule_audit(spoken(df)))),
     "audit_prompts": inc(aud.prompts),
     "priority_definitions": lambda spark, sf: (
         tt.incidents(spark, sf).groupBy("priority").agg(F.count("*").alias("tickets"))
@@ -641,6 +657,20 @@ QUERIES |= {
 from tickframe.operators import classify as cls  # noqa: E402
 from tickframe.operators import documented as doc  # noqa: E402
 
+
+def _uneven_queues(snapshot: DataFrame) -> DataFrame:
+    """Each group as one long queue and six short ones, so that each alert has queues with and without it."""
+    part = F.least(F.col("seq") % 13, F.lit(6)).cast("string")
+    return snapshot.withColumn("assignment_group", F.concat("assignment_group", F.lit("/"), part))
+
+
+def _slow_and_fast(df: DataFrame) -> DataFrame:
+    """Towers as groups, two of them ten and five times as fast as they were, in whole seconds."""
+    faster = F.when(F.col("tower") == "AFRICA", 10).when(F.col("tower") == "AMERICA", 5).otherwise(1)
+    seconds = F.floor(F.round(F.col("mttr_hours") * 3600.0) / faster)
+    return df.withColumns({"assignment_group": F.col("tower"), "mttr_hours": seconds.cast("double") / 3600.0})
+
+
 QUERIES |= {
     "doc_rolling_7d": inc(doc.rolling_7d),
     "doc_growth": inc(doc.growth),
@@ -654,17 +684,17 @@ QUERIES |= {
     "doc_ownership_bands": snap(doc.ownership_bands),
     "doc_aging_bands": inc(doc.aging_bands, **AT),
     "doc_class_metrics": inc(cls.class_metrics, actual="priority", predicted="urgency"),
-    "doc_confusion": inc(lambda df: cls.confusion(aud.rule_audit(df), "current_priority", "suggested_priority")),
+    "doc_confusion": inc(lambda df: cls.confusion(aud.rule_audit(spoken(df)), "current_priority", "suggested_priority")),
     "doc_burndown": inc(doc.burndown),
     "doc_affinity": inc(doc.affinity),
     "doc_agent_ownership": snap(doc.agent_ownership),
-    "doc_queue_alerts": snap(doc.queue_alerts),
+    "doc_queue_alerts": snap(lambda df: doc.queue_alerts(_uneven_queues(df))),
     "doc_sla_variance": inc(doc.sla_variance),
     "doc_cost": inc(doc.cost, rates={1: 120, 2: 90, 3: 60, 4: 45}),
     "doc_reassign_causes": inc(doc.reassign_causes, text="short_description",
                                causes={"parts": ["ring", "bolt"], "colour": ["red"]}),
     "doc_tower_card": inc(doc.tower_card),
-    "doc_mttr_band": inc(doc.mttr_band),
+    "doc_mttr_band": inc(lambda df: doc.mttr_band(_slow_and_fast(df))),
     "doc_mttr_quantiles": inc(doc.mttr_quantiles),
 }
 

@@ -107,23 +107,29 @@ def _kinds(spark: SparkSession, paths: list[str]) -> DataFrame:
         .otherwise("ISO-8859-1").alias("encoding"))
 
 
+def _decoded(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool) -> DataFrame:
+    """Files of one header and encoding; Windows-1252 is read as Latin-1, in which every byte is a character, and corrected."""
+    if encoding.lower() not in ("windows-1252", "cp1252"):
+        return _csv(spark, paths, encoding, multi_line)
+    df = _csv(spark, paths, "ISO-8859-1", multi_line)
+    return df.select(*(F.translate(f"`{c}`", _C1, _WINDOWS).alias(c) for c in df.columns if c != "_pos"), "_pos")
+
+
 def csv_parts(spark: SparkSession, paths: list[str], multi_line: bool = True,
-              encoding: str | None = None) -> list[DataFrame]:
+              encoding: str | None = None, same_header: bool = False) -> list[DataFrame]:
     """One all-text DataFrame for each header line and encoding that the files have.
 
     Spark reads the files of one call by the header of one of them, so files with another
-    order of columns must not share a call.
+    order of columns must not share a call. A caller who knows the ``encoding`` and that all files have
+    the ``same_header`` spares the pass that finds them. Without ``multi_line`` (no field holds a line end) a
+    file is read in parts by many tasks.
     """
+    if encoding and same_header:
+        return [_decoded(spark, paths, encoding, multi_line)]
     groups: dict[tuple[str, str], list[str]] = {}
     for r in _kinds(spark, paths).orderBy("file").collect():
         groups.setdefault((r["header"], encoding or r["encoding"]), []).append(r["file"])
-    parts = []
-    for (_, kind), some in groups.items():
-        windows = kind == "windows-1252"
-        part = _csv(spark, some, "ISO-8859-1" if windows else kind, multi_line)
-        if windows:
-            part = part.select(*(F.translate(f"`{c}`", _C1, _WINDOWS).alias(c) for c in part.columns if c != "_pos"), "_pos")
-        parts.append(part)
+    parts = [_decoded(spark, some, kind, multi_line) for (_, kind), some in groups.items()]
     # Files without a line have no header; they are empty tables.
     return parts or [_csv(spark, paths, encoding or "UTF-8", multi_line)]
 
@@ -250,11 +256,12 @@ def clean_breach(raw: DataFrame, as_of) -> DataFrame:
     }), as_of)
 
 
-def read_incidents_csv(spark: SparkSession, path: str, org_map: DataFrame | None = None) -> DataFrame:
-    """A file or folder; columns are matched by their normal names, file by file."""
-    return clean_incidents(_by_name([normalize_columns(p) for p in csv_parts(spark, [path])]), org_map)
+def read_incidents_csv(spark: SparkSession, path: str, org_map: DataFrame | None = None, **options) -> DataFrame:
+    """A file or folder; columns are matched by their normal names, file by file. ``options``: see ``csv_parts``."""
+    return clean_incidents(_by_name([normalize_columns(p) for p in csv_parts(spark, [path], **options)]), org_map)
 
 
-def read_breach_csv(spark: SparkSession, path: str, as_of) -> DataFrame:
+def read_breach_csv(spark: SparkSession, path: str, as_of, **options) -> DataFrame:
+    """An SLA snapshot from a file or folder. ``options``: see ``csv_parts``."""
     return clean_breach(_by_name([p.toDF(*[c if c.startswith("_") else cl.normal_header(c) for c in p.columns])
-                                  for p in csv_parts(spark, [path])]), as_of)
+                                  for p in csv_parts(spark, [path], **options)]), as_of)
