@@ -7,16 +7,18 @@ matched again ends, and if it was long enough its run is emitted at once.
 
 Two things keep the cells few, both without losing a run:
 
-* A run of length ``max(least, 2 q)`` at lag q has at least ``least / 2`` words in a row that
-  match. So a word's earlier occurrence counts only where the words up to that many places on
-  agree too; a text in which no such group of words occurs twice has no runs.
-* Inside a stretch of period q the lags 2 q, 3 q ... start and end where lag q does, so q is not
-  their smallest period. Occurrences q apart inside such a stretch are held as one progression,
-  of which only lag q counts. A text of one word repeated takes time in proportion to its length;
-  the time of other texts grows with the pairs of equal groups that are not held so.
+* The lags are gone through by octaves. A run at lag d is at least two periods long, and never shorter than ``least``, so at
+  least g words in a row match, where g is the octave's least lag (``least / 2`` for the first). A
+  word's earlier occurrence counts only where the g words from there on agree too, and only within the octave.
+  Texts in which no such group of words occurs twice have no runs, and are left after one look.
+* Where a group lies inside a stretch of a period q of at most g / 2, found before, all its occurrences in
+  that stretch are multiples of q away. These lags start and end where lag q does, so q is their smallest
+  period; only occurrences before the stretch count.
 
-Runs of one stretch with several periods end at the same word and have the same start, so the
-smallest period is known when they end.
+So a group that counts several times lies in another stretch of the same period: the time grows
+with the length of the text times its logarithm, and beyond that with the pairs of equal stretches only.
+
+Runs of one stretch with several periods have the same start and end, of which the smallest period is kept.
 
 Rules: a null text is an empty one and has no words and no runs. Words are separated by the
 ASCII white space characters. Rows are handled one by one: repeated rows and null ids give a row
@@ -39,38 +41,75 @@ LEAST = 12
 Run = tuple[int, int, int]
 
 
-def _repeated(ids: np.ndarray, size: int) -> np.ndarray:
-    """Places where a group of ``size`` words starts that occurs (by its hash) more than once."""
+def _repeats(ids: np.ndarray, size: int) -> bool:
+    """Whether a group of ``size`` words occurs (by its hash) more than once."""
     n = len(ids) - size + 1
     if n < 2:
-        return np.zeros(0, np.int64)
+        return False
     h = np.zeros(n, np.uint64)
+    words = ids.astype(np.uint64)
     for k in range(size):
-        h = (h ^ ids[k: k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ words[k: k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    ranked = np.sort(h)
-    again = ranked[1:][ranked[1:] == ranked[:-1]]
-    return np.flatnonzero(np.isin(h, again)) if len(again) else np.zeros(0, np.int64)
+    h.sort()
+    return bool((h[1:] == h[:-1]).any())
+
+
+def _joined(a: np.ndarray, b: np.ndarray, offset: int) -> np.ndarray:
+    """Numbers of the groups made of a group of ``a`` and one of ``b`` that starts ``offset`` words later."""
+    n = min(len(a), len(b) - offset)
+    if n <= 0:
+        return a[:0]
+    return np.unique(a[:n] * (int(b.max()) + 1) + b[offset: offset + n], return_inverse=True)[1].astype(np.int64)
+
+
+def _groups(ids: np.ndarray, size: int) -> np.ndarray:
+    """For each place the number of the group of ``size`` words that starts there."""
+    if size == 1:
+        return ids
+    half = _groups(ids, size // 2)
+    both = _joined(half, half, size // 2)
+    return _joined(both, ids, size - 1) if size % 2 else both
 
 
 def runs_of(words: list, least: int = LEAST) -> list[Run]:
     """``(start, length, period)`` of every run, by start, then period."""
     numbers: dict = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint64, len(words))
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
     size = max(1, (least + 1) // 2)
-    places = _repeated(ids, size)
-    if not len(places):
+    if not _repeats(ids, size):
         return []
-    key, width = ids.astype("<u4").tobytes(), 4 * size
-    word, half = ids.tolist(), len(ids) // 2
-    active: dict[int, int] = {}  # lag -> groups in a row that matched
-    seen: dict[bytes, list[list[int]]] = {}  # group -> progressions of its places: first, step, last
-    found: dict[tuple[int, int], int] = {}  # start, length -> period
+    word, found = ids.tolist(), {}
+    groups, low = _groups(ids, size), 1
+    while len(groups) > 1 and low <= len(ids) // 2:
+        high = 2 * size - 1
+        _octave(word, groups, size, low, high, least, found)
+        groups, size, low = _joined(groups, groups, size), 2 * size, high + 1
+    return sorted((start, length, period) for (start, length), period in found.items())
+
 
-    def end(lag: int, matched: int, at: int) -> None:
-        """The groups that start before place ``at`` were the last that matched."""
+def _octave(word: list[int], groups: np.ndarray, size: int, low: int, high: int, least: int, found: dict[tuple[int, int], int]) -> None:
+    """Adds the runs with a period of ``low`` to ``high`` to ``found``: start, length -> smallest period."""
+    n = len(groups)
+    place = np.arange(n)
+    # The start of the stretch with a small period that a group lies in; its own occurrences there do not count.
+    stretch = place.copy()
+    for (start, length), period in found.items():
+        if 2 * period <= size <= length:
+            stretch[start: start + length - size + 1] = start
+    at = np.sort(groups * n + place)
+    first = np.searchsorted(at, groups * n + np.maximum(place - high, 0))
+    last = np.searchsorted(at, groups * n + np.minimum(place - low, stretch - 1), side="right")
+    last[np.minimum(place - low, stretch - 1) < 0] = 0
+    some = np.flatnonzero(last > first)
+    if not len(some):
+        return
+    earlier = at % n
+
+    def end(lag: int, matched: int, upto: int) -> None:
+        """The groups that start before place ``upto`` were the last that matched."""
         same = matched + size - 1
-        start, stop = at - matched - lag, at + size - 1
+        start, stop = upto - matched - lag, upto + size - 1
         if same < lag or same + lag < least:
             return
         # A part of a stretch whose smaller period stood for this lag is no run of its own.
@@ -78,41 +117,21 @@ def runs_of(words: list, least: int = LEAST) -> list[Run]:
             return
         found[start, stop - start] = min(lag, found.get((start, stop - start), lag))
 
+    active: dict[int, int] = {}  # lag -> groups in a row that matched
     before = -1
-    for i in places.tolist():
+    for i, a, b in zip(some.tolist(), first[some].tolist(), last[some].tolist()):
         if i != before + 1:
             for lag, matched in active.items():
                 end(lag, matched, before + 1)
             active = {}
         before = i
-        now: dict[int, int] = {}
-        chain = seen.setdefault(key[4 * i: 4 * i + width], [])
-        joined = False
-        for p in chain:
-            first, step, last = p
-            # All places of this progression lie in a stretch of period ``step`` that goes on.
-            if step and last + step == i and i - active.get(step, 0) - step <= first:
-                now[step] = active.get(step, 0) + 1
-                if not joined:
-                    p[2], joined = i, True
-            else:
-                step = step or 1
-                # A run is at least two periods long, so no lag is longer than half the text.
-                first += max(0, i - half - first + step - 1) // step * step
-                for j in range(first, last + 1, step):
-                    now[i - j] = active.get(i - j, 0) + 1
-        if not joined:
-            if chain and not chain[-1][1]:
-                chain[-1][1:] = [i - chain[-1][0], i]
-            else:
-                chain.append([i, 0, i])
+        now = {i - j: active.get(i - j, 0) + 1 for j in earlier[a:b].tolist()}
         for lag, matched in active.items():
             if lag not in now:
                 end(lag, matched, i)
         active = now
     for lag, matched in active.items():
         end(lag, matched, before + 1)
-    return sorted((start, length, period) for (start, length), period in found.items())
 
 
 def without_repeats(words: list, runs: list[Run]) -> list:
