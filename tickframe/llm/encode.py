@@ -8,12 +8,20 @@ word and remembers the answer; the memory is bounded and is dropped when it is f
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import lru_cache
+from sys import byteorder
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 #: Words that a worker remembers, about 200 bytes each.
 REMEMBERED = 400_000
+#: Words of Latin letters, which are one word to the tokenizer and have one small form each (that of U+0130 has two letters).
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: The sign that stands for each byte in the vocabulary: itself where it is printable, else one from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SIGNS = {b: 0x100 + n for n, b in enumerate(b for b in range(0x100) if b not in _PRINTABLE)}
 
 
 class Encoder:
@@ -57,8 +65,13 @@ class Encoder:
                 if low not in known:
                     known[low] = _packed([t.id for t in self.model.tokenize(low.decode())])
                 known[w] = known[low]
-            elif (base := w.rstrip(b".,;:!?")) and len(base) < len(w) and base.decode()[-1].isalpha():
+            elif (base := w.rstrip(b".,;:!?")) and len(base) < len(w) and base.decode()[-1].lower()[-1].isalpha():
                 split.append((w, base, w[len(base):]))  # a token never spans a letter and such a mark
+            elif _LATIN.fullmatch(text := w.decode()):
+                low = text.lower().encode()
+                if low not in known:
+                    known[low] = _packed([t.id for t in self.model.tokenize(low.decode("latin-1").translate(_SIGNS))])
+                known[w] = known[low]
             else:
                 whole.append(w)
         if split:
@@ -71,7 +84,10 @@ class Encoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    packed = array("I", ids)
+    if byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 @lru_cache(maxsize=2)
