@@ -91,6 +91,13 @@ SQL = {
     "doc_mttr_band": inc(f"""SELECT *, CASE WHEN mttr <= 4 THEN 'green' WHEN mttr <= 8 THEN 'orange' ELSE 'red' END AS band FROM
         (SELECT tower AS name, {r(avgh())} AS mttr, count(*) AS count FROM scaled WHERE mttr_hours >= 0 GROUP BY 1 HAVING count(*) >= 2 ORDER BY mttr DESC, name LIMIT 10)""",
         """scaled AS (SELECT * REPLACE (floor(round(mttr_hours * 3600) / CASE tower WHEN 'AFRICA' THEN 10 WHEN 'AMERICA' THEN 5 ELSE 1 END) / CAST(3600 AS DOUBLE) AS mttr_hours) FROM inc)"""),
+    "train_priority_planted": inc("""SELECT count(*) AS total_incidents, 'priority' AS label, count(*) AS trained_rows, count(DISTINCT priority) AS classes,
+        CAST(1 AS DOUBLE) AS accuracy FROM inc"""),
+    "train_group_planted": inc("""SELECT CAST(sum(n) AS BIGINT) AS total_incidents, 'assignment_group' AS label, CAST(sum(n) FILTER (WHERE n >= 5) AS BIGINT) AS trained_rows,
+        count(*) FILTER (WHERE n >= 5) AS classes, CAST(1 AS DOUBLE) AS accuracy FROM (SELECT count(*) AS n FROM inc GROUP BY assignment_group)"""),
+    "predict_priority_planted": inc("SELECT number, CAST(priority AS INTEGER) AS priority, priority_label FROM inc"),
+    "predict_group_planted": inc('SELECT number, assignment_group AS "group" FROM inc'),
+    "predict_category_known": inc("SELECT number, category FROM inc WHERE category <> 'General'"),
     "doc_priority_mismatch_planted": inc("""SELECT number, CAST(priority % 4 + 1 AS INTEGER) AS assigned, CAST(priority AS INTEGER) AS predicted
         FROM inc WHERE substr(md5(number), 1, 2) = '00'"""),
     "doc_mttr_quantiles": inc("""SELECT tower, priority, count(*) AS tickets, round_even(quantile_cont(mttr_hours, 0.5), 3) AS p50,

@@ -752,7 +752,35 @@ def _planted_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return cls.priority_mismatch(cls.cross_predict_priority(df, df), df).select("number", "assigned", "predicted")
 
 
+def _telling(spark: SparkSession, sf: str) -> DataFrame:
+    """Tickets whose text says their priority and their group."""
+    df = tt.incidents(spark, sf)
+    said = F.element_at(F.array(*map(F.lit, SAID)), F.col("priority"))
+    return df.select("number", F.concat_ws(" ", "short_description", said, F.lit("for"), F.regexp_replace("assignment_group", "[^A-Za-z0-9_]+", "")).alias("text"),
+                     "priority", "assignment_group")
+
+
+def _told(label: str, answer: Callable[[cls.TextModel, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = stored(_telling(spark, sf), "telling")
+        return answer(cls.train(df, label), df)
+
+    return run
+
+
+def _known_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted categories of the tickets that have one."""
+    asked = _request_text(spark, sf).where("category <> 'General'").select("number", "text")
+    return cls.predict_category(_model(spark, sf, "category"), asked).select("number", "category")
+
+
 QUERIES |= {
+    "train_priority_planted": _told("priority", lambda m, df: cls.training_report(df, m, "priority")),
+    "train_group_planted": _told("assignment_group", lambda m, df: cls.training_report(df, m, "assignment_group")),
+    "predict_priority_planted": _told("priority", lambda m, df: cls.predict_priority(m, df).select("number", "priority", "priority_label")),
+    "predict_group_planted": _told("assignment_group", lambda m, df: cls.score(m, df, ["number"]).select(
+        "number", F.col("ranked")[0]["class"].alias("group"))),
+    "predict_category_known": _known_categories,
     "doc_priority_mismatch_planted": _planted_mismatch,
     "train_category": _train("category"),
     "train_priority": _train("priority"),
