@@ -16,7 +16,7 @@ import time
 os.chdir(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.getcwd())
 
-from tickframe.catalog import QUERIES, RAW, Over, register  # noqa: E402
+from tickframe.catalog import _MODELS, QUERIES, RAW, Over, register  # noqa: E402
 from tickframe.functions.breach_columns import derive_breach  # noqa: E402
 from tickframe.session import local_session, work_dir  # noqa: E402
 from tickframe.sources import sinks  # noqa: E402
@@ -72,7 +72,12 @@ def main() -> None:
         return q(spark, sf_dir)
 
     for name in HEADLINE:
-        took[name] = min(timed(lambda: run(query(name))) for _ in range(RUNS))
+        times = []
+        for _ in range(RUNS):
+            if name.startswith("train_"):
+                _MODELS.clear()  # the fit itself is timed
+            times.append(timed(lambda: run(query(name))))
+        took[name] = min(times)
     print(json.dumps({
         "metric": "register build plus headline queries, best of two", "value": round(sum(took.values()), 3),
         "unit": "sec", "queries": {k: round(v, 3) for k, v in took.items()},

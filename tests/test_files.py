@@ -292,3 +292,17 @@ def test_latest_store_equals_the_batch_query(spark, tmp_path):
             (commits / f).unlink()
     jobs.latest_store(stream, "user_id", "event_type", ["ts", "event_type"], store, str(tmp_path / "check"), buckets=4).awaitTermination()
     assert {r["user_id"]: (str(r["updated"]), r["state"], r["updates"]) for r in jobs.read_latest(spark, store, "user_id").collect()} == want
+
+
+def test_clean_up_removes_this_process_s_work(spark, incidents, monkeypatch):
+    from tickframe import session
+
+    monkeypatch.setattr(session, "_RUN", "of-this-test")  # other tests' work stays
+    kept = incidents.limit(3).collect()
+    path = session.work_dir(spark, "some")
+    incidents.limit(3).write.parquet(path)
+    other = os.path.join(os.path.dirname(os.path.dirname(path)), "other")
+    os.makedirs(other)
+    session.clean_up(spark)
+    assert not os.path.exists(path) and os.path.exists(other) and len(kept) == 3
+    os.rmdir(other)

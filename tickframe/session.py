@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+#: This process's work files lie in a folder of its own, so that they can be removed together.
+_RUN = uuid.uuid4().hex[:12]
 
 
 def local_session(cores: str = "*", name: str = "tickframe", memory: str = "12g") -> SparkSession:
@@ -44,7 +46,13 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if _local_dir is None:
             _local_dir = tempfile.mkdtemp(prefix="tickframe-")
         base = _local_dir
-    return f"{base.rstrip('/')}/tickframe/{purpose}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/tickframe/{_RUN}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes what this process wrote below the work folder; results that were not read or saved by then are gone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark, "x").rsplit("/", 1)[0])
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
