@@ -387,13 +387,17 @@ def test_scores_by_hand(spark, tmp_path):
         assert all(abs(c["p"] - p[c["class"]]) < 1e-5 for c in r["ranked"])
 
 
-def test_machines_reach_the_least_risk(spark):
+def test_machines_reach_the_least_risk(spark, monkeypatch):
     """No small step from the fitted coefficients lowers the risk of squared hinges."""
     rng = random.Random(2)
     rows = [([0, 1 + i % 3], [0.6, 0.8], float(rng.random() < 0.2 + 0.3 * (i % 3)), 1.5, i % 3) for i in range(300)]
     df = spark.createDataFrame(rows, "idx array<long>, val array<double>, label double, balance double, fold int").repartition(3)
+    monkeypatch.setattr(svm, "ENOUGH", 1e-6)
     m = svm.fit(df, 4, 2, 300, steps=200)
-    risk = lambda w: svm._risk(df, w, 4, 2, 3, 300)[0]
+    risk = lambda w: svm._risk(df, w, 4, 2, 3, 300, 3)[0]
+    few, grad = svm._risk(df, m.weights, 4, 2, 3, 300, 3)
+    many, same = svm._risk(df, m.weights, 4, 2, 3, 300, 10**9)  # added up in tasks
+    assert abs(few - many) < 1e-12 and np.allclose(grad, same, atol=1e-12)
     least = risk(m.weights)
     for _ in range(6):
         assert risk(m.weights + 0.02 * np.random.default_rng(_).normal(size=m.weights.shape)) > least - 1e-6
