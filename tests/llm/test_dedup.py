@@ -42,7 +42,9 @@ def test_exact_groups(spark, sizes):
     assert all(d == k for d, k, _, stays, _ in got if stays)
 
 
-def test_shared_identifiers_are_told_apart(spark, monkeypatch):
+@pytest.mark.parametrize("few", [exact_dedup.FEW_CLASHES, 0])
+def test_shared_identifiers_are_told_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(exact_dedup, "FEW_CLASHES", few)
     monkeypatch.setattr(exact_dedup, "identifier", lambda chunk: F.length(chunk).cast("long"))
     rows = [(1, "aaaa"), (2, "bbbb"), (3, "aaaa"), (4, "cc"), (5, None), (6, "aaaa bbbb."), (7, "bbbb aaaa."), (7, "bbbb aaaa.")]
     got = gather(exact_dedup.exact_groups(table(spark, rows)))

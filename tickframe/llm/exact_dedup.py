@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import ascii_lower, id_key, one_row_per_key, stored
 
 LEAST, MOST = 1024, 8192
+#: Shared identifiers that are sent to every task at most.
+FEW_CLASHES = 1_000_000
 
 
 def chunk_pattern(least: int = LEAST, most: int = MOST) -> str:
@@ -45,9 +47,14 @@ def shared_identifiers(chunks: DataFrame) -> DataFrame:
         chunks.select(F.explode("chunks").alias("chunk"))
         .select(identifier(F.col("chunk")).alias("ident"), "chunk").distinct()
     )
-    clash = distinct.groupBy("ident").count().filter("count > 1").select("ident")
+    clash = stored(distinct.groupBy("ident").count().filter("count > 1").select("ident"), "clashes")
+    n = clash.count()
     rank = F.row_number().over(Window.partitionBy("ident").orderBy("chunk"))
-    return distinct.join(F.broadcast(clash), "ident", "left_semi").withColumn("rank", rank)
+    if not n:
+        return clash.select("ident", F.lit("").alias("chunk"), F.lit(0).alias("rank"))
+    # Eight bytes each: sent to every task while they are few, else joined.
+    few = F.broadcast(clash) if n <= FEW_CLASHES else clash
+    return distinct.join(few, "ident", "left_semi").withColumn("rank", rank)
 
 
 def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
