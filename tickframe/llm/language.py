@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import small_batches
+from tickframe.llm.common import small_batches, stored
 from tickframe.llm.ngrams import hashed, lower_letters
 
 BITS, SIZES = 12, range(1, 4)
-SAMPLE, CLUSTERS, ROUNDS, PARTS = 2000, 3, 8, 64
+SAMPLE, CLUSTERS, ROUNDS = 2000, 3, 8
+#: Texts are counted by so many leading bits of their hash.
+PART_BITS = 10
 #: Of the cosine that all but a hundredth of the training texts of a length reach.
 REJECT = 0.4
 UNKNOWN = "und"
@@ -128,11 +130,14 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         return LanguageModel([], idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64), np.zeros(16))
     each = sample // len(languages)
     hashed_rows = rows.filter(F.col("lang").isin(languages) & F.col("text").rlike(MAY_HAVE_LETTER)).withColumn("h", F.xxhash64("text"))
-    # First within parts of a language, then among what they keep: a common language is not ranked in one task.
-    part = F.pmod(F.hash("h"), F.lit(PARTS))
-    within, of_all = (F.row_number().over(Window.partitionBy(*keys).orderBy("h")) for keys in (["lang", "part"], ["lang"]))
-    chosen = (hashed_rows.select("lang", "h", part.alias("part")).distinct().withColumn("rank", within).filter(F.col("rank") <= each)
-              .withColumn("rank", of_all).filter(F.col("rank") <= each))
+    # Texts are counted by ranges of their hash; only the lowest ranges that hold enough are ranked, so that a
+    # common language sends little more than its share of the sample to one task.
+    texts = stored(hashed_rows.select("lang", "h").distinct().withColumn("part", F.shiftright("h", 64 - PART_BITS)), "languages")
+    below = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lowest = (texts.groupBy("lang", "part").count().withColumn("before", F.coalesce(F.sum("count").over(below), F.lit(0)))
+              .filter(F.col("before") < each).select("lang", "part"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = texts.join(F.broadcast(lowest), ["lang", "part"], "left_semi").withColumn("rank", rank).filter(F.col("rank") <= each)
     taken = hashed_rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
