@@ -219,6 +219,51 @@ def test_similar_matches_rare_terms_only(spark):
     assert {(r["asked"], r["k"], r["rank"]) for r in got.collect()} == brute_similar(queries, corpus, 3)
 
 
+def test_similar_looks_up_equal_texts_once(spark, monkeypatch):
+    """Copies on both sides, in many small cells: the same rows as brute force, and no cell gives more than k texts a query."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice(["ring", "bolt", "gear", "rod", "nut", "cap"]) for _ in range(n))
+    corpus = [(i, t) for i, t in enumerate([text(3) for _ in range(40)] * 6)] + [(900, "")]
+    queries = [(i, t) for i, t in enumerate([text(4) for _ in range(8)] * 5)]
+    c, q = spark.createDataFrame(corpus, "d int, text string"), spark.createDataFrame(queries, "q int, text string")
+    once, members = txt.representatives(c, "d", "text")
+    assert once.count() == len({t for _, t in corpus}) and once.agg(F.sum("copies")).first()[0] == len(corpus) == members.count()
+    monkeypatch.setattr(txt, "CELL", 60)
+    got = txt.similar(q, c, "q", "d", k=4)
+    assert sorted((r["q"], r["d"], r["rank"]) for r in got.collect()) == sorted(brute_similar(queries, corpus, 4))
+
+
+def test_similar_with_keys_that_repeat_or_are_null(spark):
+    """A row without a key counts as a text and is never found; rows of one key make one text."""
+    rows = [(1, "red ring"), (1, "red ring"), (2, "red ring"), (3, "blue bolt"), (None, "red ring"), (None, "old gear")]
+    c = spark.createDataFrame(rows, "d int, text string")
+    q = spark.createDataFrame([(1, "red ring"), (None, "blue bolt"), (2, None)], "q int, text string")
+    got = {(r["q"], r["d"]): r["score"] for r in txt.similar(q, c, "q", "d", k=5).collect()}
+    assert got == {(1, 1): round(math.sqrt(2), 9), (1, 2): 1.0}
+    none = txt.similar(q, c, "q", "d", k=5, max_terms=1)
+    assert {(r["q"], r["d"]) for r in none.collect()} == {(1, 1), (1, 2)}
+
+
+def test_nearest_scores_few_texts_to_the_end():
+    """A text that holds a query's rare terms prunes; the best texts are those of the dense product."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    dense = (rng.random((300, 80)) < 0.15) * rng.random((300, 80))
+    dense[:, :6] = rng.random((300, 6))
+    dense[7] = 0
+    asked = np.concatenate([dense[:12], (rng.random((12, 80)) < 0.2) * rng.random((12, 80)), np.zeros((1, 80))])
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    dense, asked = unit(dense), unit(asked)
+    rows = lambda m: pa.table({"at": [np.flatnonzero(r).tolist() for r in m], "w": [r[r > 0].tolist() for r in m]},
+                              schema=pa.schema([("at", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))]))
+    got = {q: (d.tolist(), s.tolist()) for q, d, s in txt.nearest(rows(dense), rows(asked), 4, 0.05)}
+    for q, row in enumerate(asked @ dense.T):
+        want = sorted((-round(x, 9), d) for d, x in enumerate(row.tolist()) if round(x, 9) >= 0.05)[:4]
+        assert got.get(q, ([], [])) == ([d for _, d in want], [-x for x, _ in want])
+
+
 def test_similar_plans_no_cross_join(spark):
     from tickframe.catalog import QUERIES
 
