@@ -130,6 +130,32 @@ def test_language_of_few_texts_in_many_copies(spark):
     assert all(model.predict(t)[0] == lang for _, t, lang in rows[200:-5])
 
 
+def test_language_learns_from_every_text(spark):
+    """Centroids and least cosines are those of all different texts, as found in memory; a sample of 2,000 missed most."""
+    rng = random.Random(15)
+    rows = [(i, words(rng, 12, 40) if i % 2 else " ".join(f"z{rng.randrange(40)}q" for _ in range(12)), "ab"[i % 2]) for i in range(3000)]
+    model = language.fit(table(spark, rows * 2))
+    own = {x: list(dict.fromkeys(t for _, t, lang in rows if lang == x)) for x in "ab"}
+    assert sum(map(len, own.values())) > 2900
+    near = []
+    for k, x in enumerate("ab"):
+        v = np.stack([language.vector(language.counts(t), model.idf) for t in own[x]])
+        want, got = language.cluster(v, 3), model.centroids[model.of == k]
+        assert got.shape == want.shape and (got @ want.T).max(axis=1).min() > 0.9999
+        near += [(language.length_class(language.counts(t)), c) for t, c in zip(own[x], (v @ got.T).max(axis=1))]
+    for c in {c for c, _ in near if sum(d == c for d, _ in near) >= 20}:
+        lowest = min(np.quantile([x for d, x in near if d == e], 0.01) for e in {d for d, _ in near} if e >= c and sum(d == e for d, _ in near) >= 20)
+        assert abs(model.floor[c] - language.REJECT * lowest) < 1e-5
+
+
+def test_packed_counts_of_any_size():
+    rows = [np.bincount([3, 3, 4000], minlength=4096), np.bincount([7] * 300 + [9], minlength=4096)]
+    for some in (rows[:1], rows):
+        mask, tf = language.unpacked(*map(list, zip(*map(language.packed, some))))
+        assert [np.flatnonzero(m).tolist() for m in mask] == [[3, 4000], [7, 9]][: len(some)]
+        assert tf.tolist() == [2, 1, 300, 1][: 2 * len(some)]
+
+
 def test_more_languages_than_the_sample(spark):
     rows = [(k, "".join(chr(0x4E00 + 50 * k + j) for j in range(9)), f"l{k:02}") for k in range(30) for _ in range(31 - k)]
     model = language.fit(table(spark, rows), sample=12)
