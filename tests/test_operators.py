@@ -454,3 +454,46 @@ def test_machines_reach_the_least_risk(spark, monkeypatch):
                 z = m.weights[-1, f * 2 + c] + sum(v * m.weights[i, f * 2 + c] for i, v in zip(idx, val))
                 by_hand += (f != fold) * (balance if y > 0 else 1) * max(0, 1 - y * z) ** 2 / 300
     assert abs(by_hand - least) < 1e-4
+
+
+def test_training_reads_its_tickets_once_by_all_cores(spark):
+    """A plan behind the tickets runs once, and a small file is not left to one task for every step of the fit."""
+    from pyspark.sql.functions import udf
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def said(text):
+        seen.add(1)
+        return text
+
+    df = noisy_tickets(spark, 300).coalesce(1).withColumn("text", udf(said, "string")("text"))
+    assert cls.train(df, "label").accuracy > 0.5
+    assert seen.value == 300
+    asked = noisy_tickets(spark, 300).coalesce(1).withColumn("priority", F.when(F.col("label") == "a", 1).otherwise(2))
+    once = asked.withColumn("text", udf(said, "string")("text"))
+    cls.cross_predict_priority(once, asked, folds=3)
+    assert seen.value == 600
+    from tickframe.session import dealt
+
+    kept = dealt(asked, "few")
+    assert kept.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and kept.count() == 300
+
+
+def test_a_start_from_some_tickets_changes_passes_only(spark, monkeypatch):
+    """All tickets decide where the fit ends: the same machines, by fewer passes over all of them."""
+    df, sizes, risk = noisy_tickets(spark), [], svm._risk
+
+    def counted(rows, w, n_terms, classes, folds, n, tasks):
+        sizes.append(n)
+        return risk(rows, w, n_terms, classes, folds, n, tasks)
+
+    monkeypatch.setattr(svm, "_risk", counted)
+    monkeypatch.setattr(svm, "ENOUGH", 1e-4)
+    plain = cls.train(df, "label")
+    passes, n = len(sizes), sizes[0]
+    sizes.clear()
+    monkeypatch.setattr(cls, "EARLY", 1000)
+    begun = cls.train(df, "label")
+    assert 700 < min(sizes) < 1300 and sizes.count(n) < passes
+    assert plain.terms == begun.terms
+    assert abs(plain.machines.weights - begun.machines.weights).max() < 0.02
