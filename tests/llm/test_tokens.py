@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,6 +37,29 @@ def test_encoder_forgets_when_full():
             assert list(struct.unpack(f"<{len(got) // 4}I", got)) + [END] == library_ids(t)
 
 
+def test_encoder_keeps_words_that_come_again():
+    enc, asked = Encoder(remembered=20), Counter()
+
+    class Model:
+        def tokenize(self, word):
+            asked[word] += 1
+            return enc.tokenizer.model.tokenize(word)
+
+    enc.model = Model()
+    for n in range(200):
+        rare = f"{chr(97 + n // 26)}{chr(97 + n % 26)}x"
+        assert enc.ids(f"often {rare}".encode()) == b"".join(map(enc.ids, (b"often", rare.encode())))
+    assert asked["often"] == 1
+
+
+def test_encoder_gives_a_batch_as_its_texts():
+    texts = [t for _, t in messy_rows()] + ["", None, "Word$$$ word,*** (word) <|endoftext|>!! <|endoftext|>", "\x0b\x0c a\x1cb "]
+    for kind in (pa.string(), pa.large_string()):
+        got = encoder(TOKENIZER).all_ids(pa.array(texts, kind).slice(1))
+        assert [[*struct.unpack(f"<{len(g) // 4}I", g), END] for g in got] == [library_ids(t) for t in texts[1:]]
+    assert encoder(TOKENIZER).all_ids(pa.array([], pa.string())) == []
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1, 0], list(range(5000)), [7] * 1500, [70000] * 1500])
 def test_codes_give_any_id(ids):
     shard = token_store.TokenShard(token_store.pack_ids(np.array(ids, np.uint32)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.llm.common import small_batches, stored, texts_as_bytes
+from tickframe.llm.common import small_batches, stored
 from tickframe.llm.encode import END, TOKENIZER, encoder
 
 WINDOW, PER_SHARD = 4096, 8192
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
         enc, tail, nth = encoder(tokenizer), end.to_bytes(4, "little"), 0
         for b in small_batches(batches, "text"):
             rows, out, held = [], [], []
-            for row, found in enumerate(enc.all_ids(texts_as_bytes(b, "text"))):
+            for row, found in enumerate(enc.all_ids(b.column(1))):
                 found += tail
                 n = len(found) // 4
                 for start in range(0, n, window):

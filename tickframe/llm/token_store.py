@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.llm.common import small_batches, texts_as_bytes
+from tickframe.llm.common import small_batches
 from tickframe.llm.encode import END, TOKENIZER, encoder
 
 MAGIC, BLOCK = b"DAC1", 512
@@ -122,7 +122,7 @@ def write_token_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
                 pa.array([payload], pa.binary())], names=schema.names)
 
         for b in small_batches(batches, "text"):
-            for i, found in enumerate(enc.all_ids(texts_as_bytes(b, "text"))):
+            for i, found in enumerate(enc.all_ids(b.column(1))):
                 held.append(found + tail)
                 ids.append(b.column(0).slice(i, 1))
                 lens.append(len(found) // 4 + 1)
