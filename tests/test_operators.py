@@ -497,3 +497,21 @@ def test_a_start_from_some_tickets_changes_passes_only(spark, monkeypatch):
     assert 700 < min(sizes) < 1300 and sizes.count(n) < passes
     assert plain.terms == begun.terms
     assert abs(plain.machines.weights - begun.machines.weights).max() < 0.02
+
+
+def test_text_features_split_texts_once(spark):
+    texts = spark.createDataFrame([(1, "Disk full disk"), (2, "disk FULL again"), (2, "full"), (3, None), (None, "again, again")], "id long, text string")
+    found = txt.text_features(texts, "id", "text")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan
+    got = {(r["id"], r["term"]): r["weight"] for r in found.collect()}
+    tf, df = {("disk", 1): 2, ("again", None): 2}, {"disk": 2, "full": 3, "again": 2, "disk full": 2}
+    terms = {1: ["disk", "full", "disk full"], 2: ["disk", "full", "again", "disk full", "full"], None: ["again"]}
+    want = {}
+    for i, ts in terms.items():
+        v = [(x, (1 + math.log(tf.get((x, i), 1))) * (math.log(6 / (1 + df[x])) + 1)) for x in ts]
+        norm = math.sqrt(sum(w * w for _, w in v))
+        want.update({(i, x): w / norm for x, w in v})
+    assert got == pytest.approx(want)
+    limited = txt.text_features(texts, "id", "text", max_terms=1).collect()
+    assert sorted((str(r["id"]), r["term"], r["weight"]) for r in limited) == [("2", "again", 1.0), ("None", "again", 1.0)]
