@@ -214,6 +214,38 @@ def test_stream_ingest_keeps_the_last_row(spark, incidents, tmp_path):
     assert len(rows) == 4 and {r["state"] for r in rows} == {"Closed"}
 
 
+def test_tickets_that_come_twice_are_derived_once(spark, tmp_path):
+    from tickframe import catalog
+
+    rows = spark.createDataFrame([("INC7", "u1", "wip"), ("INC8", "u2", "wip"), (None, "u3", "wip")], "number string, updated string, state string")
+    both = catalog._some_older(rows)
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString() and both.columns == rows.columns
+    assert sorted(map(tuple, both.collect()), key=str) == sorted([
+        ("INC7", "u1", "wip"), ("INC7", "1990-01-01 00:00:00", "new"), ("INC8", "u2", "wip"), (None, "u3", "wip")], key=str)
+    third = catalog._arrive(both, str(tmp_path / "in"), "number")
+    n = len([f for f in os.listdir(tmp_path / "in") if f.endswith(".parquet")])
+    assert third == -(-n // 3)
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 4
+
+
+def test_latest_store_deals_a_large_bucket(spark, tmp_path):
+    """One bucket of many tickets is written by several tasks."""
+    schema = event_files(spark, tmp_path / "in", [[(i, "2026-01-02 10:00:00", f"state {i}", 1.0) for i in range(20_000)]])
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "8"}
+    kept = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        stream = jobs.read_files(spark, str(tmp_path / "in"), schema)
+        jobs.latest_store(stream, "user_id", "event_type", ["ts", "event_type"], str(tmp_path / "store"), str(tmp_path / "check"),
+                          buckets=1).awaitTermination()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    found = jobs.read_latest(spark, str(tmp_path / "store"), "user_id")
+    assert found.count() == found.distinct().count() == 20_000 and len(found.inputFiles()) > 1
+
+
 def test_a_late_correction_is_stored_once(spark, incidents, tmp_path):
     """A known ticket comes again under another month and under none: both paths keep the first row."""
     first = incidents.orderBy("number").limit(6).withColumn("state", F.lit("first"))
