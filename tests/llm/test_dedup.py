@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.data import gather, messy_rows, table, words
 from tickframe.llm import exact_dedup, line_dedup, simhash
+from tickframe.llm.common import stored
 from tickframe.llm.components import components
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -213,3 +214,32 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (201, 201), (300, 300)]
     got = dict(gather(components(spark.createDataFrame(edges, "u long, v long"))))
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+
+
+def test_few_edges_are_written_in_few_files(spark, monkeypatch):
+    written = defaultdict(list)
+
+    def noted(df, purpose):
+        out = stored(df, purpose)
+        written[purpose].append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr("tickframe.llm.components.stored", noted)
+    monkeypatch.setattr(simhash, "stored", noted)
+    asked = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in asked}
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        got = dict(gather(components(spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long"), 300)))
+        assert got == dict.fromkeys(range(301), 0)
+        rows = [(i, f"text number {i} of {i * i}") for i in range(200)]
+        assert simhash.near_groups(table(spark, rows)).count() == 200
+        for kept in (exact_dedup.distinct_documents, simhash.one_of_each_group):
+            noted(kept(table(spark, rows)), "kept")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    for purpose in ("large_star", "small_star", "nodes", "edges", "kept"):
+        assert 0 < max(written[purpose]) <= cores, written

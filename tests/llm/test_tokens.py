@@ -37,6 +37,14 @@ def test_encoder_forgets_when_full():
             assert list(struct.unpack(f"<{len(got) // 4}I", got)) + [END] == library_ids(t)
 
 
+def test_packing_leaves_memory_to_what_follows_it():
+    enc = Encoder(remembered=packing.REMEMBERED)
+    enc.known.find = lambda word: word
+    for i in range(1_000_000):
+        assert enc.known[b"%d" % i] == b"%d" % i
+    assert len(enc.known) + len(enc.known.older) <= 200_000
+
+
 def test_encoder_keeps_words_that_come_again():
     enc, asked = Encoder(remembered=20), Counter()
 

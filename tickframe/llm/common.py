@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tickframe.session import work_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Whole documents that a task writes at most, about, where their number decides.
+DOCUMENTS = 4_000
 #: The bytes that the operators call white space: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -27,6 +29,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """For rows that are written next, about ``rows``: by as many tasks as there are cores or more, each of about ``most``.
+
+    A session may deal a few thousand rows to hundreds of tasks. Where Hadoop has no native library, each file on a local
+    folder makes its executor start three short-lived processes, which share the executor's memory until they run.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII texts take the fast built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.llm.common import free_name, small_batches, stored, texts_as_bytes
+from tickframe.llm.common import DOCUMENTS, few_files, free_name, small_batches, stored, texts_as_bytes
 
 WINDOW, SHINGLE, BLOCK_WORDS = 10, 2, 200_000
 #: What each byte of UTF-8 becomes: a-z for letters, itself for digits and beyond ASCII, else a space.
@@ -125,7 +125,8 @@ def _parts(items: DataFrame, window: int, most: int) -> DataFrame:
 def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Parts of items by blocks of about ``block_words`` words, dealt by hash; one at a time on the driver."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = stored(_parts(items, window, max(window, block_words // 16)).filter("n_words > 0"), "benchmark")
+    parts = _parts(items, window, max(window, block_words // 16)).filter("n_words > 0")
+    parts = stored(few_files(parts, benchmark.count(), DOCUMENTS), "benchmark")
     size = parts.agg(F.sum("n_words")).first()[0] or 0
     blocks = max(1, -(-size // block_words))
     for n in range(blocks):

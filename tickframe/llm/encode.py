@@ -100,6 +100,6 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer: str = TOKENIZER) -> Encoder:
+def encoder(tokenizer: str = TOKENIZER, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker process."""
-    return Encoder(tokenizer)
+    return Encoder(tokenizer, remembered)

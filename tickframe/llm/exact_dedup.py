@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import ascii_lower, id_key, one_row_per_key, stored
+from tickframe.llm.common import DOCUMENTS, ascii_lower, few_files, id_key, one_row_per_key, stored
 
 LEAST, MOST = 1024, 8192
 #: Shared identifiers that are sent to every task at most.
@@ -104,5 +104,6 @@ def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """The documents that stay, all columns: one row for each different text."""
     kept = exact_groups(docs, doc_id, text, **options).filter("kept")
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    return one_row_per_key(docs, kept.select(id_key(F.col("doc_id")).alias("id"), F.col("text_sha256").alias("sha")),
-                           {"id": id_key(F.col(doc_id)), "sha": F.sha2(norm, 256)})
+    found = one_row_per_key(docs, kept.select(id_key(F.col("doc_id")).alias("id"), F.col("text_sha256").alias("sha")),
+                            {"id": id_key(F.col(doc_id)), "sha": F.sha2(norm, 256)})
+    return few_files(found, docs.count(), DOCUMENTS)

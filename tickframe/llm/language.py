@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import small_batches, stored
+from tickframe.llm.common import few_files, small_batches, stored
 from tickframe.llm.ngrams import hashed, lower_letters
 
 BITS, SIZES = 12, range(1, 4)
@@ -33,6 +33,8 @@ CLUSTERS, ROUNDS = 3, 8
 ROWS = 512
 #: Cosines are counted in so many steps of one, and within the step that holds a quantile in as many again.
 STEPS = 1024
+#: Vectors in a file at most, about.
+PER_FILE = 5000
 #: Texts are counted by so many leading bits of their hash.
 PART_BITS = 10
 #: Of the cosine that all but a hundredth of the training texts of a length reach.
@@ -140,7 +142,7 @@ def unpacked(bits: list[bytes], tf: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return mask, np.concatenate([np.frombuffer(x, "<i8" if w else "u1").astype(np.int64) for x, w in zip(tf, wide)])
 
 
-def _vectors(rows: DataFrame, languages: list[str]) -> DataFrame:
+def _vectors(rows: DataFrame, languages: list[str], n: int) -> DataFrame:
     """(own, bits, tf): for each language's different texts its number, which hashes occur (a bit each), how often."""
     number = {x: i for i, x in enumerate(languages)}
 
@@ -155,7 +157,7 @@ def _vectors(rows: DataFrame, languages: list[str]) -> DataFrame:
                 pa.array([x for _, x, _ in own], pa.binary()), pa.array([x for *_, x in own], pa.binary())], names=["own", "h", "bits", "tf"])
 
     found = rows.select("text", "lang", "h").mapInArrow(count, "own int, h long, bits binary, tf binary")
-    return stored(found.dropDuplicates(["own", "h"]).drop("h"), "vectors")
+    return stored(few_files(found.dropDuplicates(["own", "h"]).drop("h"), n, PER_FILE), "vectors")
 
 
 def _slabs(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -309,7 +311,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample: int |
     taken = rows.filter(F.col("text").rlike(MAY_HAVE_LETTER)).withColumn("h", F.xxhash64("text"))
     if sample is not None:
         taken = _drawn(taken.filter(F.col("lang").isin(languages)), sample // len(languages))
-    vectors = _vectors(taken, languages)
+    vectors = _vectors(taken, languages, n)
     centroids, of = _clustered(vectors, idf, len(languages), clusters)
     return LanguageModel(languages, idf, centroids, of, _floor(vectors, idf, centroids, of, reject) if len(of) else np.zeros(16))
 

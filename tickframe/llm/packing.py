@@ -25,6 +25,8 @@ from tickframe.llm.common import small_batches, stored
 from tickframe.llm.encode import END, TOKENIZER, encoder
 
 WINDOW, PER_SHARD = 4096, 8192
+#: Words that a worker remembers: it keeps them as long as it lives, and in a pipeline later work needs the memory.
+REMEMBERED = 200_000
 
 
 class OpenWindows:
@@ -88,7 +90,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
                            *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail, nth = encoder(tokenizer), end.to_bytes(4, "little"), 0
+        enc, tail, nth = encoder(tokenizer, REMEMBERED), end.to_bytes(4, "little"), 0
         for b in small_batches(batches, "text"):
             rows, out, held = [], [], []
             for row, found in enumerate(enc.all_ids(b.column(1))):

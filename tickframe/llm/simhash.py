@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.llm.common import id_key, one_row_per_key, small_batches, stored, texts_as_bytes
+from tickframe.llm.common import DOCUMENTS, few_files, id_key, one_row_per_key, small_batches, stored, texts_as_bytes
 from tickframe.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -176,10 +176,10 @@ def links(nodes: DataFrame, bits: int = BITS, per_task: int = PER_TASK) -> DataF
     return dealt.groupBy("prefix", "part_bits", "part").applyInArrow(meet, "u long, v long")
 
 
-def _rooted(prints: DataFrame, bits: int, per_task: int) -> DataFrame:
+def _rooted(prints: DataFrame, rows: int, bits: int, per_task: int) -> DataFrame:
     """``fp, least, root`` of each distinct fingerprint: its least id and its component's smallest fingerprint."""
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), bits, per_task))
+    nodes = stored(few_files(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), rows), "nodes")
+    roots = components(links(nodes.select("fp"), bits, per_task), rows)
     return nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
 
@@ -188,7 +188,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
                 seed: int = SEED, per_task: int = PER_TASK) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row."""
     prints = stored(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
-    joined = _rooted(prints, bits, per_task)
+    joined = _rooted(prints, prints.count(), bits, per_task)
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.join(named, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
@@ -206,6 +206,7 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     known_by = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), sha.alias("sha"))
     prints = stored(fingerprints(docs.select(known_by.alias("row"), F.col(text).alias("text")), "row", "text", shingle, seed),
                     "fingerprints")
-    first = _rooted(prints, bits, per_task).groupBy("root").agg(F.min("least").alias("row"))
+    rows = prints.count()
+    first = _rooted(prints, rows, bits, per_task).groupBy("root").agg(F.min("least").alias("row"))
     kept = first.select(id_key(F.col("row.id")).alias("id"), F.col("row.sha").alias("sha"))
-    return one_row_per_key(docs, kept, {"id": id_key(F.col(doc_id)), "sha": sha})
+    return few_files(one_row_per_key(docs, kept, {"id": id_key(F.col(doc_id)), "sha": sha}), rows, DOCUMENTS)
