@@ -515,3 +515,34 @@ def test_text_features_split_texts_once(spark):
     assert got == pytest.approx(want)
     limited = txt.text_features(texts, "id", "text", max_terms=1).collect()
     assert sorted((str(r["id"]), r["term"], r["weight"]) for r in limited) == [("2", "again", 1.0), ("None", "again", 1.0)]
+
+
+def test_text_features_shuffle_no_row_of_a_text_and_a_term(spark, monkeypatch):
+    """Terms meet by blocks, here of a few texts: what is shuffled lies below the step that makes rows of terms, and weights are whole."""
+    import re
+    from collections import Counter
+
+    from tickframe.operators import term_blocks
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)] + ["élan", "Straße", "x"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    monkeypatch.setattr(term_blocks, "BLOCK", 500)
+    monkeypatch.setattr(term_blocks, "ENTRIES", 100)
+    unique = txt.text_features(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") and "Window" not in plan
+    rows_again = rows + [(7, "w1 w2 w1"), (7, "w1 w2 w1"), (None, "w3 w4"), (None, rows[3][1])]
+    again = txt.text_features(spark.createDataFrame(rows_again, "id long, text string"), "id", "text")
+    for given, found in ((rows, unique), (rows_again, again)):
+        texts = []
+        for i, t in given:
+            w = [x for x in re.findall(r"\w{2,}", t.lower().replace("é", "e"))]
+            texts.append((i, Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])))
+        df = Counter(t for _, c in texts for t in c)
+        v = [(i, t, (1 + math.log(n)) * (math.log((1 + len(given)) / (1 + df[t])) + 1)) for i, c in texts for t, n in c.items() if df[t] > 1]
+        norm = Counter()
+        for i, _, x in v:
+            norm[i] += x * x
+        want = sorted((str(i), t, round(x / math.sqrt(norm[i]), 9)) for i, t, x in v)
+        assert sorted((str(r["id"]), r["term"], round(r["weight"], 9)) for r in found.collect()) == want
