@@ -546,3 +546,75 @@ def test_text_features_shuffle_no_row_of_a_text_and_a_term(spark, monkeypatch):
             norm[i] += x * x
         want = sorted((str(i), t, round(x / math.sqrt(norm[i]), 9)) for i, t, x in v)
         assert sorted((str(r["id"]), r["term"], round(r["weight"], 9)) for r in found.collect()) == want
+
+
+def test_nearest_meets_few_of_the_weights(monkeypatch):
+    """Texts of all lengths over terms of all frequencies, in many small parts: the best of the dense product, from a part of the postings."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    often = 1 / np.arange(1, 401)
+    dense = (rng.random((600, 400)) < np.minimum(often * np.geomspace(0.5, 40, 600)[:, None], 0.95)) * np.log(2 / often)
+    asked = (rng.random((40, 400)) < np.minimum(8 * often, 0.9)) * np.log(2 / often)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    dense, asked = unit(dense[rng.permutation(600)]), unit(asked)
+    rows = lambda m: pa.table({"at": [np.flatnonzero(r).tolist() for r in m], "w": [r[r > 0].tolist() for r in m]},
+                              schema=pa.schema([("at", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))]))
+    met, ranges, scored, inside = [0], txt._ranges, txt._Part.scored, [False]
+
+    def counted(begins, sizes):
+        met[0] += int(sizes.sum()) if inside[0] else 0
+        return ranges(begins, sizes)
+
+    def within(*args):
+        inside[0] = True
+        try:
+            return scored(*args)
+        finally:
+            inside[0] = False
+
+    for name, value in (("TOGETHER", 50), ("PAIRS", 500), ("ENTRIES", 300), ("_ranges", counted)):
+        monkeypatch.setattr(txt, name, value)
+    monkeypatch.setattr(txt._Part, "scored", within)
+    for k, share in ((1, 0.65), (4, 0.8)):
+        met[0] = 0
+        got = {q: (d.tolist(), s.tolist()) for q, d, s in txt.nearest(rows(dense), rows(asked), k, 0.05)}
+        assert met[0] < share * ((asked > 0).astype(int) @ (dense > 0).T.astype(int)).sum()
+        for q, row in enumerate(asked @ dense.T):
+            want = sorted((-round(x, 9), d) for d, x in enumerate(row.tolist()) if round(x, 9) >= 0.05)[:k]
+            assert got.get(q, ([], [])) == ([d for _, d in want], [-x for x, _ in want])
+
+
+def test_similar_deals_texts_by_their_largest_weight(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [0] * (i % 7 + 1), [0.9 ** (i % 40)] * (i % 7 + 1)) for i in range(400)], "_c long, at array<long>, w array<double>")
+    monkeypatch.setattr(txt, "CELL", 100)
+    dealt, cells = txt._dealt_by_size(docs, 4)
+    rows = [(r["_cb"], r["w"][0], len(r["w"])) for r in dealt.collect()]
+    assert len(rows) == 400 and {c for c, _, _ in rows} <= set(range(cells)) and cells <= 400 * 4 / 100 + 61
+    assert all(max(w for c, w, _ in rows if c == cell) <= 2 * min(w for c, w, _ in rows if c == cell) for cell in {c for c, _, _ in rows})
+    assert max(sum(n for c, _, n in rows if c == cell) for cell in range(cells)) <= 400
+
+
+def test_similar_measures_all_rows_of_a_key(spark):
+    """A row without any word that is asked for makes its key's text longer all the same."""
+    c = spark.createDataFrame([(1, "red ring"), (1, "blue bolt"), (2, "red ring"), (3, "old gear")], "d int, text string")
+    q = spark.createDataFrame([(1, "red ring"), (2, "no such")], "q int, text string")
+    got = {(r["q"], r["d"]): r["score"] for r in txt.similar(q, c, "q", "d", k=5).collect()}
+    red, blue = 3 * (math.log(5 / 3) + 1) ** 2, 3 * (math.log(5 / 2) + 1) ** 2
+    assert got == {(1, 1): pytest.approx(red / math.sqrt(red * (red + blue)), abs=1e-8), (1, 2): 1.0}
+
+
+def test_nearest_adds_up_a_term_that_a_row_has_twice():
+    """Rows of one key make one text, whose terms then come twice, in the queries too; common terms are skipped at first."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    kind = pa.schema([("at", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))])
+    one = lambda: np.flatnonzero(rng.random(40) < np.linspace(0.9, 0.02, 40)).tolist()
+    texts, asked = ([a + (a if i % 3 else one()) for i, a in enumerate(one() for _ in range(n))] for n in (200, 30))
+    docs, queries = (pa.table({"at": x, "w": [(rng.random(len(a)) * 0.3).tolist() for a in x]}, schema=kind) for x in (texts, asked))
+    dense = lambda t: np.array([np.bincount(a, w, 40) for a, w in zip(t["at"].to_pylist(), t["w"].to_pylist())])
+    got = {q: (d.tolist(), s.tolist()) for q, d, s in txt.nearest(docs, queries, 3, 0.05)}
+    for q, row in enumerate(dense(queries) @ dense(docs).T):
+        want = sorted((-round(x, 9), d) for d, x in enumerate(row.tolist()) if round(x, 9) >= 0.05)[:3]
+        assert got.get(q, ([], [])) == ([d for _, d in want], [-x for x, _ in want])
